@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each next to the plain SQL that checks it."""
 
-MODULES = ["feed"]
+MODULES = ["feed", "text", "classify"]
 
 
 def load_all() -> None:

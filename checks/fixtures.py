@@ -243,11 +243,13 @@ def from_sql(spark, sf_dir: str, sql: str, *names: str):
 
 
 def sql_with_frames(sql: str, names) -> str:
+    """Point table names at named frames, keeping their aliases."""
     import re
 
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for n in names:
-        sql = re.sub(rf"\b(from|join)(\s+){n}\b", rf"\1\2{{{n}}} as {n}", sql)
-        sql = sql.replace(f"{{{n}}} as {n} o\n", f"{{{n}}} o\n").replace(f"{{{n}}} as {n} c on", f"{{{n}}} c on").replace(f"{{{n}}} as {n} n on", f"{{{n}}} n on")
+        sql = re.sub(rf"\b(from|join)\s+{n}\b(?=\s+[a-z]\b)", rf"\1 {{{n}}}", sql)
+        sql = re.sub(rf"\b(from|join)\s+{n}\b", rf"\1 {{{n}}} as {n}", sql)
     return sql
 
 
