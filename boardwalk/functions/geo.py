@@ -5,15 +5,13 @@ from pyspark.sql import functions as F
 
 from boardwalk.functions.match import (
     any_of,
-    ascii_text,
-    first_label,
-    is_ascii_rule,
+    first_hit,
+    folded,
+    hit,
     let,
-    matches,
     non_empty,
     trim_all,
 )
-from boardwalk.rules import Rule
 from boardwalk.rules import geo as rules
 
 
@@ -39,64 +37,48 @@ def _shown_parts(parts: Column) -> Column:
     return F.when(F.size(parts) > 2, many).otherwise(let(F.substring(s, 1, 80), non_empty))
 
 
-def _guard(patterns) -> str:
-    """One alternation that is true whenever any of the ASCII patterns may be."""
-    flat = []
-    for p in patterns:
-        flat += p.must if isinstance(p, Rule) else [p]
-    return "|".join(flat)
-
-
-def _named(raw: Column, plain: Column, table) -> Column:
-    """Ordered name lookup, skipped as a whole when no name occurs at all."""
-    ascii_rules = [rule for rule, _ in table if is_ascii_rule(rule)]
-    other = [rule for rule, _ in table if not is_ascii_rule(rule)]
-    possible = any_of([matches(plain, _guard(ascii_rules)), *[matches(raw, r) for r in other]])
-    return F.when(possible, first_label(plain, table, raw))
-
-
 def explicit_country(c: Column) -> Column:
     """ISO code from a vendor's own country field; invalid codes are NULL."""
-    return let(trim_all(c), lambda raw: let(ascii_text(raw), lambda plain: _explicit(raw, plain)))
+    return let(trim_all(c), lambda raw: let(folded(raw), lambda plain: _explicit(raw, plain)))
 
 
 def _explicit(raw: Column, plain: Column) -> Column:
     code = F.when(raw == "UK", "GB").when(raw.isin(list(rules.COUNTRY_LABELS)), raw)
     return F.coalesce(
         code,
-        _named(raw, plain, rules.COUNTRY_NAMES),
-        F.when(matches(plain, rules.US_MARKERS), "US"),
+        first_hit(plain, rules.COUNTRY_NAMES, raw),
+        F.when(hit(plain, rules.US_MARKERS), "US"),
     )
 
 
 def country(location: Column, explicit: Column | None = None) -> Column:
     """Country of a free-text place; an explicit field wins when understood."""
     found = let(
-        trim_all(location), lambda raw: let(ascii_text(raw), lambda plain: _country(raw, plain))
+        trim_all(location), lambda raw: let(folded(raw), lambda plain: _country(raw, plain))
     )
     return found if explicit is None else F.coalesce(explicit_country(explicit), found)
 
 
 def _country(raw: Column, plain: Column) -> Column:
-    city = _named(raw, plain, rules.CITY_COUNTRY)
+    city = first_hit(plain, rules.CITY_COUNTRY, raw)
     tokens = F.transform(
         F.split(raw, "[,|;\\-–]"),
         lambda part: F.upper(F.get(F.split(trim_all(part), r"\s+"), F.lit(0))),
     )
     state_code = F.get(F.filter(tokens, lambda t: t.isin(rules.US_STATE_CODES)), F.lit(0))
     return F.coalesce(
-        _named(raw, plain, rules.COUNTRY_NAMES),
-        F.when(matches(plain, rules.US_MARKERS), "US"),
+        first_hit(plain, rules.COUNTRY_NAMES, raw),
+        F.when(hit(plain, rules.US_MARKERS), "US"),
         F.when(state_code.isNotNull(), F.when(city == state_code, city).otherwise("US")),
-        F.when(matches(plain, rules.US_STATE_NAMES), "US"),
+        F.when(hit(plain, rules.US_STATE_NAMES), "US"),
         city,
-        F.when(matches(plain, rules.US_CITIES), "US"),
+        F.when(hit(plain, rules.US_CITIES), "US"),
     )
 
 
 def us_state(location: Column, explicit: Column | None = None) -> Column:
     """US state code; NULL for anything placed in another country."""
-    state = let(trim_all(location), lambda t: let(ascii_text(t), lambda plain: _state(t, plain)))
+    state = let(trim_all(location), lambda t: let(folded(t), lambda plain: _state(t, plain)))
     return F.when(F.coalesce(country(location, explicit), F.lit("US")) == "US", state)
 
 
@@ -113,8 +95,8 @@ def _state(raw: Column, plain: Column) -> Column:
 
     code = F.get(F.array_compact(F.transform(segments, code_of)), F.lit(0))
     return F.coalesce(
-        F.when(any_of(matches(plain, p) for p in rules.DC_FORMS), "DC"),
+        F.when(any_of(hit(plain, p) for p in rules.DC_FORMS), "DC"),
         code,
-        _named(raw, plain, rules.US_STATE_NAME_TO_CODE),
-        _named(raw, plain, rules.CITY_STATE_US),
+        first_hit(plain, rules.US_STATE_NAME_TO_CODE, raw),
+        first_hit(plain, rules.CITY_STATE_US, raw),
     )

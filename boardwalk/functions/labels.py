@@ -4,12 +4,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from boardwalk.functions.match import (
-    ascii_text,
-    first_label,
+    first_hit,
+    folded,
+    hit,
     join_parts,
     ladder,
     let,
-    matches,
     non_empty,
     trim_all,
 )
@@ -26,7 +26,7 @@ def remote_type(explicit: Column | None, *text: Column, flag: Column | None = No
     """
     from_text = F.lit(None).cast("string")
     if text:
-        from_text = let(ascii_text(join_parts(" ", *text)), _workplace_words)
+        from_text = let(folded(join_parts(" ", *text)), _workplace_words)
     out = from_text
     if explicit is not None:
         word = F.regexp_replace(F.lower(explicit), r"[\s-]", "")
@@ -44,26 +44,26 @@ def remote_type(explicit: Column | None, *text: Column, flag: Column | None = No
 def _workplace_words(haystack: Column) -> Column:
     return ladder(
         [
-            (matches(haystack, rules.HYBRID_WORDS) & ~matches(haystack, _FULLY_REMOTE), "hybrid"),
-            (matches(haystack, rules.NEGATED_REMOTE), "on_site"),
-            (matches(haystack, rules.REMOTE_WORDS), "fully_remote"),
-            (matches(haystack, rules.ONSITE_WORDS), "on_site"),
+            (hit(haystack, rules.HYBRID_WORDS) & ~hit(haystack, _FULLY_REMOTE), "hybrid"),
+            (hit(haystack, rules.NEGATED_REMOTE), "on_site"),
+            (hit(haystack, rules.REMOTE_WORDS), "fully_remote"),
+            (hit(haystack, rules.ONSITE_WORDS), "on_site"),
         ]
     )
 
 
 def looks_physical(location: Column) -> Column:
     """The location names a place a person would commute to."""
-    return let(ascii_text(trim_all(location)), _names_a_place)
+    return let(folded(trim_all(location)), _names_a_place)
 
 
 def _names_a_place(t: Column) -> Column:
     return (
         F.coalesce(F.length(t) >= 3, F.lit(False))
-        & ~matches(t, rules.VAGUE_LOCATION)
-        & ~matches(t, rules.BARE_COUNTRY)
-        & ~matches(t, r"\b(remote|hybrid|virtual|work from home|wfh)\b")
-        & matches(t, r"[a-z]{3}")
+        & ~hit(t, rules.VAGUE_LOCATION)
+        & ~hit(t, rules.BARE_COUNTRY)
+        & ~hit(t, r"\b(remote|hybrid|virtual|work from home|wfh)\b")
+        & hit(t, r"[a-z]{3}")
     )
 
 
@@ -76,11 +76,11 @@ def resolved_remote_type(explicit: Column | None, location: Column, *text: Colum
 
 def seniority(title: Column, explicit: Column | None = None) -> Column:
     """Level from the vendor's own label when understood, else from the title."""
-    by_title = let(ascii_text(title), lambda t: first_label(t, rules.SENIORITY_RULES))
+    by_title = let(folded(title), lambda t: first_hit(t, rules.SENIORITY_RULES))
     if explicit is None:
         return by_title
     canonical = let(
-        ascii_text(trim_all(explicit)), lambda t: first_label(t, rules.EXPLICIT_SENIORITY)
+        folded(trim_all(explicit)), lambda t: first_hit(t, rules.EXPLICIT_SENIORITY)
     )
     return F.coalesce(let(canonical, non_empty), by_title)
 
@@ -100,19 +100,19 @@ SENIORITY_TEXT_CHARS = 4000
 
 def seniority_from_text(description: Column) -> Column:
     """Level from the first stated years of experience."""
-    return let(ascii_text(F.substring(description, 1, SENIORITY_TEXT_CHARS)), _stated_level)
+    return let(folded(F.substring(description, 1, SENIORITY_TEXT_CHARS)), _stated_level)
 
 
 def _stated_level(text: Column) -> Column:
     found = F.concat(
-        F.regexp_extract_all(text, F.lit("(?i)" + _MINIMUM_YEARS), F.lit(1)),
-        F.regexp_extract_all(text, F.lit("(?i)" + _YEARS_OF), F.lit(1)),
+        F.regexp_extract_all(text, F.lit(_MINIMUM_YEARS), F.lit(1)),
+        F.regexp_extract_all(text, F.lit(_YEARS_OF), F.lit(1)),
     )
     years = F.filter(F.transform(found, lambda y: y.cast("int")), lambda y: y <= 25)
     first = F.get(years, F.lit(0))
     return (
         F.when(text.isNull(), F.lit(None).cast("string"))
-        .when(matches(text, _ENTRY_TEXT), "entry")
+        .when(hit(text, _ENTRY_TEXT), "entry")
         .when(first >= 10, "principal")
         .when(first >= 8, "staff")
         .when(first >= 5, "senior")
@@ -146,9 +146,9 @@ EMPLOYMENT = [
 
 
 def canonical_level(c: Column) -> Column:
-    level = let(ascii_text(trim_all(F.lower(c))), lambda t: first_label(t, LEVELS))
+    level = let(folded(trim_all(c)), lambda t: first_hit(t, LEVELS))
     return let(level, non_empty)
 
 
 def canonical_employment(c: Column) -> Column:
-    return let(ascii_text(F.lower(c)), lambda t: first_label(t, EMPLOYMENT))
+    return let(folded(c), lambda t: first_hit(t, EMPLOYMENT))

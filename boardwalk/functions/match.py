@@ -2,18 +2,21 @@
 
 Word boundaries in the rules are ASCII.  Java's ``\\b`` treats accented letters as
 word characters (and changed between releases), so ASCII rules are tested against
-``ascii_text`` and the few rules that contain accented letters get explicit
-boundaries instead.
+``ascii_text`` (or its lower-case form ``folded``) and the few rules that contain
+accented letters get explicit boundaries instead.
 """
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from boardwalk.functions.literals import required_literals
 from boardwalk.rules import Rule
 
 _SPACES = "[\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_OTHER_SIGNS = "[^\\x00-\\x7f\u2013\u2014]"
 _BOUNDARY = (
     r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 )
@@ -21,9 +24,13 @@ _BOUNDARY = (
 
 def ascii_text(c: Column) -> Column:
     """Same length, but letters outside ASCII become a non-word sign."""
-    return F.regexp_replace(
-        F.regexp_replace(c, _SPACES, " "), "[^\\x00-\\x7f\u2013\u2014]", "\u00b7"
-    )
+    changed = F.regexp_replace(F.regexp_replace(c, _SPACES, " "), _OTHER_SIGNS, "\u00b7")
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(changed)
+
+
+def folded(c: Column) -> Column:
+    """Lower-case ``ascii_text``: what ``hit`` and ``first_hit`` read."""
+    return F.lower(ascii_text(c))
 
 
 def java_pattern(pattern: str, ignore_case: bool = True) -> str:
@@ -35,6 +42,44 @@ def java_pattern(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iu)" if ignore_case else "") + out.replace(r"\b", _BOUNDARY)
 
 
+def _lower_pattern(pattern: str) -> str:
+    out = re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), pattern)
+    return java_pattern(out, ignore_case=False)
+
+
+def hit(c: Column, rule) -> Column:
+    """True where the rule matches folded text; never NULL.
+
+    The pattern runs only on texts that contain one of the strings it needs.
+    """
+    if isinstance(rule, list):
+        return any_of(hit(c, r) for r in rule)
+    if isinstance(rule, Rule):
+        text = c
+        if rule.strip:
+            text = F.regexp_replace(c, _lower_pattern(rule.strip), " ")
+        out = all_of(hit(text, p) for p in rule.must)
+        for p in rule.must_not:
+            out = out & ~hit(text, p)
+        return out
+    found = c.rlike(_lower_pattern(rule))
+    needed = required_literals(rule)
+    if needed:
+        found = any_of(c.contains(s) for s in needed) & found
+    return F.coalesce(found, F.lit(False))
+
+
+def first_hit(c: Column, rules, raw: Column | None = None) -> Column:
+    """Label of the first rule matching folded text, NULL when none does.
+
+    Rules holding accented letters read ``raw`` instead.
+    """
+    return ladder(
+        (hit(c, rule) if raw is None or is_ascii_rule(rule) else matches(raw, rule), label)
+        for rule, label in rules
+    )
+
+
 def is_ascii_rule(rule) -> bool:
     parts = (*rule.must, *rule.must_not) if isinstance(rule, Rule) else (rule,)
     return all(ord(ch) < 128 or ch in "\u2013\u2014" for p in parts for ch in p)
@@ -77,17 +122,6 @@ def ladder(pairs, otherwise: Column | None = None) -> Column:
     return expr if otherwise is None else expr.otherwise(otherwise)
 
 
-def first_label(c: Column, rules, raw: Column | None = None) -> Column:
-    """Label of the first matching rule, NULL when none does.
-
-    ``c`` is the ASCII form; rules holding accented letters read ``raw``.
-    """
-    return ladder(
-        (matches(c if raw is None or is_ascii_rule(rule) else raw, rule), label)
-        for rule, label in rules
-    )
-
-
 def trim_all(c: Column) -> Column:
     """Trim every kind of white space, line breaks included."""
     return F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+\z", "")

@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from boardwalk.functions.match import ascii_text, let, matches
+from boardwalk.functions.match import folded, hit, let
 from boardwalk.rules import currency as rules
 
 
@@ -159,7 +159,7 @@ def _judge(text: Column, span: Column, pattern: str, is_range: bool) -> Column:
     return let(
         F.struct(F.concat(before, after).alias("raw"), found.alias("found")),
         lambda w: let(
-            F.struct(w["raw"].alias("raw"), ascii_text(w["raw"]).alias("near"), w["found"].alias("found")),
+            F.struct(w["raw"].alias("raw"), folded(w["raw"]).alias("near"), w["found"].alias("found")),
             lambda x: _verdict(x, pattern, is_range),
         ),
     )
@@ -169,12 +169,12 @@ def _verdict(w: Column, pattern: str, is_range: bool) -> Column:
     near, found = w["near"], w["found"]
     lo = _figure(F.regexp_extract(found, "(?i)" + pattern, 2), near)
     hi = _figure(F.regexp_extract(found, "(?i)" + pattern, 4), near) if is_range else lo
-    about_pay = matches(near, PAY_CONTEXT)
+    about_pay = hit(near, PAY_CONTEXT)
     if is_range:
         about_pay = about_pay | found.rlike("[$£€₹]")
-    about_pay = about_pay & ~matches(near, ANTI_CONTEXT)
+    about_pay = about_pay & ~hit(near, ANTI_CONTEXT)
     band = F.coalesce((hi >= lo) & (hi <= lo * 5), F.lit(False))
-    code = F.upper(F.regexp_extract(near, "(?i)" + CURRENCY_CODES, 1))
+    code = F.upper(F.regexp_extract(near, CURRENCY_CODES.lower(), 1))
     symbol = None
     for sign, iso in CURRENCY_SYMBOLS:
         has = F.instr(w["raw"], sign) > 0
@@ -198,11 +198,11 @@ def _figure(raw: Column, near: Column) -> Column:
     monthly = value * 12
     return (
         F.when(
-            matches(near, PER_HOUR),
+            hit(near, PER_HOUR),
             F.when(value.between(HOURLY_MIN, HOURLY_MAX), whole(value * rules.HOURS_PER_YEAR)),
         )
         .when(
-            matches(near, PER_MONTH),
+            hit(near, PER_MONTH),
             F.when(monthly.between(ANNUAL_MIN, ANNUAL_MAX), whole(monthly)),
         )
         .otherwise(F.when(value.between(ANNUAL_MIN, ANNUAL_MAX), whole(value)))

@@ -8,7 +8,16 @@ whose title leaves the question open.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.functions.match import any_of, ascii_text, first_label, ladder, matches
+from boardwalk.functions.match import (
+    any_of,
+    ascii_text,
+    first_hit,
+    folded,
+    hit,
+    ladder,
+    matches,
+)
+from boardwalk.functions.steps import computed
 from boardwalk.rules import adjacent as adjacent_rules
 from boardwalk.rules import families as rules
 from boardwalk.rules import quiet as quiet_rules
@@ -26,7 +35,7 @@ UNMATCHED = "no family matched"
 
 def _names(haystack: Column, table) -> Column:
     """Canonical names of the skills found, in table order."""
-    return F.array_compact(F.array(*[F.when(matches(haystack, p), name) for p, name, _ in table]))
+    return F.array_compact(F.array(*[F.when(hit(haystack, p), name) for p, name, _ in table]))
 
 
 def _weight(names: Column, table) -> Column:
@@ -51,7 +60,7 @@ def with_skill_scores(
         names[f"{prefix}{family}_names"] = (
             found if needed is None else F.when(needed, found).otherwise(none)
         )
-    df = df.withColumns(names)
+    df = computed(df, names)
     return df.withColumns(
         {
             f"{prefix}{family}_score": _weight(F.col(f"{prefix}{family}_names"), table)
@@ -63,8 +72,8 @@ def with_skill_scores(
 def skill_scores(df: DataFrame) -> DataFrame:
     """Skill score of every family, whatever family the posting gets."""
     hay = F.concat(
-        ascii_text(F.col("title")), F.lit(" "),
-        ascii_text(F.substring(F.coalesce("description", F.lit("")), 1, rules.BODY_CHARS)),
+        folded(F.col("title")), F.lit(" "),
+        folded(F.substring(F.coalesce("description", F.lit("")), 1, rules.BODY_CHARS)),
     )
     scored = with_skill_scores(df.withColumn("_hay", hay), F.col("_hay"))
     keep = [F.col(f"_{f}_score").alias(f"{f}_score") for f in SKILLS]
@@ -73,10 +82,10 @@ def skill_scores(df: DataFrame) -> DataFrame:
 
 def extract_skills(df: DataFrame, text: str = "text") -> DataFrame:
     """All skills named anywhere in a text, in vocabulary order."""
-    folded = df.withColumn("_text", ascii_text(F.col(text)))
+    texts = df.withColumn("_text", folded(F.col(text)))
     order = ("cloud", "software", "data", "hris")
     found = F.concat(*[_names(F.col("_text"), SKILLS[f]) for f in order])
-    return folded.withColumn("skills", F.array_distinct(found)).drop("_text")
+    return texts.withColumn("skills", F.array_distinct(found)).drop("_text")
 
 
 def match_dictionary(
@@ -88,17 +97,15 @@ def match_dictionary(
     ``max_rules``, checked) and become literal patterns, so each text is read once
     and never multiplied by the number of rules.
     """
-    from boardwalk.functions.match import java_pattern
-
     rows = rules_df.select("family", "pattern", "canonical", "weight").limit(max_rules + 1).collect()
     if len(rows) > max_rules:
         raise ValueError(f"dictionary holds more than {max_rules} rules")
-    folded = df.select(key, ascii_text(F.col(text)).alias("_text"))
+    texts = df.select(key, folded(F.col(text)).alias("_text"))
     hits = F.array_compact(
         F.array(
             *[
                 F.when(
-                    F.coalesce(F.col("_text").rlike(java_pattern(r["pattern"])), F.lit(False)),
+                    hit(F.col("_text"), r["pattern"]),
                     F.struct(
                         F.lit(r["family"]).alias("family"),
                         F.lit(r["canonical"]).alias("canonical"),
@@ -110,7 +117,7 @@ def match_dictionary(
         )
     )
     return (
-        folded.select(key, F.explode(hits).alias("h"))
+        texts.select(key, F.explode(hits).alias("h"))
         .groupBy(key, F.col("h.family").alias("family"), F.col("h.canonical").alias("canonical"))
         .agg(F.max("h.weight").alias("weight"))
         .groupBy(key, "family")
@@ -123,76 +130,82 @@ def match_dictionary(
 
 def _title_family(m: Column, cloud_score: Column) -> Column:
     """First family whose title rule matches and is not vetoed."""
-    production = matches(m, rules.PRODUCTION_ENGINEER)
-    qualified = ~matches(m, rules.PRODUCTION_MANUFACTURING) & (
-        matches(m, rules.PRODUCTION_TECHNICAL) | (cloud_score > 0)
+    production = hit(m, rules.PRODUCTION_ENGINEER)
+    qualified = ~hit(m, rules.PRODUCTION_MANUFACTURING) & (
+        hit(m, rules.PRODUCTION_TECHNICAL) | (cloud_score > 0)
     )
     without_production = F.regexp_replace(
-        m, r"(?is)^(.*?)" + rules.PRODUCTION_ENGINEER + r"(.*)\z", "$1$2"
+        m, r"(?s)^(.*?)" + rules.PRODUCTION_ENGINEER + r"(.*)\z", "$1$2"
     )
-    other_claim = matches(without_production, rules.CLOUD_TITLES)
+    other_claim = hit(without_production, rules.CLOUD_TITLES)
     vetoes = {
-        "hris": matches(m, rules.HRIS_EXCLUSIONS)
-        | (matches(m, rules.HRIS_PRODUCTS) & matches(m, rules.HRIS_NON_HR_MODULE)),
-        "testing": matches(m, rules.NOT_TESTING) | matches(m, rules.TESTING_NONSOFTWARE),
-        "networking": matches(m, rules.NOT_NETWORKING) | matches(m, rules.NETWORKING_HARDWARE),
+        "hris": hit(m, rules.HRIS_EXCLUSIONS)
+        | (hit(m, rules.HRIS_PRODUCTS) & hit(m, rules.HRIS_NON_HR_MODULE)),
+        "testing": hit(m, rules.NOT_TESTING) | hit(m, rules.TESTING_NONSOFTWARE),
+        "networking": hit(m, rules.NOT_NETWORKING) | hit(m, rules.NETWORKING_HARDWARE),
         "data": F.lit(False),
-        "cloud": matches(m, rules.CLOUD_TITLE_NOISE)
-        | matches(m, rules.NOT_INFOSEC)
+        "cloud": hit(m, rules.CLOUD_TITLE_NOISE)
+        | hit(m, rules.NOT_INFOSEC)
         | (production & ~qualified & ~other_claim),
         "software": (
-            matches(m, r"\barchitect\b") & matches(m, rules.NOT_SOFTWARE_ARCHITECT)
+            hit(m, r"\barchitect\b") & hit(m, rules.NOT_SOFTWARE_ARCHITECT)
         )
         | (
-            matches(m, rules.ENGINEERING_LEADERSHIP)
-            & matches(m, rules.NOT_SOFTWARE_ENG_MANAGER)
+            hit(m, rules.ENGINEERING_LEADERSHIP)
+            & hit(m, rules.NOT_SOFTWARE_ENG_MANAGER)
         ),
     }
     titles = {
-        "hris": any_of(matches(m, r) for r in rules.HRIS_TITLES),
-        "testing": matches(m, rules.TESTING_TITLES),
-        "networking": matches(m, rules.NETWORKING_TITLES),
-        "data": matches(m, rules.DATA_TITLES),
-        "cloud": matches(m, rules.CLOUD_TITLES),
-        "software": matches(m, rules.SOFTWARE_TITLES),
+        "hris": any_of(hit(m, r) for r in rules.HRIS_TITLES),
+        "testing": hit(m, rules.TESTING_TITLES),
+        "networking": hit(m, rules.NETWORKING_TITLES),
+        "data": hit(m, rules.DATA_TITLES),
+        "cloud": hit(m, rules.CLOUD_TITLES),
+        "software": hit(m, rules.SOFTWARE_TITLES),
     }
     return ladder((titles[f] & ~vetoes[f], f) for f in rules.TITLE_ORDER)
 
 
+def _best_of(candidates) -> Column:
+    """struct(score, ord, family) of the best (able, score, family); earlier wins ties."""
+    entries = [
+        F.when(able, F.struct(score.alias("score"), F.lit(-i).alias("ord"), F.lit(f).alias("family")))
+        for i, (able, score, f) in enumerate(candidates)
+    ]
+    return F.array_max(F.array_compact(F.array(*entries)))
+
+
 def _strongest(exclude: Column | None, beat: Column) -> Column:
-    """struct(score, family) of the best stack family above threshold and ``beat``."""
-    best = F.lit(None).cast("struct<score:int,family:string>")
+    """Best stack family above its threshold and above ``beat``."""
+    candidates = []
     for family in rules.STACK_FAMILIES:
         score = F.col(f"_{family}_score")
         able = (score >= rules.SKILL_THRESHOLD) & (score > beat)
-        if exclude is not None:
-            able = able & (exclude != family)
-        better = able & F.coalesce(score > best["score"], F.lit(True))
-        best = F.when(better, F.struct(score.alias("score"), F.lit(family).alias("family"))).otherwise(best)
-    return best
+        candidates.append((able if exclude is None else able & (exclude != family), score, family))
+    return _best_of(candidates)
 
 
 def _prepare(df: DataFrame) -> DataFrame:
     """Text forms and every title-only verdict."""
     body = F.substring(F.coalesce(F.col("description"), F.lit("")), 1, rules.BODY_CHARS)
-    df = df.withColumns({"_t": ascii_text(F.col("title")), "_body": ascii_text(body)})
+    df = df.withColumns({"_t": folded(F.col("title")), "_body": folded(body)})
     df = df.withColumns(
         {
             "_hay": F.concat("_t", F.lit(" "), "_body"),
             "_m": F.regexp_replace(
-                F.regexp_replace("_t", r"(?i)\bengineering\b", "engineer"), "-", " "
+                F.regexp_replace("_t", r"\bengineering\b", "engineer"), "-", " "
             ),
         }
     )
     t = F.col("_t")
-    df = df.withColumn("_hard", first_label(t, rules.HARD_EXCLUSIONS))
-    df = df.withColumn(
-        "excluded_reason",
-        F.when(F.col("_hard").isNotNull(), F.col("_hard")).when(
-            ~matches(t, rules.ENGINEERING_ROLE), first_label(t, rules.SOFT_EXCLUSIONS)
-        ),
+    soft = F.when(~hit(t, rules.ENGINEERING_ROLE), first_hit(t, rules.SOFT_EXCLUSIONS))
+    return computed(
+        df,
+        {
+            "excluded_reason": F.coalesce(first_hit(t, rules.HARD_EXCLUSIONS), soft),
+            "_adjacent": _adjacent_category(),
+        },
     )
-    return df.withColumn("_adjacent", _adjacent_category())
 
 
 def with_family(df: DataFrame) -> DataFrame:
@@ -206,8 +219,8 @@ def _family(df: DataFrame, all_rows: bool) -> DataFrame:
     needed = open_question | F.col("_adjacent").isNotNull() if all_rows else open_question
     df = with_skill_scores(df, F.col("_hay"), needed)
     m = F.col("_m")
-    df = df.withColumn(
-        "_tf", F.when(open_question, _title_family(m, F.col("_cloud_score")))
+    df = computed(
+        df, {"_tf": F.when(open_question, _title_family(m, F.col("_cloud_score")))}
     )
     own = ladder(
         [(F.col("_tf") == f, F.col(f"_{f}_score")) for f in ("hris", *rules.STACK_FAMILIES)], F.lit(0)
@@ -229,12 +242,13 @@ def _family(df: DataFrame, all_rows: bool) -> DataFrame:
         open_question
         & F.col("_tf").isNull()
         & F.col("_best").isNull()
-        & ~matches(m, rules.CLOUD_TITLE_NOISE)
-        & matches(m, rules.CLOUD_TITLES_LOOSE)
+        & ~hit(m, rules.CLOUD_TITLE_NOISE)
+        & hit(m, rules.CLOUD_TITLES_LOOSE)
     )
     df = df.withColumns({"_over": F.coalesce(overruled, F.lit(False)), "_loose": loose})
     by_title = F.col("_tf").isNotNull() & ~F.col("_over")
-    df = df.withColumns(
+    df = computed(
+        df,
         {
             "family": F.when(F.col("_over"), F.col("_other.family"))
             .when(F.col("_tf").isNotNull(), F.col("_tf"))
@@ -242,8 +256,8 @@ def _family(df: DataFrame, all_rows: bool) -> DataFrame:
             .when(F.col("_loose"), F.lit("cloud")),
             "title_matched": by_title | F.col("_loose"),
             "ai": open_question
-            & (matches(F.col("_t"), rules.AI_TITLE) | matches(F.col("_body"), rules.AI_BODY_STRONG)),
-        }
+            & (hit(F.col("_t"), rules.AI_TITLE) | hit(F.col("_body"), rules.AI_BODY_STRONG)),
+        },
     )
     family = F.col("family")
     none = F.array().cast("array<string>")
@@ -268,22 +282,19 @@ def with_specialization(df: DataFrame, family: str = "family") -> DataFrame:
     S = specializations
 
     def normalise(c: Column) -> Column:
-        c = F.regexp_replace(F.lower(ascii_text(c)), r"\bengineering\b", "engineer")
+        c = F.regexp_replace(folded(c), r"\bengineering\b", "engineer")
         return F.trim(F.regexp_replace(F.regexp_replace(c, r"[.\-_/]", " "), r"\s+", " "))
 
     body = F.substring(F.coalesce(F.col("description"), F.lit("")), 1, S.BODY_CHARS)
     df = df.withColumns({"_st": normalise(F.col("title")), "_sb": normalise(body)})
     fam, title, text = F.col(family), F.col("_st"), F.col("_sb")
 
-    def hit(c: Column, p: str) -> Column:
-        return matches(c, p, ignore_case=False)
-
     by_title = ladder(
         (fam == f, ladder((hit(title, p), spec) for spec, p, _ in table))
         for f, table in S.RULES.items()
     )
     generic = ladder(((fam == f, hit(title, p)) for f, p in S.GENERIC_TITLE.items()), F.lit(False))
-    df = df.withColumns({"_by_title": by_title, "_generic": generic})
+    df = computed(df, {"_by_title": by_title, "_generic": generic})
 
     def ranked(table) -> Column:
         return F.array_sort(
@@ -301,9 +312,9 @@ def with_specialization(df: DataFrame, family: str = "family") -> DataFrame:
         )
 
     undecided = F.col("_by_title").isNull() & (F.length("_sb") > 0)
-    df = df.withColumn(
-        "_ranked",
-        F.when(undecided, ladder((fam == f, ranked(table)) for f, table in S.RULES.items())),
+    df = computed(
+        df,
+        {"_ranked": F.when(undecided, ladder((fam == f, ranked(t)) for f, t in S.RULES.items()))},
     )
     top = F.get("_ranked", F.lit(0))
     df = df.withColumns(
@@ -402,13 +413,13 @@ def _adjacent_category() -> Column:
     R = adjacent_rules
     t, m = F.col("_t"), F.trim(F.col("_m"))
     vetoed = any_of(
-        matches(t, p) for p in (R.NEVER_ADJACENT, R.HARDWARE_ENGINEERING, R.NOT_A_TECH_ROLE)
+        hit(t, p) for p in (R.NEVER_ADJACENT, R.HARDWARE_ENGINEERING, R.NOT_A_TECH_ROLE)
     )
-    it_role = matches(t, R.IT_ACRONYM, ignore_case=False) | matches(F.col("_hay"), R.IT_SIGNAL)
+    it_role = matches(ascii_text(F.col("title")), R.IT_ACRONYM, ignore_case=False) | hit(F.col("_hay"), R.IT_SIGNAL)
     pairs = []
     for category, pattern, _ in R.RULES:
-        hit = matches(m, pattern)
-        pairs.append((hit & it_role if category == "systems_engineering" else hit, category))
+        found = hit(m, pattern)
+        pairs.append((found & it_role if category == "systems_engineering" else found, category))
     return F.when(~vetoed, ladder(pairs))
 
 
@@ -416,13 +427,9 @@ def _with_adjacent(df: DataFrame) -> DataFrame:
     """Add adjacent_category, adjacent_family and adjacent_reason (needs ``_family``)."""
     R = adjacent_rules
     category = F.col("_adjacent")
-    best = F.lit(None).cast("struct<score:int,family:string>")
-    for family in SKILLS:
-        score = F.col(f"_{family}_score")
-        better = score > F.coalesce(best["score"], F.lit(0))
-        best = F.when(better, F.struct(score.alias("score"), F.lit(family).alias("family"))).otherwise(best)
-    df = df.withColumn("_evidence", best)
-    asked = F.col("family").isNull() | matches(F.col("_t"), R.FORCE_ADJACENT)
+    scores = {f: F.col(f"_{f}_score") for f in SKILLS}
+    df = df.withColumn("_evidence", _best_of((s > 0, s, f) for f, s in scores.items()))
+    asked = F.col("family").isNull() | hit(F.col("_t"), R.FORCE_ADJACENT)
     fallback = ladder((category == name, fam) for name, _, fam in R.RULES)
     hris = category.isin("hris_platform", "hris_operations")
     family = F.when(hris, "hris").otherwise(F.coalesce(F.col("_evidence.family"), fallback))
@@ -432,7 +439,7 @@ def _with_adjacent(df: DataFrame) -> DataFrame:
         F.when(
             category == "hris_platform",
             F.when(
-                matches(F.col("_t"), rules.HRIS_NON_HR_MODULE),
+                hit(F.col("_t"), rules.HRIS_NON_HR_MODULE),
                 F.concat(named, F.lit("HR platform, non-HR module")),
             ).otherwise(F.concat(named, F.lit("vendor product outside the core rules"))),
         )
@@ -461,9 +468,9 @@ def _with_adjacent(df: DataFrame) -> DataFrame:
 def _review_pile() -> Column:
     R = adjacent_rules
     t = F.col("_t")
-    vetoed = any_of(matches(t, p) for p in (R.NEVER_UNSORTED, R.PHYSICAL_SECURITY, R.NOT_OUR_WORLD))
+    vetoed = any_of(hit(t, p) for p in (R.NEVER_UNSORTED, R.PHYSICAL_SECURITY, R.NOT_OUR_WORLD))
     any_score = F.greatest(*[F.col(f"_{f}_score") for f in SKILLS]) > 0
-    return ~vetoed & (matches(t, R.LOOKS_TECHNICAL) | any_score)
+    return ~vetoed & (hit(t, R.LOOKS_TECHNICAL) | any_score)
 
 
 def classify_postings(df: DataFrame) -> DataFrame:
@@ -480,15 +487,13 @@ def classify_postings(df: DataFrame) -> DataFrame:
         & F.col("excluded_reason").isNull()
         & _review_pile()
     )
-    df = df.withColumn("_review", review)
-    df = df.withColumns(
+    df = computed(
+        df,
         {
             "core_family": F.col("family"),
             "adjacent": is_adjacent,
-            "_final": F.coalesce(
-                F.col("family"), F.col("adjacent_family"), F.when(F.col("_review"), F.lit("unsorted"))
-            ),
-        }
+            "_final": F.coalesce("family", "adjacent_family", F.when(review, F.lit("unsorted"))),
+        },
     )
     df = with_specialization(df, "core_family")
     df = df.withColumns(
@@ -513,26 +518,31 @@ def review_pile(df: DataFrame) -> DataFrame:
 def with_sector(df: DataFrame, only: Column | None = None) -> DataFrame:
     """Add sector and sector_reason from the advert's own language."""
     R = sector_rules
-    text = F.regexp_replace(F.col("description"), "(?i)" + R.BOILERPLATE, " ")
+    text = F.col("description")
+    # The sentence pattern is only tried where one of its phrases occurs.
+    quoted = hit(folded(text), R.BOILERPLATE_PHRASES)
+    text = F.when(quoted, F.regexp_replace(text, "(?i)" + R.BOILERPLATE, " ")).otherwise(text)
     text = F.when(only, text) if only is not None else text
-    df = df.withColumn("_x", ascii_text(text))
+    df = df.withColumn("_cased", ascii_text(text)).withColumn("_x", F.lower("_cased"))
     x = F.col("_x")
-    name = F.concat(F.coalesce("company", F.lit("")), F.lit(" "), F.coalesce("board_token", F.lit("")))
+    name = folded(
+        F.concat(F.coalesce("company", F.lit("")), F.lit(" "), F.coalesce("board_token", F.lit("")))
+    )
     readable = F.coalesce(F.length("description") > 0, F.lit(False)) & x.isNotNull()
     claims = []
     for s in R.SECTOR_ORDER:
-        claim = matches(x, "|".join(R.STRONG[s]))
+        claim = hit(x, R.STRONG[s])
         if s in R.CASED:
-            claim = claim | matches(x, R.CASED[s], ignore_case=False)
+            claim = claim | matches(F.col("_cased"), R.CASED[s], ignore_case=False)
         claims.append(F.when(claim, s))
     matched = F.when(
-        readable & ~matches(x, "|".join(R.VENDOR)), F.array_compact(F.array(*claims))
+        readable & ~hit(x, R.VENDOR), F.array_compact(F.array(*claims))
     )
-    df = df.withColumn("_matched", matched)
+    df = computed(df, {"_matched": matched})
     hinted = F.array_compact(
         F.array(
             *[
-                F.when(F.array_contains("_matched", s) & matches(name, R.NAME_HINT[s]), s)
+                F.when(F.array_contains("_matched", s) & hit(name, R.NAME_HINT[s]), s)
                 for s in R.SECTOR_ORDER
             ]
         )
@@ -545,7 +555,7 @@ def with_sector(df: DataFrame, only: Column | None = None) -> DataFrame:
             "The advert describes the organisation as one"
         ),
     )
-    return df.withColumns({"sector": sector, "sector_reason": reason}).drop("_x", "_matched")
+    return df.withColumns({"sector": sector, "sector_reason": reason}).drop("_x", "_cased", "_matched")
 
 
 # ------------------------------------------------------------------------ quiet, stack

@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardwalk.functions.dates import exact_age
-from boardwalk.functions.match import ascii_text, matches
+from boardwalk.functions.match import folded, hit
+from boardwalk.functions.steps import computed
 from boardwalk.rules import quiet as quiet_rules
 from boardwalk.rules import scoring as rules
 
@@ -43,25 +44,26 @@ def with_scores(df: DataFrame, now: Column) -> DataFrame:
     )
     df = df.withColumns(
         {
-            "_text": ascii_text(text),
-            "_desc": ascii_text(F.coalesce(F.col("description"), F.lit(""))),
-            "_place": ascii_text(place),
+            "_text": folded(text),
+            "_desc": folded(F.coalesce(F.col("description"), F.lit(""))),
+            "_place": folded(place),
             "_age": exact_age(F.col("posted_at"), now),
         }
     )
-    df = df.withColumns(
+    df = computed(
+        df,
         {
-            "_hub": matches(F.col("_place"), rules.HUB_CITIES),
-            "_niche": matches(F.col("_text"), rules.NICHE_SKILLS),
-            "_credential": matches(F.col("_text"), rules.CREDENTIALS),
-            "_evergreen": matches(F.col("_text"), rules.EVERGREEN),
-            "_staffing": matches(F.col("_text"), rules.STAFFING),
-            "_letter": matches(F.col("_desc"), r"\bcover letter\b"),
-            "_sample": matches(
+            "_hub": hit(F.col("_place"), rules.HUB_CITIES),
+            "_niche": hit(F.col("_text"), rules.NICHE_SKILLS),
+            "_credential": hit(F.col("_text"), rules.CREDENTIALS),
+            "_evergreen": hit(F.col("_text"), rules.EVERGREEN),
+            "_staffing": hit(F.col("_text"), rules.STAFFING),
+            "_letter": hit(F.col("_desc"), r"\bcover letter\b"),
+            "_sample": hit(
                 F.col("_desc"),
                 r"\b(work sample|take[- ]home|portfolio|writing sample|assessment)\b",
             ),
-        }
+        },
     )
     remote, level, age = F.col("remote_type"), F.col("seniority"), F.col("_age")
     local = _flag(remote.isin("on_site", "hybrid"))

@@ -74,3 +74,9 @@ BOILERPLATE = (
     r"[^.!?]*\b(fair chance (ordinance|initiative|act)|ban[- ]the[- ]box|"
     r"arrest and conviction record|conviction record|criminal histor(y|ies))\b[^.!?]*[.!?]"
 )
+
+# Phrases inside BOILERPLATE; without one of them nothing is cut.
+BOILERPLATE_PHRASES = (
+    r"\b(fair chance (ordinance|initiative|act)|ban[- ]the[- ]box|"
+    r"conviction record|criminal histor(y|ies))\b"
+)

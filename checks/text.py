@@ -90,13 +90,12 @@ scalar(
 
 @register(
     "failure_kind",
-    "select event_id, case when cast(value as int) % 7 = 0 then 'gone' when cast(value as int) % 7 = 1 then 'gone' "
+    "select event_id, case when floor(value) % 7 = 0 then 'gone' when floor(value) % 7 = 1 then 'gone' "
     "else 'refused' end as kind from events",
 )
 def failure_kind(spark, sf_dir):
-    n = F.round("value").cast("int") % 7
+    n = F.floor("value") % 7
     status = F.when(n == 0, 404).when(n == 1, 410).when(n == 2, 429)
-    # DuckDB rounds on a cast to integer, so the remainder is taken of the rounded value here too.
     return fx.read(spark, sf_dir, "events").select("event_id", text.failure_kind(status).alias("kind"))
 
 
