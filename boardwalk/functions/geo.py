@@ -3,15 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from boardwalk.functions.match import (
-    any_of,
-    first_hit,
-    folded,
-    hit,
-    let,
-    non_empty,
-    trim_all,
-)
+from boardwalk.functions.match import first_hit_sql, hit_sql, let, non_empty, trim_all
 from boardwalk.rules import geo as rules
 
 
@@ -37,66 +29,90 @@ def _shown_parts(parts: Column) -> Column:
     return F.when(F.size(parts) > 2, many).otherwise(let(F.substring(s, 1, 80), non_empty))
 
 
-def explicit_country(c: Column) -> Column:
-    """ISO code from a vendor's own country field; invalid codes are NULL."""
-    return let(trim_all(c), lambda raw: let(folded(raw), lambda plain: _explicit(raw, plain)))
+# Country and state read some 300 patterns, so they are built as SQL text over column
+# names; the trimmed and the folded place are bound once with lambdas.
+
+_TRIMMED = r"regexp_replace({0}, r'^[\s\u00a0]+|[\s\u00a0]+\z', '')"
+_CODES = "(" + ", ".join(f"'{c}'" for c in rules.US_STATE_CODES) + ")"
 
 
-def _explicit(raw: Column, plain: Column) -> Column:
-    code = F.when(raw == "UK", "GB").when(raw.isin(list(rules.COUNTRY_LABELS)), raw)
-    return F.coalesce(
-        code,
-        first_hit(plain, rules.COUNTRY_NAMES, raw),
-        F.when(hit(plain, rules.US_MARKERS), "US"),
+def _folded_sql(expr: str) -> str:
+    return (
+        f"lower(if(octet_length({expr}) = char_length({expr}), {expr}, "
+        f"regexp_replace({expr}, r'[^\\x00-\\x7f\u2013\u2014]', '\u00b7')))"
     )
 
 
-def country(location: Column, explicit: Column | None = None) -> Column:
-    """Country of a free-text place; an explicit field wins when understood."""
-    found = let(
-        trim_all(location), lambda raw: let(folded(raw), lambda plain: _country(raw, plain))
+def _let(name: str, value: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _place(column: str, body: str) -> str:
+    return _let("raw", _TRIMMED.format(column), _let("plain", _folded_sql("raw"), body))
+
+
+def _names(table) -> str:
+    return first_hit_sql("plain", table, "raw")
+
+
+def _us_if(condition: str) -> str:
+    return f"if({condition}, 'US', null)"
+
+
+def _explicit_sql(column: str) -> str:
+    codes = ", ".join(f"'{c}'" for c in rules.COUNTRY_LABELS)
+    return _place(
+        column,
+        f"case when raw = 'UK' then 'GB' when raw in ({codes}) then raw else "
+        f"coalesce({_names(rules.COUNTRY_NAMES)}, {_us_if(hit_sql('plain', rules.US_MARKERS))}) end",
     )
-    return found if explicit is None else F.coalesce(explicit_country(explicit), found)
 
 
-def _country(raw: Column, plain: Column) -> Column:
-    city = first_hit(plain, rules.CITY_COUNTRY, raw)
-    tokens = F.transform(
-        F.split(raw, "[,|;\\-–]"),
-        lambda part: F.upper(F.get(F.split(trim_all(part), r"\s+"), F.lit(0))),
+def _country_sql(column: str) -> str:
+    first_words = (
+        "transform(split(raw, r'[,|;\\-–]'), "
+        f"p -> upper(split({_TRIMMED.format('p')}, r'\\s+')[0]))"
     )
-    state_code = F.get(F.filter(tokens, lambda t: t.isin(rules.US_STATE_CODES)), F.lit(0))
-    return F.coalesce(
-        first_hit(plain, rules.COUNTRY_NAMES, raw),
-        F.when(hit(plain, rules.US_MARKERS), "US"),
-        F.when(state_code.isNotNull(), F.when(city == state_code, city).otherwise("US")),
-        F.when(hit(plain, rules.US_STATE_NAMES), "US"),
-        city,
-        F.when(hit(plain, rules.US_CITIES), "US"),
+    code = f"get(filter({first_words}, t -> t in {_CODES}), 0)"
+    decided = (
+        f"coalesce({_names(rules.COUNTRY_NAMES)}, {_us_if(hit_sql('plain', rules.US_MARKERS))}, "
+        f"if(code is not null, if(coalesce(city = code, false), city, 'US'), null), "
+        f"{_us_if(hit_sql('plain', rules.US_STATE_NAMES))}, city, "
+        f"{_us_if(hit_sql('plain', rules.US_CITIES))})"
     )
+    return _place(column, _let("city", _names(rules.CITY_COUNTRY), _let("code", code, decided)))
 
 
-def us_state(location: Column, explicit: Column | None = None) -> Column:
-    """US state code; NULL for anything placed in another country."""
-    state = let(trim_all(location), lambda t: let(folded(t), lambda plain: _state(t, plain)))
-    return F.when(F.coalesce(country(location, explicit), F.lit("US")) == "US", state)
-
-
-def _state(raw: Column, plain: Column) -> Column:
-    segments = F.split(raw, "[,|/;]|\\s[–-]\\s")
-
-    def code_of(segment: Column) -> Column:
-        tokens = F.split(trim_all(segment), r"\s+")
-        first = F.upper(F.get(tokens, F.lit(0)))
-        last = F.upper(F.element_at(tokens, -1))
-        return F.when(first.isin(rules.US_STATE_CODES), first).when(
-            last.isin(rules.US_STATE_CODES), last
-        )
-
-    code = F.get(F.array_compact(F.transform(segments, code_of)), F.lit(0))
-    return F.coalesce(
-        F.when(any_of(hit(plain, p) for p in rules.DC_FORMS), "DC"),
-        code,
-        first_hit(plain, rules.US_STATE_NAME_TO_CODE, raw),
-        first_hit(plain, rules.CITY_STATE_US, raw),
+def _state_sql(column: str) -> str:
+    words = f"split({_TRIMMED.format('p')}, r'\\s+')"
+    codes = (
+        f"transform(split(raw, r'[,|/;]|\\s[–-]\\s'), p -> case when upper({words}[0]) in {_CODES} "
+        f"then upper({words}[0]) when upper(element_at({words}, -1)) in {_CODES} "
+        f"then upper(element_at({words}, -1)) end)"
     )
+    return _place(
+        column,
+        f"coalesce(if({hit_sql('plain', rules.DC_FORMS)}, 'DC', null), get(array_compact({codes}), 0), "
+        f"{_names(rules.US_STATE_NAME_TO_CODE)}, {_names(rules.CITY_STATE_US)})",
+    )
+
+
+def explicit_country(column: str) -> Column:
+    """ISO code from a vendor's own country field; invalid codes are NULL."""
+    return F.expr(_explicit_sql(column))
+
+
+def _any_country_sql(location: str, explicit: str | None) -> str:
+    found = _country_sql(location)
+    return found if explicit is None else f"coalesce({_explicit_sql(explicit)}, {found})"
+
+
+def country(location: str, explicit: str | None = None) -> Column:
+    """Country of a free-text place column; an explicit field wins when understood."""
+    return F.expr(_any_country_sql(location, explicit))
+
+
+def us_state(location: str, explicit: str | None = None) -> Column:
+    """US state code; NULL for anything placed in another country."""
+    placed = f"coalesce({_any_country_sql(location, explicit)}, 'US') = 'US'"
+    return F.expr(f"if({placed}, {_state_sql(location)}, null)")

@@ -47,37 +47,67 @@ def _lower_pattern(pattern: str) -> str:
     return java_pattern(out, ignore_case=False)
 
 
-def hit(c: Column, rule) -> Column:
-    """True where the rule matches folded text; never NULL.
+def text_literal(value: str) -> str:
+    """A SQL string literal, taken as written."""
+    return f'r"{value}"' if "'" in value else f"r'{value}'"
+
+
+def hit_sql(expr: str, rule) -> str:
+    """SQL condition: the rule matches the folded text ``expr``.  Never NULL.
 
     The pattern runs only on texts that contain one of the strings it needs.
     """
     if isinstance(rule, list):
-        return any_of(hit(c, r) for r in rule)
+        return "(" + " or ".join(hit_sql(expr, r) for r in rule) + ")"
     if isinstance(rule, Rule):
-        text = c
+        text = expr
         if rule.strip:
-            text = F.regexp_replace(c, _lower_pattern(rule.strip), " ")
-        out = all_of(hit(text, p) for p in rule.must)
-        for p in rule.must_not:
-            out = out & ~hit(text, p)
-        return out
-    found = c.rlike(_lower_pattern(rule))
+            text = f"regexp_replace({expr}, {text_literal(_lower_pattern(rule.strip))}, ' ')"
+        parts = [hit_sql(text, p) for p in rule.must]
+        parts += ["not " + hit_sql(text, p) for p in rule.must_not]
+        return "(" + " and ".join(parts) + ")"
+    found = f"{expr} rlike {text_literal(_lower_pattern(rule))}"
     needed = required_literals(rule)
     if needed:
-        found = any_of(c.contains(s) for s in needed) & found
-    return F.coalesce(found, F.lit(False))
+        found = "(" + " or ".join(f"contains({expr}, {text_literal(s)})" for s in needed) + f") and {found}"
+    return f"coalesce({found}, false)"
+
 
+def case_sql(pairs, otherwise: str = "null") -> str:
+    return "case " + " ".join(f"when {c} then {v}" for c, v in pairs) + f" else {otherwise} end"
 
-def first_hit(c: Column, rules, raw: Column | None = None) -> Column:
-    """Label of the first rule matching folded text, NULL when none does.
+
+def first_hit_sql(expr: str, rules, raw: str | None = None) -> str:
+    """SQL label of the first rule matching folded text, NULL when none does.
 
     Rules holding accented letters read ``raw`` instead.
     """
-    return ladder(
-        (hit(c, rule) if raw is None or is_ascii_rule(rule) else matches(raw, rule), label)
-        for rule, label in rules
-    )
+    def condition(rule) -> str:
+        if raw is None or is_ascii_rule(rule):
+            return hit_sql(expr, rule)
+        return f"coalesce({raw} rlike {text_literal(java_pattern(rule))}, false)"
+
+    return case_sql((condition(rule), text_literal(label)) for rule, label in rules)
+
+
+def hit(c: Column | str, rule) -> Column:
+    """True where the rule matches folded text; ``c`` is a Column or SQL text.
+
+    SQL text is one call to the JVM however long the rule; Columns are built piece by
+    piece and suit short rules inside lambdas.
+    """
+    if isinstance(c, str):
+        return F.expr(hit_sql(c, rule))
+    if isinstance(rule, list):
+        return any_of(hit(c, r) for r in rule)
+    return F.coalesce(c.rlike(_lower_pattern(rule)), F.lit(False))
+
+
+def first_hit(c: Column | str, rules) -> Column:
+    """Label of the first rule matching folded text, NULL when none does."""
+    if isinstance(c, str):
+        return F.expr(first_hit_sql(c, rules))
+    return ladder((hit(c, rule), label) for rule, label in rules)
 
 
 def is_ascii_rule(rule) -> bool:

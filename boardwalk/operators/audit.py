@@ -113,7 +113,8 @@ def exclusion_report(exclusions: DataFrame) -> DataFrame:
 
 
 def suspect_titles(exclusions: DataFrame) -> DataFrame:
-    return exclusions.where(hit(folded(F.col("title")), SUSPECT))
+    folded_title = exclusions.withColumn("_t", folded(F.col("title")))
+    return folded_title.where(hit("_t", SUSPECT)).drop("_t")
 
 
 def reasons(exclusions: DataFrame) -> DataFrame:

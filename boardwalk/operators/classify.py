@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from boardwalk.functions.match import (
     any_of,
     ascii_text,
+    case_sql,
     first_hit,
     folded,
     hit,
+    hit_sql,
     ladder,
     matches,
+    text_literal,
 )
 from boardwalk.functions.steps import computed
 from boardwalk.rules import adjacent as adjacent_rules
@@ -33,9 +36,10 @@ SKILLS = {
 UNMATCHED = "no family matched"
 
 
-def _names(haystack: Column, table) -> Column:
+def _names(haystack: str, table) -> Column:
     """Canonical names of the skills found, in table order."""
-    return F.array_compact(F.array(*[F.when(hit(haystack, p), name) for p, name, _ in table]))
+    found = (f"if({hit_sql(haystack, p)}, {text_literal(name)}, null)" for p, name, _ in table)
+    return F.expr(f"array_compact(array({', '.join(found)}))")
 
 
 def _weight(names: Column, table) -> Column:
@@ -50,7 +54,7 @@ def _weight(names: Column, table) -> Column:
 
 
 def with_skill_scores(
-    df: DataFrame, haystack: Column, needed: Column | None = None, prefix: str = "_"
+    df: DataFrame, haystack: str, needed: Column | None = None, prefix: str = "_"
 ) -> DataFrame:
     """Per family: ``<prefix><family>_names`` and ``<prefix><family>_score``."""
     none = F.array().cast("array<string>")
@@ -75,7 +79,7 @@ def skill_scores(df: DataFrame) -> DataFrame:
         folded(F.col("title")), F.lit(" "),
         folded(F.substring(F.coalesce("description", F.lit("")), 1, rules.BODY_CHARS)),
     )
-    scored = with_skill_scores(df.withColumn("_hay", hay), F.col("_hay"))
+    scored = with_skill_scores(df.withColumn("_hay", hay), "_hay")
     keep = [F.col(f"_{f}_score").alias(f"{f}_score") for f in SKILLS]
     return scored.select(*df.columns, *keep)
 
@@ -84,7 +88,7 @@ def extract_skills(df: DataFrame, text: str = "text") -> DataFrame:
     """All skills named anywhere in a text, in vocabulary order."""
     texts = df.withColumn("_text", folded(F.col(text)))
     order = ("cloud", "software", "data", "hris")
-    found = F.concat(*[_names(F.col("_text"), SKILLS[f]) for f in order])
+    found = F.concat(*[_names("_text", SKILLS[f]) for f in order])
     return texts.withColumn("skills", F.array_distinct(found)).drop("_text")
 
 
@@ -105,7 +109,7 @@ def match_dictionary(
         F.array(
             *[
                 F.when(
-                    hit(F.col("_text"), r["pattern"]),
+                    hit("_text", r["pattern"]),
                     F.struct(
                         F.lit(r["family"]).alias("family"),
                         F.lit(r["canonical"]).alias("canonical"),
@@ -128,15 +132,14 @@ def match_dictionary(
 # --------------------------------------------------------------------------- family
 
 
-def _title_family(m: Column, cloud_score: Column) -> Column:
+def _title_family(m: str, cloud_score: Column) -> Column:
     """First family whose title rule matches and is not vetoed."""
     production = hit(m, rules.PRODUCTION_ENGINEER)
     qualified = ~hit(m, rules.PRODUCTION_MANUFACTURING) & (
         hit(m, rules.PRODUCTION_TECHNICAL) | (cloud_score > 0)
     )
-    without_production = F.regexp_replace(
-        m, r"(?s)^(.*?)" + rules.PRODUCTION_ENGINEER + r"(.*)\z", "$1$2"
-    )
+    first_only = r"(?s)^(.*?)" + rules.PRODUCTION_ENGINEER + r"(.*)\z"
+    without_production = f"regexp_replace({m}, {text_literal(first_only)}, '$1$2')"
     other_claim = hit(without_production, rules.CLOUD_TITLES)
     vetoes = {
         "hris": hit(m, rules.HRIS_EXCLUSIONS)
@@ -156,7 +159,7 @@ def _title_family(m: Column, cloud_score: Column) -> Column:
         ),
     }
     titles = {
-        "hris": any_of(hit(m, r) for r in rules.HRIS_TITLES),
+        "hris": hit(m, rules.HRIS_TITLES),
         "testing": hit(m, rules.TESTING_TITLES),
         "networking": hit(m, rules.NETWORKING_TITLES),
         "data": hit(m, rules.DATA_TITLES),
@@ -197,7 +200,7 @@ def _prepare(df: DataFrame) -> DataFrame:
             ),
         }
     )
-    t = F.col("_t")
+    t = "_t"
     soft = F.when(~hit(t, rules.ENGINEERING_ROLE), first_hit(t, rules.SOFT_EXCLUSIONS))
     return computed(
         df,
@@ -217,8 +220,8 @@ def with_family(df: DataFrame) -> DataFrame:
 def _family(df: DataFrame, all_rows: bool) -> DataFrame:
     open_question = F.col("excluded_reason").isNull()
     needed = open_question | F.col("_adjacent").isNotNull() if all_rows else open_question
-    df = with_skill_scores(df, F.col("_hay"), needed)
-    m = F.col("_m")
+    df = with_skill_scores(df, "_hay", needed)
+    m = "_m"
     df = computed(
         df, {"_tf": F.when(open_question, _title_family(m, F.col("_cloud_score")))}
     )
@@ -256,7 +259,7 @@ def _family(df: DataFrame, all_rows: bool) -> DataFrame:
             .when(F.col("_loose"), F.lit("cloud")),
             "title_matched": by_title | F.col("_loose"),
             "ai": open_question
-            & (hit(F.col("_t"), rules.AI_TITLE) | hit(F.col("_body"), rules.AI_BODY_STRONG)),
+            & (hit("_t", rules.AI_TITLE) | hit("_body", rules.AI_BODY_STRONG)),
         },
     )
     family = F.col("family")
@@ -287,29 +290,24 @@ def with_specialization(df: DataFrame, family: str = "family") -> DataFrame:
 
     body = F.substring(F.coalesce(F.col("description"), F.lit("")), 1, S.BODY_CHARS)
     df = df.withColumns({"_st": normalise(F.col("title")), "_sb": normalise(body)})
-    fam, title, text = F.col(family), F.col("_st"), F.col("_sb")
-
+    fam = F.col(family)
     by_title = ladder(
-        (fam == f, ladder((hit(title, p), spec) for spec, p, _ in table))
+        (fam == f, first_hit("_st", [(p, spec) for spec, p, _ in table]))
         for f, table in S.RULES.items()
     )
-    generic = ladder(((fam == f, hit(title, p)) for f, p in S.GENERIC_TITLE.items()), F.lit(False))
+    generic = ladder(((fam == f, hit("_st", p)) for f, p in S.GENERIC_TITLE.items()), F.lit(False))
     df = computed(df, {"_by_title": by_title, "_generic": generic})
 
     def ranked(table) -> Column:
-        return F.array_sort(
-            F.array(
-                *[
-                    F.struct(
-                        (-sum((hit(text, p).cast("int") for p in terms), F.lit(0))).alias("neg"),
-                        F.lit(i).alias("ord"),
-                        F.lit(spec).alias("id"),
-                        F.lit(S.LABELS[spec]).alias("label"),
-                    )
-                    for i, (spec, _, terms) in enumerate(table)
-                ]
+        """Specializations by body hits, most first, table order on ties."""
+        entries = []
+        for i, (spec, _, terms) in enumerate(table):
+            hits = " + ".join(f"cast({hit_sql('_sb', p)} as int)" for p in terms)
+            entries.append(
+                f"named_struct('neg', -({hits}), 'ord', {i}, 'id', '{spec}', "
+                f"'label', {text_literal(S.LABELS[spec])})"
             )
-        )
+        return F.expr(f"array_sort(array({', '.join(entries)}))")
 
     undecided = F.col("_by_title").isNull() & (F.length("_sb") > 0)
     df = computed(
@@ -334,7 +332,9 @@ def with_specialization(df: DataFrame, family: str = "family") -> DataFrame:
     strong = F.coalesce(F.col("_top") >= S.MIN_BODY_HITS, F.lit(False))
     clear = strong & (F.col("_lead") >= S.BODY_MARGIN)
     noun, is_generic = F.col("_noun"), F.col("_generic")
-    label = ladder((F.col("_by_title") == k, v) for k, v in S.LABELS.items())
+    label = F.expr(
+        case_sql((f"_by_title = '{k}'", text_literal(v)) for k, v in S.LABELS.items())
+    )
     top_label = top["label"]
     c = F.concat
     reason = (
@@ -411,11 +411,11 @@ def specialization_violations(df: DataFrame) -> DataFrame:
 def _adjacent_category() -> Column:
     """Category from the title alone; systems engineering still needs an IT signal."""
     R = adjacent_rules
-    t, m = F.col("_t"), F.trim(F.col("_m"))
+    t, m = "_t", "trim(_m)"
     vetoed = any_of(
         hit(t, p) for p in (R.NEVER_ADJACENT, R.HARDWARE_ENGINEERING, R.NOT_A_TECH_ROLE)
     )
-    it_role = matches(ascii_text(F.col("title")), R.IT_ACRONYM, ignore_case=False) | hit(F.col("_hay"), R.IT_SIGNAL)
+    it_role = matches(ascii_text(F.col("title")), R.IT_ACRONYM, ignore_case=False) | hit("_hay", R.IT_SIGNAL)
     pairs = []
     for category, pattern, _ in R.RULES:
         found = hit(m, pattern)
@@ -429,7 +429,7 @@ def _with_adjacent(df: DataFrame) -> DataFrame:
     category = F.col("_adjacent")
     scores = {f: F.col(f"_{f}_score") for f in SKILLS}
     df = df.withColumn("_evidence", _best_of((s > 0, s, f) for f, s in scores.items()))
-    asked = F.col("family").isNull() | hit(F.col("_t"), R.FORCE_ADJACENT)
+    asked = F.col("family").isNull() | hit("_t", R.FORCE_ADJACENT)
     fallback = ladder((category == name, fam) for name, _, fam in R.RULES)
     hris = category.isin("hris_platform", "hris_operations")
     family = F.when(hris, "hris").otherwise(F.coalesce(F.col("_evidence.family"), fallback))
@@ -439,7 +439,7 @@ def _with_adjacent(df: DataFrame) -> DataFrame:
         F.when(
             category == "hris_platform",
             F.when(
-                hit(F.col("_t"), rules.HRIS_NON_HR_MODULE),
+                hit("_t", rules.HRIS_NON_HR_MODULE),
                 F.concat(named, F.lit("HR platform, non-HR module")),
             ).otherwise(F.concat(named, F.lit("vendor product outside the core rules"))),
         )
@@ -467,7 +467,7 @@ def _with_adjacent(df: DataFrame) -> DataFrame:
 
 def _review_pile() -> Column:
     R = adjacent_rules
-    t = F.col("_t")
+    t = "_t"
     vetoed = any_of(hit(t, p) for p in (R.NEVER_UNSORTED, R.PHYSICAL_SECURITY, R.NOT_OUR_WORLD))
     any_score = F.greatest(*[F.col(f"_{f}_score") for f in SKILLS]) > 0
     return ~vetoed & (hit(t, R.LOOKS_TECHNICAL) | any_score)
@@ -524,11 +524,12 @@ def with_sector(df: DataFrame, only: Column | None = None) -> DataFrame:
     text = F.when(quoted, F.regexp_replace(text, "(?i)" + R.BOILERPLATE, " ")).otherwise(text)
     text = F.when(only, text) if only is not None else text
     df = df.withColumn("_cased", ascii_text(text)).withColumn("_x", F.lower("_cased"))
-    x = F.col("_x")
+    x = "_x"
     name = folded(
         F.concat(F.coalesce("company", F.lit("")), F.lit(" "), F.coalesce("board_token", F.lit("")))
     )
-    readable = F.coalesce(F.length("description") > 0, F.lit(False)) & x.isNotNull()
+    df = df.withColumn("_name", name)
+    readable = F.coalesce(F.length("description") > 0, F.lit(False)) & F.col(x).isNotNull()
     claims = []
     for s in R.SECTOR_ORDER:
         claim = hit(x, R.STRONG[s])
@@ -542,7 +543,7 @@ def with_sector(df: DataFrame, only: Column | None = None) -> DataFrame:
     hinted = F.array_compact(
         F.array(
             *[
-                F.when(F.array_contains("_matched", s) & hit(name, R.NAME_HINT[s]), s)
+                F.when(F.array_contains("_matched", s) & hit("_name", R.NAME_HINT[s]), s)
                 for s in R.SECTOR_ORDER
             ]
         )
@@ -555,7 +556,7 @@ def with_sector(df: DataFrame, only: Column | None = None) -> DataFrame:
             "The advert describes the organisation as one"
         ),
     )
-    return df.withColumns({"sector": sector, "sector_reason": reason}).drop("_x", "_cased", "_matched")
+    return df.withColumns({"sector": sector, "sector_reason": reason}).drop("_x", "_cased", "_name", "_matched")
 
 
 # ------------------------------------------------------------------------ quiet, stack

@@ -304,6 +304,6 @@ def recompute_region(postings: DataFrame) -> DataFrame:
 
     rows = postings.where(F.col("closed_at").isNull() & (F.col("country") == "US"))
     fresh = rows.select(
-        "key", F.col("region").alias("_old"), us_state(F.col("location"), F.col("country")).alias("region")
+        "key", F.col("region").alias("_old"), us_state("location", "country").alias("region")
     )
     return fresh.where(~F.col("_old").eqNullSafe(F.col("region"))).select("key", "region")

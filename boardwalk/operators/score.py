@@ -53,14 +53,13 @@ def with_scores(df: DataFrame, now: Column) -> DataFrame:
     df = computed(
         df,
         {
-            "_hub": hit(F.col("_place"), rules.HUB_CITIES),
-            "_niche": hit(F.col("_text"), rules.NICHE_SKILLS),
-            "_credential": hit(F.col("_text"), rules.CREDENTIALS),
-            "_evergreen": hit(F.col("_text"), rules.EVERGREEN),
-            "_staffing": hit(F.col("_text"), rules.STAFFING),
-            "_letter": hit(F.col("_desc"), r"\bcover letter\b"),
-            "_sample": hit(
-                F.col("_desc"),
+            "_hub": hit("_place", rules.HUB_CITIES),
+            "_niche": hit("_text", rules.NICHE_SKILLS),
+            "_credential": hit("_text", rules.CREDENTIALS),
+            "_evergreen": hit("_text", rules.EVERGREEN),
+            "_staffing": hit("_text", rules.STAFFING),
+            "_letter": hit("_desc", r"\bcover letter\b"),
+            "_sample": hit("_desc",
                 r"\b(work sample|take[- ]home|portfolio|writing sample|assessment)\b",
             ),
         },

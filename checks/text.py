@@ -182,17 +182,17 @@ STATE_SQL = (
 
 @register("country_infer", fx.with_postings(f"select key, {COUNTRY_SQL} as found from postings"))
 def country_infer(spark, sf_dir):
-    return postings(spark, sf_dir).select("key", geo.country(F.col("location")).alias("found"))
+    return postings(spark, sf_dir).select("key", geo.country("location").alias("found"))
 
 
 @register("us_state", fx.with_postings(f"select key, {STATE_SQL} as found from postings"))
 def us_state(spark, sf_dir):
-    return postings(spark, sf_dir).select("key", geo.us_state(F.col("location")).alias("found"))
+    return postings(spark, sf_dir).select("key", geo.us_state("location").alias("found"))
 
 
 EXPLICIT = ["US", "UK", "CA", "XX", "Deutschland", "United States of America", "New Mexico", "mexico", "España", "", " FR ", None]
 scalar(
-    "country_explicit", EXPLICIT, geo.explicit_country,
+    "country_explicit", EXPLICIT, lambda c: geo.explicit_country("raw"),
     "case when trim(raw) = 'UK' then 'GB' when trim(raw) in " + in_list(geo_rules.COUNTRY_LABELS) + " then trim(raw) else "
     f"coalesce({first_label('trim(raw)', geo_rules.COUNTRY_NAMES)}, case when {hit('trim(raw)', geo_rules.US_MARKERS)} then 'US' end) end",
 )
