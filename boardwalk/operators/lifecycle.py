@@ -142,10 +142,10 @@ def replay(sightings: DataFrame, board_runs: DataFrame) -> DataFrame:
     """
     payload = [c for c in sightings.columns if c not in ("key", "seen_at")]
     state = sightings.groupBy("key").agg(
-        F.max_by(F.struct(*payload), "seen_at").alias("p"),
+        F.max_by(F.struct(*payload), "seen_at").alias("_payload"),
         F.min("seen_at").alias("first_seen_at"),
         F.max("seen_at").alias("last_seen_at"),
-    ).select("key", "p.*", "first_seen_at", "last_seen_at")
+    ).select("key", "_payload.*", "first_seen_at", "last_seen_at")
     runs = (
         board_runs.select("provider", "board_token", "run_at").distinct()
         .groupBy("provider", "board_token")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 def latest_marks(marks: DataFrame, order: Column) -> DataFrame:
     """One row per (user, posting): the last mark wins, and may clear ``applied``."""
     return marks.groupBy("user_id", "job_key").agg(
-        F.max_by(F.struct("seen", "applied", "at"), order).alias("m")
-    ).select("user_id", "job_key", "m.seen", "m.applied", "m.at")
+        F.max_by(F.struct("seen", "applied", "at"), order).alias("_mark")
+    ).select("user_id", "job_key", "_mark.seen", "_mark.applied", "_mark.at")
 
 
 def merge_marks(table: DataFrame, marks: DataFrame, order: Column) -> DataFrame:
@@ -21,9 +21,9 @@ def merge_marks(table: DataFrame, marks: DataFrame, order: Column) -> DataFrame:
 def merge_profiles(table: DataFrame, profiles: DataFrame) -> DataFrame:
     """Upsert profiles by user; the newest ``updated_at`` of a batch wins."""
     rest = [c for c in table.columns if c != "user_id"]
-    new = profiles.groupBy("user_id").agg(F.max_by(F.struct(*rest), "updated_at").alias("p"))
+    new = profiles.groupBy("user_id").agg(F.max_by(F.struct(*rest), "updated_at").alias("_profile"))
     kept = table.join(new, "user_id", "left_anti")
-    return kept.unionByName(new.select("user_id", "p.*").select(*table.columns))
+    return kept.unionByName(new.select("user_id", "_profile.*").select(*table.columns))
 
 
 def user_tally(marks: DataFrame) -> DataFrame:
