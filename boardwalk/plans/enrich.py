@@ -32,15 +32,15 @@ def enrich(normalised: DataFrame, companies: DataFrame, now: Column) -> DataFram
     judged = classify_postings(fresh)
     judged = with_sector(judged, F.col("core_family").isNotNull())
     priced = F.col("salary_min").isNull() & F.col("salary_max").isNull()
-    judged = computed(judged, {"_pay": F.when(priced, salary_from_text(F.col("description")))})
+    judged = computed(judged, {"parsed_pay": F.when(priced, salary_from_text(F.col("description")))})
     scored = with_scores(judged, now)
-    currency = F.coalesce("salary_currency", "_pay.currency")
+    currency = F.coalesce("salary_currency", "parsed_pay.currency")
     out = computed(
         scored,
         {
             "salary_currency": currency,
-            "_low": F.coalesce(annualise(F.col("salary_min"), currency), F.col("_pay.min")),
-            "_high": F.coalesce(annualise(F.col("salary_max"), currency), F.col("_pay.max")),
+            "_low": F.coalesce(annualise(F.col("salary_min"), currency), F.col("parsed_pay.min")),
+            "_high": F.coalesce(annualise(F.col("salary_max"), currency), F.col("parsed_pay.max")),
             "_country": country("location", "country"),
             "_state": us_state("location", "country"),
             "_shown": clean_location(F.col("location")),
@@ -59,7 +59,7 @@ def enrich(normalised: DataFrame, companies: DataFrame, now: Column) -> DataFram
             "first_seen_at": now, "last_seen_at": now,
             "closed_at": F.lit(None).cast("timestamp_ntz"),
         }
-    ).drop("_low", "_high", "_country", "_state", "_shown", "_pay")
+    ).drop("_low", "_high", "_country", "_state", "_shown", "parsed_pay")
 
 
 def stored_rows(enriched: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from boardwalk.operators import feed, registry
 from boardwalk.sources import discovery
 from checks import fixtures as fx
 from checks.feed import postings
-from checks.lifecycle import NOW, NOW_SQL
+from checks.lifecycle import NOW_SQL, now
 from checks.registry import register
 from checks.text import RESOLVE_SQL, URL_INPUT
 
@@ -133,7 +133,7 @@ def board_merge(spark, sf_dir):
     new = b.where(F.col("ord") % 2 == 0).select(
         "provider", "token", F.concat("company", F.lit(" new")).alias("company"), "extra", "source", "domain", "job_count", "ord"
     )
-    out = registry.upsert_boards(old, new, blocked(spark, sf_dir), F.col("ord"), NOW)
+    out = registry.upsert_boards(old, new, blocked(spark, sf_dir), F.col("ord"), now())
     return registry.with_identity(out).select("identity", "company", "active", "consecutive_failures", "last_ok_at")
 
 
@@ -156,7 +156,7 @@ def board_outcomes(spark, sf_dir):
         F.when(m == 1, "lever/x: HTTP 404").when(m == 2, "HTTP 429").alias("error"),
         F.when(m == 1, "gone").when(m == 2, "refused").alias("failure"),
     )
-    merged = registry.apply_outcomes(b.drop("ord"), out, NOW, may_retire=True)
+    merged = registry.apply_outcomes(b.drop("ord"), out, now(), may_retire=True)
     return merged.select(
         "provider", "token", url_fn.board_site(F.col("extra")).alias("site"), "consecutive_failures", "active", "last_error"
     )
@@ -250,7 +250,7 @@ def board_revive(spark, sf_dir):
 )
 def board_adopt(spark, sf_dir):
     b = boards(spark, sf_dir)
-    out = registry.adopt(b.where(F.col("ord") % 2 == 0), b.where(F.col("ord") % 3 == 0), verdicts(spark, sf_dir), NOW)
+    out = registry.adopt(b.where(F.col("ord") % 2 == 0), b.where(F.col("ord") % 3 == 0), verdicts(spark, sf_dir), now())
     return out.select("provider", "token", "active", "last_error", "job_count")
 
 
@@ -295,7 +295,7 @@ def board_orphans(spark, sf_dir):
     f"select key, case when closed_at is null and lose.token is not null then {NOW_SQL} else closed_at end as closed_at from p left join lose on lose.provider = p.provider and lose.token = p.board_token",
 )
 def retire_duplicates(spark, sf_dir):
-    _, jobs = registry.retire_duplicates(boards(spark, sf_dir), board_postings(spark, sf_dir), NOW)
+    _, jobs = registry.retire_duplicates(boards(spark, sf_dir), board_postings(spark, sf_dir), now())
     return jobs.select("key", "closed_at")
 
 
@@ -306,7 +306,7 @@ def retire_duplicates(spark, sf_dir):
     "from b left join lose on lose.provider = b.provider and lose.token = b.token",
 )
 def retire_duplicate_boards(spark, sf_dir):
-    out, _ = registry.retire_duplicates(boards(spark, sf_dir), board_postings(spark, sf_dir), NOW)
+    out, _ = registry.retire_duplicates(boards(spark, sf_dir), board_postings(spark, sf_dir), now())
     return out.select("provider", "token", url_fn.board_site(F.col("extra")).alias("site"), "active", "last_error")
 
 
@@ -318,7 +318,7 @@ def retire_duplicate_boards(spark, sf_dir):
 def block_board(spark, sf_dir):
     b = boards(spark, sf_dir)
     targets = b.where(F.col("ord") % 11 == 0).select("provider", "token", F.lit("spam").alias("reason"))
-    _, jobs, _ = registry.block_board(b, board_postings(spark, sf_dir), blocked(spark, sf_dir), targets, NOW)
+    _, jobs, _ = registry.block_board(b, board_postings(spark, sf_dir), blocked(spark, sf_dir), targets, now())
     return jobs.select("key", "closed_at")
 
 

@@ -11,7 +11,12 @@ from checks.registry import register
 from checks.text import STATE_SQL
 
 NOW_SQL = f"timestamp '{fx.NOW}'"
-NOW = F.lit(fx.NOW).cast("timestamp_ntz")
+
+
+def now():
+    return F.lit(fx.NOW).cast("timestamp_ntz")
+
+
 STATE_COLUMNS = ["key", "provider", "board_token", "title", "first_seen_at", "last_seen_at", "closed_at"]
 
 
@@ -84,7 +89,7 @@ def healthy(spark, sf_dir):
     ),
 )
 def upsert_jobs(spark, sf_dir):
-    return lifecycle.merge_batch(current(spark, sf_dir), deduped(spark, sf_dir), None, NOW)
+    return lifecycle.merge_batch(current(spark, sf_dir), deduped(spark, sf_dir), None, now())
 
 
 @register(
@@ -110,7 +115,7 @@ def close_vanished(spark, sf_dir):
 )
 def merge_and_close(spark, sf_dir):
     merged = lifecycle.merge_batch(
-        current(spark, sf_dir), deduped(spark, sf_dir), mild_healthy(spark, sf_dir), NOW
+        current(spark, sf_dir), deduped(spark, sf_dir), mild_healthy(spark, sf_dir), now()
     )
     return merged.select("key", "title", "first_seen_at", "closed_at")
 
@@ -123,7 +128,7 @@ def merge_and_close(spark, sf_dir):
     ),
 )
 def purge_closed(spark, sf_dir):
-    return lifecycle.purge_closed(postings(spark, sf_dir), NOW, budget=500).select("key")
+    return lifecycle.purge_closed(postings(spark, sf_dir), now(), budget=500).select("key")
 
 
 @register(
@@ -199,7 +204,7 @@ def content_changes(spark, sf_dir):
     fx.with_postings(f"select key from postings where posted_at is null or floor((epoch({NOW_SQL}) - epoch(posted_at)) / 86400) <= 365"),
 )
 def retention(spark, sf_dir):
-    return lifecycle.retained(postings(spark, sf_dir), NOW, 365).select("key")
+    return lifecycle.retained(postings(spark, sf_dir), now(), 365).select("key")
 
 
 LACKING = "d as (select *, case when ord % 2 = 0 then description end as have from postings)"
@@ -385,7 +390,7 @@ def tally_merge(spark, sf_dir):
         F.sum("n").alias("n"), F.min("sample_company").alias("sample_company"),
         F.min("at").alias("first_seen_at"), F.max("at").alias("last_seen_at"),
     )
-    return audit.merge_tally(old, b.where(~half), NOW, True)
+    return audit.merge_tally(old, b.where(~half), now(), True)
 
 
 @register(
