@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from boardwalk.functions.geo import clean_location, country, us_state
 from boardwalk.functions.labels import seniority_from_text
 from boardwalk.functions.pay import annualise, salary_from_text, salary_usd
-from boardwalk.functions.steps import computed
+from boardwalk.functions.steps import computed, spread
 from boardwalk.operators.classify import classify_postings, is_quiet, with_sector
 from boardwalk.operators.lifecycle import backfill_details, retained
 from boardwalk.operators.score import with_board_size, with_scores
 from boardwalk.schemas import MAX_AGE_DAYS, POSTINGS, names
+from boardwalk.session import checkpoint
 from boardwalk.sources.vendors import read_all
 
 
@@ -75,10 +76,16 @@ def rejected_rows(enriched: DataFrame) -> DataFrame:
 
 
 def crawl(
-    pages: DataFrame, companies: DataFrame, details: DataFrame | None, now: Column
+    pages: DataFrame, companies: DataFrame, details: DataFrame | None, now: Column,
+    providers: list[str] | None = None,
 ) -> DataFrame:
-    """Landed pages of one run to enriched postings."""
-    rows = read_all(pages, now)
+    """Landed pages of one run to enriched postings.
+
+    The parsed postings are kept once in the shared checkpoint folder: board sizes and
+    the rules both read them, and a lost executor re-reads them instead of parsing the
+    payloads again.
+    """
+    rows = read_all(spread(pages), now, providers)
     if details is not None:
         rows = backfill_details(rows, details, [F.col("page"), F.col("pos")])
-    return enrich(rows, companies, now)
+    return enrich(checkpoint(rows), companies, now)

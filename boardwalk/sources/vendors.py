@@ -22,7 +22,7 @@ from boardwalk.functions.match import (
 from boardwalk.functions.pay import by_interval, pay_in_summary
 from boardwalk.functions.text import decode_entities, strip_html
 from boardwalk.operators.keys import first_per_key
-from boardwalk.sources.landed import normalised, postings_of
+from boardwalk.sources.landed import normalised, postings_of, union_all
 
 c = F.col
 SALARY_HOURS, SALARY_DAYS = 2080, 260
@@ -806,9 +806,12 @@ READERS = {
 }
 
 
-def read_all(pages: DataFrame, now: Column) -> DataFrame:
-    """Every vendor's postings from one landing zone."""
-    out = workday(pages, now)
-    for reader in READERS.values():
-        out = out.unionByName(reader(pages))
-    return out
+def read_all(pages: DataFrame, now: Column, providers: list[str] | None = None) -> DataFrame:
+    """Every vendor's postings from one landing zone.
+
+    Each reader filters on ``provider``; land pages partitioned by it and a reader only
+    opens its own partition.
+    """
+    wanted = providers or ["workday", *READERS]
+    frames = [workday(pages, now) if p == "workday" else READERS[p](pages) for p in wanted]
+    return union_all(frames)

@@ -377,7 +377,7 @@ def posting_board_extra(spark, sf_dir):
     "count(distinct case when status = 'supported' then provider || ':' || token end) as boards from v group by 1, 2",
 )
 def url_coverage(spark, sf_dir):
-    df = fx.from_sql(spark, sf_dir, URL_INPUT, "orders")
+    df = fx.from_sql(spark, sf_dir, URL_INPUT, "orders", spread_first=True)
     resolved = df.select(url_fn.resolve_url(F.col("url")).alias("r")).select("r.*")
     return registry.url_coverage(resolved)
 
@@ -407,7 +407,7 @@ ARCHIVE_EXPECT = (
     f"with e as ({ARCHIVE_EXPECT}) select distinct provider, case when form = 2 then t || '.io' else t end as token, coalesce(site, '') as site from e where provider is not null",
 )
 def archive_boards(spark, sf_dir):
-    found = discovery.archive_boards(fx.from_sql(spark, sf_dir, ARCHIVE, "orders"))
+    found = discovery.archive_boards(fx.from_sql(spark, sf_dir, ARCHIVE, "orders", spread_first=True))
     return found.select("provider", "token", url_fn.board_site(F.col("extra")).alias("site"))
 
 
@@ -420,7 +420,7 @@ def archive_boards(spark, sf_dir):
     "union all select * replace ('recruiting2.ultipro.com/*' as pattern) from x where form = 12) group by 1",
 )
 def archive_report(spark, sf_dir):
-    return discovery.archive_report(fx.from_sql(spark, sf_dir, ARCHIVE, "orders"))
+    return discovery.archive_report(fx.from_sql(spark, sf_dir, ARCHIVE, "orders", spread_first=True))
 
 
 @register(

@@ -11,7 +11,7 @@ from boardwalk.rules import sector as S
 from boardwalk.rules import skills as K
 from boardwalk.rules import specializations as P
 from checks import fixtures as fx
-from checks.feed import postings
+from checks.feed import heavy_postings as postings
 from checks.registry import register
 from checks.sqltext import case, first_label, hit, in_list, quote
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from boardwalk.plans.enrich import crawl, rejected_rows, stored_rows
 from boardwalk.operators import audit
 from checks import fixtures as fx
-from checks.feed import postings
+from checks.feed import heavy_postings as postings
 from checks.registry import register
 from checks.vendors import DAY, body_of, landed
 
@@ -33,7 +33,7 @@ def enriched(spark, sf_dir):
     companies = df.select(
         F.explode(F.array(F.lit("greenhouse"), F.lit("lever"))).alias("provider"), "board_token"
     ).distinct().withColumn("company", F.concat(F.lit("Company "), "board_token"))
-    return crawl(pages, companies, None, F.lit(AT).cast("timestamp_ntz"))
+    return crawl(pages, companies, None, F.lit(AT).cast("timestamp_ntz"), ["greenhouse", "lever"])
 
 
 @register("crawl_stored")

@@ -30,8 +30,13 @@ def query(**kw) -> FeedQuery:
     return FeedQuery(now=fx.NOW, **kw)
 
 
-def postings(spark, sf_dir):
-    df = fx.postings(spark, sf_dir)
+def heavy_postings(spark, sf_dir):
+    """Postings spread over all cores, for queries whose cost is in per-row rules."""
+    return postings(spark, sf_dir, spread_first=True)
+
+
+def postings(spark, sf_dir, spread_first=False):
+    df = fx.postings(spark, sf_dir, spread_first)
     return df.withColumn("salary_usd", salary_usd(F.col("salary_min"), F.col("salary_max"), F.col("salary_currency")))
 
 

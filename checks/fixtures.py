@@ -4,6 +4,8 @@ The derivation is SQL text that Spark and DuckDB both read, so both sides of a
 check start from the same rows.  It grows with ``orders``.
 """
 
+from boardwalk.functions.steps import spread
+
 NOW = "2001-08-02 00:00:00"
 WIDE_DAYS = 365
 SNAPSHOT_FAMILIES = ["cloud", "software", "data", "hris", "testing", "networking"]
@@ -235,11 +237,15 @@ def read(spark, sf_dir: str, *names: str):
     return frames[0] if len(frames) == 1 else frames
 
 
-def from_sql(spark, sf_dir: str, sql: str, *names: str):
-    """Run SQL over driver tables without leaving views behind."""
-    return spark.sql(
-        sql_with_frames(sql, names), **{n: read(spark, sf_dir, n) for n in names}
-    )
+def from_sql(spark, sf_dir: str, sql: str, *names: str, spread_first: bool = False):
+    """Run SQL over driver tables without leaving views behind.
+
+    ``spread_first`` spreads the first table over all cores for costly rules.
+    """
+    frames = {n: read(spark, sf_dir, n) for n in names}
+    if spread_first:
+        frames[names[0]] = spread(frames[names[0]])
+    return spark.sql(sql_with_frames(sql, names), **frames)
 
 
 def sql_with_frames(sql: str, names) -> str:
@@ -253,8 +259,10 @@ def sql_with_frames(sql: str, names) -> str:
     return sql
 
 
-def postings(spark, sf_dir: str):
-    return from_sql(spark, sf_dir, postings_sql("spark"), "orders", "customer", "nation")
+def postings(spark, sf_dir: str, spread_first: bool = False):
+    return from_sql(
+        spark, sf_dir, postings_sql("spark"), "orders", "customer", "nation", spread_first=spread_first
+    )
 
 
 def outcomes(spark, sf_dir: str):

@@ -6,7 +6,7 @@ from boardwalk.operators import audit, keys, lifecycle, registry, users
 from boardwalk.rules.specializations import CLASSIFICATION_VERSION
 from checks import fixtures as fx
 from checks.classify import CLASSIFIED, spec_sql
-from checks.feed import postings
+from checks.feed import heavy_postings, postings
 from checks.registry import register
 from checks.text import STATE_SQL
 
@@ -317,7 +317,7 @@ TALLY = (
 def rejected(spark, sf_dir):
     from boardwalk.operators.classify import with_family
 
-    return with_family(postings(spark, sf_dir).select("key", "company", "title", "description", "ord"))
+    return with_family(heavy_postings(spark, sf_dir).select("key", "company", "title", "description", "ord"))
 
 
 @register("exclusion_tally", fx.with_postings_cte(f"{CLASSIFIED}, {TALLY}", "select * from tally order by n desc, reason, title limit 20"))

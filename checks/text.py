@@ -11,7 +11,8 @@ from boardwalk.rules import labels as label_rules
 from boardwalk.rules import slugs as slug_rules
 from boardwalk.rules import urls as url_rules
 from checks import fixtures as fx
-from checks.feed import RATE, STACK, USD, postings
+from checks.feed import RATE, STACK, USD
+from checks.feed import heavy_postings as postings
 from checks.registry import register
 from checks.sqltext import case, first_label, hit, in_list, quote, re2, replace, trim_all
 

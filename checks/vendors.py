@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from boardwalk.sources import vendors
 from checks import fixtures as fx
-from checks.feed import postings
+from checks.feed import heavy_postings as postings
 from checks.registry import register
 
 SHOWN = [

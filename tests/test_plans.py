@@ -41,8 +41,11 @@ def test_filters_reach_the_scan_and_columns_are_pruned(spark, tmp_path):
     f = FeedQuery(now="2026-01-10 00:00:00", family="cloud")
     text = plan(feed.page(df, f).select("key", "posted_at"))
     assert "TakeOrderedAndProject" in text and "Exchange" not in text
-    assert "IsNull(closed_at)" in text and "EqualTo(family,cloud)" in text
-    assert "apply_url" not in text.split("ReadSchema")[1]
+    full = feed.page(df, f).select("key", "posted_at")._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert "IsNull(closed_at)" in full and "EqualTo(family,cloud)" in full
+    assert "apply_url" not in full.split("ReadSchema")[1]
 
 
 def test_facets_are_one_scan(spark, tmp_path):
@@ -80,7 +83,7 @@ PAGE = (
 def test_crawl_end_to_end(spark):
     pages = spark.createDataFrame([("greenhouse", "acme", {}, 1, PAGE)], LANDED)
     companies = spark.createDataFrame([("greenhouse", "acme", "Acme")], "provider string, board_token string, company string")
-    out = crawl(pages, companies, None, now()).cache()
+    out = crawl(pages, companies, None, now(), ["greenhouse", "workday", "personio"]).cache()
     assert out.count() == 2  # the old posting is outside the window
     stored = stored_rows(out)
     assert [f"{f.name} {f.dataType.simpleString()}" for f in stored.schema] == POSTINGS.split(", ")
