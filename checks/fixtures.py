@@ -186,7 +186,7 @@ select
   p.o_orderkey % 5 <> 0 as quiet,
   case p.o_orderkey % 8 when 0 then 'education' when 1 then 'health' when 2 then 'government' end
     as sector,
-  (p.o_orderkey % 10) / 10.0 as ghost_risk,
+  cast(p.o_orderkey % 10 as double) / 10 as ghost_risk,
   {skills} as matched_skills,
   case when p.o_orderkey % 17 <> 0 then a.pay || ' ' || w.work || ' ' || u.us end as description
 from (

@@ -37,11 +37,6 @@ def batch(spark, sf_dir):
     return df.unionByName(twice).select("key", "provider", "board_token", "title", "pos")
 
 
-def site_outcomes(spark, sf_dir):
-    """One outcome per board and site; some boards have a failing second site."""
-    return fx.from_sql(spark, sf_dir, OUTCOME_SITES, "orders")
-
-
 OUTCOME_SITES = (
     "select distinct case o_orderkey % 6 when 0 then 'greenhouse' when 1 then 'lever' when 2 then 'workday' when 3 then 'ukg' "
     "when 4 then 'icims' else 'ashby' end as provider, 'c' || cast(o_custkey % 50 as string) as token, "
@@ -73,9 +68,9 @@ def batch_dedupe(spark, sf_dir):
     return deduped(spark, sf_dir).select("key", "title")
 
 
-@register("healthy_boards", f"with {HEALTHY} select * from healthy")
+@register("healthy_boards", f"with {MILD_HEALTHY} select * from healthy")
 def healthy(spark, sf_dir):
-    return lifecycle.healthy_boards(site_outcomes(spark, sf_dir))
+    return mild_healthy(spark, sf_dir)
 
 
 @register(
