@@ -193,7 +193,7 @@ _VOCAB_HITS = " union all ".join(
 
 @register(
     "dictionary_match",
-    f"select doc_id, family, sum(weight) as score, count(*) as skills from (select doc_id, family, canonical, max(weight) as weight "
+    f"select doc_id, family, cast(sum(weight) as bigint) as score, count(*) as skills from (select doc_id, family, canonical, max(weight) as weight "
     f"from ({_VOCAB_HITS}) group by 1, 2, 3) group by 1, 2",
 )
 def dictionary_match(spark, sf_dir):
