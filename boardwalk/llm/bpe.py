@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boardwalk.llm.registry import register, table
 
@@ -124,7 +125,7 @@ def encode(
     kept = [c for c in (df.columns if carry is None else carry) if c not in added]
     out = df.select(*kept).schema
     for c in added:
-        out = out.add(c, "array<int>")
+        out = out.add(c, T.ArrayType(T.IntegerType()))
 
     def work(batches):
         own = coder(path)
@@ -156,7 +157,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFram
     """
     path = path or vocabulary()
     kept = [c for c in df.columns if c not in (ids, "decoded")]
-    out = df.select(*kept).schema.add("decoded", "binary")
+    out = df.select(*kept).schema.add("decoded", T.BinaryType())
 
     def work(batches):
         own = coder(path)
