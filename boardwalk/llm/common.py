@@ -29,6 +29,14 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are worked out once per row, however often later steps name them."""
+    kept = [c for c in df.columns if c not in columns]
+    once = F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))
+    out = df.select(*kept, once.alias("__once__"))
+    return out.select(*kept, *[F.col(f"__once__.{k}").alias(k) for k in columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local session without one gets its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
