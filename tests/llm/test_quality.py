@@ -44,7 +44,7 @@ def test_measures_equal_brute_force(spark):
     ["HOME!! NOW!! GO!!", "a%%% b$$$ c&&&", "Home | News | Sport | Shop", "We use cookies here.", "Copyright, all rights reserved."],
 )
 def test_bad_lines_go_and_documents_of_them_too(spark, line):
-    good = "\n".join(f"{PROSE} {k} {chr(97 + k)}x {k * 7} y{k}." for k in range(6))
+    good = "\n".join(" ".join(f"word{k}x{j}" for j in range(11)) + "." for k in range(6))
     rows = [(1, f"{good}\n{line}"), (2, "\n".join(f"{line} v{k} u{k * 3}!! t{k}!!" for k in range(20)))]
     got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].kept and got[1].cleaned == good
