@@ -4,7 +4,7 @@ from importlib import import_module
 
 from boardwalk.llm.registry import ORACLE, QUERIES
 
-MODULES = ["bpe", "quality"]
+MODULES = ["bpe", "mixing", "quality", "urls"]
 
 for _name in MODULES:
     import_module(f"boardwalk.llm.{_name}")
