@@ -115,6 +115,15 @@ def running_totals(
     )
 
 
+#: Rows up to which a written table is broadcast; its rows must be short.
+FEW_ROWS = 20_000
+
+
+def broadcast_if_few(saved: DataFrame, limit: int = FEW_ROWS) -> DataFrame:
+    """Mark a written table for broadcast if a count shows at most ``limit`` rows; else leave it to be shuffled."""
+    return F.broadcast(saved) if saved.limit(limit + 1).count() <= limit else saved
+
+
 #: A key is hot from this share of all rows on; so there are at most as many hot keys as its inverse.
 HOT_SHARE = 1000
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.llm.common import Scratch, running_totals, word_count
+from boardwalk.llm.common import Scratch, broadcast_if_few, running_totals, word_count
 from boardwalk.llm.registry import register, table
 
 # The weights of the contract, dealt to the sources in order of their names.
@@ -64,10 +64,6 @@ def seeded(key: Column, text: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), part(key), F.lit(":"), part(F.md5(text))))
 
 
-#: A table of sources up to this many rows is broadcast; a longer one is joined by shuffle.
-FEW_SOURCES = 10_000
-
-
 def quotas(
     scratch: Scratch, rows: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS
 ) -> DataFrame:
@@ -95,11 +91,9 @@ def quotas(
 
 
 def on_source(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
-    """Join rows with a written table of sources; broadcast only if that has at most FEW_SOURCES rows."""
-    table_ = sources.withColumnRenamed("source", "_of")
-    if len(table_.limit(FEW_SOURCES + 1).select("_of").collect()) <= FEW_SOURCES:
-        table_ = F.broadcast(table_)
-    return rows.join(table_, F.col("source").eqNullSafe(F.col("_of")), how).drop("_of")
+    """Join rows with a written table of sources, which is broadcast if it is short."""
+    of = broadcast_if_few(sources).withColumnRenamed("source", "_of")
+    return rows.join(of, F.col("source").eqNullSafe(F.col("_of")), how).drop("_of")
 
 
 def plan(
