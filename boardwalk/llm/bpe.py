@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from boardwalk.llm.common import ship
 from boardwalk.llm.registry import register, table
 
 #: Remembered pieces of a worker; a full memory is emptied, which changes no result.
@@ -121,6 +122,7 @@ def encode(
     these names are replaced.
     """
     path = path or vocabulary()
+    ship(df.sparkSession)
     added = ["ids", *(["byte_starts", "char_starts"] if offsets else [])]
     kept = [c for c in (df.columns if carry is None else carry) if c not in added]
     out = df.select(*kept).schema
@@ -156,6 +158,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFram
     the text of a whole sequence.  Null ids give empty bytes; an id outside the vocabulary fails.
     """
     path = path or vocabulary()
+    ship(df.sparkSession)
     kept = [c for c in df.columns if c not in (ids, "decoded")]
     out = df.select(*kept).schema.add("decoded", T.BinaryType())
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -29,6 +32,20 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that their Python finds it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        # the driver serves this file as long as it runs, so it stays
+        name = f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}.zip"
+        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent).as_posix())
+        sc.addPyFile(name)
+        _SHIPPED.add(sc.applicationId)
+
+
 def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns that are worked out once per row, however often later steps name them."""
     kept = [c for c in df.columns if c not in columns]

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from boardwalk.llm.registry import ORACLE, QUERIES
 
-MODULES = ["bpe", "mixing", "quality", "sharding", "urls", "warc"]
+MODULES = ["bpe", "mixing", "neardup", "quality", "sharding", "urls", "warc"]
 
 for _name in MODULES:
     import_module(f"boardwalk.llm.{_name}")

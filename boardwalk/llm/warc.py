@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.llm.common import Scratch, broadcast_if_few, computed
+from boardwalk.llm.common import Scratch, broadcast_if_few, computed, ship
 from boardwalk.llm.registry import register, table
 
 # The names of the format.
@@ -129,6 +129,7 @@ def write(records: DataFrame, folder: str, roll_bytes: int = 64 << 20, shard_byt
     The manifest is written as ``folder/manifest`` after all files, and is the commit.
     """
     spark = records.sparkSession
+    ship(spark)
     edges = shard_edges(records, shard_bytes)
     shard = F.lit(0)
     for i, edge in enumerate(edges):
@@ -205,6 +206,7 @@ def read(spark, folder: str, payloads: bool = True) -> DataFrame:
     """
     from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
+    ship(spark)
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
