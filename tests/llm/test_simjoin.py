@@ -63,7 +63,9 @@ def test_edge_of_the_threshold(spark):
     words = [f"a{i}" for i in range(23)]  # 20 shingles
     rows = [(1, " ".join(words)), (2, " ".join(words[:20])), (3, " ".join(words[:19]))]  # 17 and 16 of 20
     got = {r.doc_id: r.component_id for r in simjoin.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: 1, 2: 1, 3: 2}  # 17/20 links, 16/17 too, so 3 joins through 2
+    assert got == {1: 1, 2: 1, 3: 1}  # 17/20 links, 16/17 too, so 3 joins through 2
+    got = {r.doc_id: r.component_id for r in simjoin.similar(spark.createDataFrame(rows[::2], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 3: 3}  # 16/20 does not
 
 
 def test_null_keys_repeats_and_empty(spark):
