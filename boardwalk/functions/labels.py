@@ -95,12 +95,11 @@ _YEARS_OF = (
     r"(?:relevant\s+|professional\s+|hands[- ]on\s+|industry\s+)?"
     r"(?:experience|expertise|background)\b"
 )
-SENIORITY_TEXT_CHARS = 4000
 
 
-def seniority_from_text(description: Column) -> Column:
-    """Level from the first stated years of experience."""
-    return let(folded(F.substring(description, 1, SENIORITY_TEXT_CHARS)), _stated_level)
+def seniority_from_text(description: Column, chars: int | None = None) -> Column:
+    """Level from the first stated years of experience, in the whole text or its first ``chars``."""
+    return let(folded(description if chars is None else F.substring(description, 1, chars)), _stated_level)
 
 
 def _stated_level(text: Column) -> Column:

@@ -69,20 +69,19 @@ PER_HOUR = r"\b(per hour|hourly|/\s*hour|/\s*hr|an hour)\b"
 PER_MONTH = r"\b(per month|monthly|/\s*month|a month)\b"
 ANNUAL_MIN, ANNUAL_MAX = 15_000, 1_200_000
 HOURLY_MIN, HOURLY_MAX = 8, 400
-SALARY_TEXT_CHARS = 8000
 CONTEXT_BEFORE, CONTEXT_AFTER = 90, 60
 
 _OPEN, _CLOSE = "\u0001", "\u0002"
 
 
-def salary_from_text(description: Column) -> Column:
+def salary_from_text(description: Column, chars: int | None = None) -> Column:
     """struct(min, max, currency) of the first defensible pay figure, else NULL.
 
-    Ranges come first; a range that looked like pay but was implausible also rules
+    The whole text is read, or its first ``chars``.  Ranges come first; a range that looked like pay but was implausible also rules
     out the single-figure reading.
     """
     text = F.regexp_replace(
-        F.substring(description, 1, SALARY_TEXT_CHARS),
+        description if chars is None else F.substring(description, 1, chars),
         "[\u0001\u0002\u00a0\u2000-\u200a\u202f\u205f\u3000]", " ",
     )
     return F.when(description.rlike(r"\d{2}|\d\s*[kK]"), let(text, _salary))
@@ -113,51 +112,46 @@ def _pick(ranges: Column, text: Column) -> Column:
 def _read_all(text: Column, pattern: str, is_range: bool) -> Column:
     """Every match with its surroundings judged, in text order.
 
-    The match positions come from marking each match inside the text and adding up
-    the lengths of the pieces.
+    Matches are marked inside the text and the text is cut there.  What stands around a match comes
+    from the ends of the pieces near it, each cut to the width of the context, so the work for one
+    match is bounded however long the text is.
     """
     marked = F.regexp_replace(text, "(?i)" + pattern, f"{_OPEN}$0{_CLOSE}")
-    pieces = F.split(marked, _OPEN)
-    spans = F.aggregate(
-        pieces,
-        F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<at:int,found:string>>").alias("spans"),
-        ),
-        lambda state, piece: F.struct(
-            (state["at"] + F.length(F.regexp_replace(piece, _CLOSE, ""))).cast("int").alias("at"),
-            F.when(
-                F.instr(piece, _CLOSE) > 0,
-                F.concat(
-                    state["spans"],
-                    F.array(
-                        F.struct(
-                            state["at"].alias("at"),
-                            F.substring_index(piece, _CLOSE, 1).alias("found"),
-                        )
-                    ),
-                ),
-            ).otherwise(state["spans"]).alias("spans"),
-        ),
-        lambda state: state["spans"],
+    judged = let(F.split(marked, _OPEN), lambda pieces: let(_cut(pieces), lambda c: _judge_all(c, pattern, is_range)))
+    return F.when(F.instr(marked, _OPEN) > 0, judged).otherwise(F.array().cast(_JUDGED))
+
+
+def _cut(pieces: Column) -> Column:
+    plain = lambda p: F.replace(p, F.lit(_CLOSE), F.lit(""))
+    return F.struct(
+        F.transform(pieces, lambda p: F.when(F.instr(p, _CLOSE) > 0, F.substring_index(p, _CLOSE, 1))).alias("found"),
+        F.transform(pieces, lambda p: F.right(plain(p), F.lit(CONTEXT_BEFORE))).alias("tails"),
+        F.transform(pieces, lambda p: F.left(F.substring_index(p, _CLOSE, -1), F.lit(CONTEXT_AFTER))).alias("rest"),
+        F.transform(pieces, lambda p: F.left(plain(p), F.lit(CONTEXT_AFTER))).alias("heads"),
     )
-    return F.when(
-        F.instr(marked, _OPEN) > 0,
-        F.transform(spans, lambda s: _judge(text, s, pattern, is_range)),
-    ).otherwise(F.array().cast(_JUDGED))
+
+
+def _judge_all(c: Column, pattern: str, is_range: bool) -> Column:
+    """Every piece holds a character at least, so as many pieces as characters reach far enough."""
+    joined = lambda xs, start, n: F.array_join(F.slice(xs, start, n), "")
+
+    def one(found: Column, i: Column) -> Column:  # piece i, from 0, begins with the match
+        first = F.greatest(i - CONTEXT_BEFORE, F.lit(0))
+        before = F.right(joined(c["tails"], first + 1, i - first), F.lit(CONTEXT_BEFORE))
+        after = F.concat(F.get(c["rest"], i), joined(c["heads"], i + 2, F.lit(CONTEXT_AFTER)))
+        return F.struct(found.alias("found"), before.alias("before"), F.left(after, F.lit(CONTEXT_AFTER)).alias("after"))
+
+    spans = F.filter(F.transform(c["found"], one), lambda s: s["found"].isNotNull())
+    return F.transform(spans, lambda s: _judge(s, pattern, is_range))
 
 
 _JUDGED = "array<struct<ok:boolean,rejected:boolean,lo:double,hi:double,currency:string>>"
 
 
-def _judge(text: Column, span: Column, pattern: str, is_range: bool) -> Column:
-    start, found = span["at"], span["found"]
-    before_from = F.greatest(start - CONTEXT_BEFORE, F.lit(0))
-    before = F.substring(text, before_from + 1, start - before_from)
-    before = F.regexp_extract(before, r"[^.;\n]*\z", 0)
-    after = F.substring(text, start + 1, F.length(found) + CONTEXT_AFTER)
+def _judge(span: Column, pattern: str, is_range: bool) -> Column:
+    before = F.regexp_extract(span["before"], r"[^.;\n]*\z", 0)
     return let(
-        F.struct(F.concat(before, after).alias("raw"), found.alias("found")),
+        F.struct(F.concat(before, span["found"], span["after"]).alias("raw"), span["found"].alias("found")),
         lambda w: let(
             F.struct(w["raw"].alias("raw"), folded(w["raw"]).alias("near"), w["found"].alias("found")),
             lambda x: _verdict(x, pattern, is_range),

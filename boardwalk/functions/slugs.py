@@ -6,11 +6,9 @@ from pyspark.sql import functions as F
 from boardwalk.functions.match import let
 from boardwalk.rules import slugs as rules
 
-MAX_CANDIDATES = 7
 
-
-def slug_candidates(name: Column) -> Column:
-    """Array of at most seven candidate tokens, best first."""
+def slug_candidates(name: Column, limit: int | None = None) -> Column:
+    """Array of candidate tokens, best first; all of them, or at most ``limit``."""
     alias_key = F.trim(F.regexp_replace(F.lower(name), r"\s+", " "))
     aliases = F.create_map(
         *[x for k, v in rules.ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
@@ -20,7 +18,7 @@ def slug_candidates(name: Column) -> Column:
     base = F.trim(F.regexp_replace(F.regexp_replace(base, r"[^a-z0-9\s-]", " "), r"\s+", " "))
     return let(
         F.struct(known.alias("known"), _without(base, rules.NOISE).alias("less"), base.alias("base")),
-        _candidates,
+        lambda s: _candidates(s, limit),
     )
 
 
@@ -29,15 +27,15 @@ def _without(text: Column, words: str) -> Column:
     return F.trim(F.regexp_replace(cut, r"\s+", " "))
 
 
-def _candidates(s: Column) -> Column:
+def _candidates(s: Column, limit: int | None) -> Column:
     forms = F.array(s["base"], s["less"], _without(s["less"], rules.SECTOR_WORDS))
     return let(
         F.struct(s["known"].alias("known"), F.filter(forms, lambda v: F.length(v) > 0).alias("forms")),
-        _ordered,
+        lambda v: _ordered(v, limit),
     )
 
 
-def _ordered(s: Column) -> Column:
+def _ordered(s: Column, limit: int | None) -> Column:
     forms = s["forms"]
     joined = F.transform(forms, lambda v: F.regexp_replace(v, r"[\s-]", ""))
     hyphenated = F.transform(forms, lambda v: F.regexp_replace(v, r"\s+", "-"))
@@ -47,7 +45,8 @@ def _ordered(s: Column) -> Column:
     acronyms = F.transform(forms, _acronym)
     every = F.array_compact(F.concat(s["known"], joined, hyphenated, first, acronyms))
     usable = F.filter(every, lambda c: F.length(c).between(2, 60))
-    return F.slice(F.array_distinct(usable), 1, MAX_CANDIDATES)
+    found = F.array_distinct(usable)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def _acronym(form: Column) -> Column:

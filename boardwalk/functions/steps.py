@@ -15,17 +15,3 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     packed = F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))
     out = df.select(*kept, packed.alias("_packed"))
     return out.select(*kept, *[F.col(f"_packed.{k}").alias(k) for k in columns])
-
-
-SPLIT_BYTES = 64 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small scan ahead of costly per-row rules.
-
-    A file below the split size arrives as one task.  Anything large enough to fill
-    the cluster by itself is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df

@@ -7,7 +7,6 @@ from boardwalk.functions.match import folded, hit
 from boardwalk.functions.text import audit_title
 from boardwalk.operators.classify import UNMATCHED
 
-TOP_TITLES = 25_000
 FULL_PASS_HOURS = 20
 WINDOW_MINUTES = 30
 # Fixed value: a rejected title holding one of these deserves a second look.
@@ -18,22 +17,21 @@ SUSPECT = (
 )
 
 
-def exclusion_tally(rejected: DataFrame, pos: str, top: int = TOP_TITLES) -> DataFrame:
-    """(reason, title, n, sample_company) of postings without a family, most frequent first.
+def exclusion_tally(rejected: DataFrame, pos: str, top: int | None = None) -> DataFrame:
+    """(reason, title, n, sample_company) of postings without a family.
 
-    The sample is the company of the first posting by ``pos``.
+    All titles, or with ``top`` the most frequent ones.  The sample is the company of the first posting by ``pos``.
     """
     rows = rejected.where(F.col("family").isNull()).select(
         F.coalesce("excluded_reason", F.lit(UNMATCHED)).alias("reason"),
         audit_title(F.col("title")).alias("title"), "company", pos,
     )
-    return (
+    tally = (
         rows.where(F.length("title") > 0)
         .groupBy("reason", "title")
         .agg(F.count("*").alias("n"), F.min_by("company", pos).alias("sample_company"))
-        .orderBy(F.col("n").desc(), "reason", "title")
-        .limit(top)
     )
+    return tally if top is None else tally.orderBy(F.col("n").desc(), "reason", "title").limit(top)
 
 
 def merge_tally(table: DataFrame, tally: DataFrame, at: Column, full: Column | bool) -> DataFrame:

@@ -77,7 +77,7 @@ def skill_scores(df: DataFrame) -> DataFrame:
     """Skill score of every family, whatever family the posting gets."""
     hay = F.concat(
         folded(F.col("title")), F.lit(" "),
-        folded(F.substring(F.coalesce("description", F.lit("")), 1, rules.BODY_CHARS)),
+        folded(F.coalesce("description", F.lit(""))),
     )
     scored = with_skill_scores(df.withColumn("_hay", hay), "_hay")
     keep = [F.col(f"_{f}_score").alias(f"{f}_score") for f in SKILLS]
@@ -190,7 +190,7 @@ def _strongest(exclude: Column | None, beat: Column) -> Column:
 
 def _prepare(df: DataFrame) -> DataFrame:
     """Text forms and every title-only verdict."""
-    body = F.substring(F.coalesce(F.col("description"), F.lit("")), 1, rules.BODY_CHARS)
+    body = F.coalesce(F.col("description"), F.lit(""))
     df = df.withColumns({"_t": folded(F.col("title")), "_body": folded(body)})
     df = df.withColumns(
         {
@@ -288,7 +288,7 @@ def with_specialization(df: DataFrame, family: str = "family") -> DataFrame:
         c = F.regexp_replace(folded(c), r"\bengineering\b", "engineer")
         return F.trim(F.regexp_replace(F.regexp_replace(c, r"[.\-_/]", " "), r"\s+", " "))
 
-    body = F.substring(F.coalesce(F.col("description"), F.lit("")), 1, S.BODY_CHARS)
+    body = F.coalesce(F.col("description"), F.lit(""))
     df = df.withColumns({"_st": normalise(F.col("title")), "_sb": normalise(body)})
     fam = F.col(family)
     by_title = ladder(

@@ -10,7 +10,6 @@ from boardwalk.rules.quiet import SYNDICATED_PROVIDERS
 from boardwalk.schemas import UNKNOWN, FeedQuery
 
 GHOST_LIMIT = 0.4
-RERANK_POOL = 500
 TRUE = F.lit
 
 
@@ -292,15 +291,15 @@ def quiet_filter(
 
 def quiet_page(
     postings: DataFrame, family: str, now: str, max_age_days: int,
-    ranked: bool = False, offset: int = 0, limit: int = 50, **options,
+    ranked: bool = False, offset: int = 0, limit: int = 50, pool: int | None = None, **options,
 ) -> DataFrame:
-    """Newest quiet postings; ``ranked`` reorders the newest 500 by quiet score."""
+    """Newest quiet postings; ``ranked`` orders all of them, or the newest ``pool``, by quiet score."""
     rows = postings.where(quiet_filter(now, max_age_days, **options) & (F.col("family") == family))
     newest = [F.col("posted_at").desc_nulls_last(), F.col("key")]
     if not ranked:
         return rows.orderBy(*newest).offset(offset).limit(limit)
-    pool = rows.orderBy(*newest).limit(RERANK_POOL)
-    scored = pool.withColumn(
+    rows = rows if pool is None else rows.orderBy(*newest).limit(pool)
+    scored = rows.withColumn(
         "quiet_score", quiet_score(F.col("provider"), F.col("remote_type"), F.col("seniority"))
     )
     return scored.orderBy(F.col("quiet_score").desc(), "key").offset(offset).limit(limit)

@@ -22,29 +22,40 @@ def cap_per_key(df: DataFrame, keys: list[str], order: list[Column], cap: int) -
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
 
 
+def join_on_nullable(rows: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys that may be null."""
+    named = sizes.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & rows[k].eqNullSafe(named[f"_k_{k}"])
+    return rows.join(named, cond, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def rank_in_group(df: DataFrame, group: list[str], ord_col: str, out: str = "rank") -> DataFrame:
     """1-based position of each row within its group, ordered by an integer column.
 
     A group is numbered in slices of its order column, side by side; the slice sizes
     (one small row each) then give every slice its starting point.  No task ever holds
-    a whole group.  Rows with equal (group, order) are numbered in no fixed order.
+    a whole group.  Null groups are a group, null orders come first; rows with equal
+    (group, order) are numbered in no fixed order.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(ord_col) / CHUNK))
+    sliced = df.withColumn("_slice", F.coalesce(F.floor(F.col(ord_col) / CHUNK), F.lit(-(1 << 60))))
     inner = Window.partitionBy(*group, "_slice").orderBy(ord_col)
     sizes = sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    placed = sliced.withColumn("_pos", F.row_number().over(inner)).join(starts, [*group, "_slice"])
+    placed = join_on_nullable(sliced.withColumn("_pos", F.row_number().over(inner)), starts, [*group, "_slice"])
     return placed.withColumn(out, F.col("_pos") + F.col("_start")).drop("_slice", "_pos", "_start")
 
 
 def interleave(df: DataFrame, group: str, ord_col: str) -> DataFrame:
     """Balanced order across groups: (i + 0.5) / size of the group, then input order.
 
-    Adds ``at``; sort by (at, order column) to read the rows interleaved.
+    Adds ``at``; sort by (at, order column) to read the rows interleaved.  Rows of a null
+    group are interleaved as a group of their own.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
-    ranked = rank_in_group(df, [group], ord_col, "_rank").join(sizes, group)
+    ranked = join_on_nullable(rank_in_group(df, [group], ord_col, "_rank"), sizes, [group])
     return ranked.withColumn("at", (F.col("_rank") - F.lit(0.5)) / F.col("_size")).drop("_rank", "_size")
 
 
@@ -53,14 +64,13 @@ def shard_of_tenant(
 ) -> DataFrame:
     """Every row of a tenant gets one shard: tenants are dealt in order of first sight.
 
-    Tenants are numbered once (one row each), then joined back to their rows.
+    Tenants are numbered once (one row each), in slices of that order, then joined back to
+    their rows; a null provider or token makes a tenant too.
     """
-    tenant = F.lower(token)
-    first = (
-        df.groupBy(provider, tenant.alias("_tenant")).agg(F.min(ord_col).alias("_first"))
-    )
-    numbered = rank_in_group(first.withColumn("_all", F.lit(0)), ["_all"], "_first", "_ordinal")
+    rows = df.withColumn("_tenant", F.lower(token))
+    first = rows.groupBy(provider, "_tenant").agg(F.min(ord_col).alias("_first"))
+    numbered = rank_in_group(first, [], "_first", "_ordinal")
     numbered = numbered.select(
         provider, "_tenant", ((F.col("_ordinal") - 1) % shards).cast("int").alias("shard")
     )
-    return df.withColumn("_tenant", tenant).join(numbered, [provider, "_tenant"]).drop("_tenant")
+    return join_on_nullable(rows, numbered, [provider, "_tenant"]).drop("_tenant")

@@ -11,9 +11,6 @@ from boardwalk.functions.text import content_hash, identity_hash
 from boardwalk.operators.keys import cap_per_key, first_per_key
 
 PURGE_AFTER_DAYS = 7
-PURGE_BUDGET = 15_000
-REVIEW_PER_BOARD = 12
-DETAILS_PER_BOARD = 80
 
 
 def check_schema(df: DataFrame, ddl: str) -> DataFrame:
@@ -103,9 +100,9 @@ def vanished(current: DataFrame, batch: DataFrame, healthy: DataFrame) -> DataFr
 
 
 def purge_closed(
-    current: DataFrame, now: Column, days: int = PURGE_AFTER_DAYS, budget: int | None = PURGE_BUDGET
+    current: DataFrame, now: Column, days: int = PURGE_AFTER_DAYS, budget: int | None = None
 ) -> DataFrame:
-    """Drop rows closed longer than ``days``, the oldest ``budget`` of them per run."""
+    """Drop all rows closed longer than ``days``, or with ``budget`` the oldest so many of them."""
     old = F.col("closed_at") < now - F.make_dt_interval(days=F.lit(days))
     if budget is None:
         return current.where(~F.coalesce(old, F.lit(False)))
@@ -244,17 +241,20 @@ def retained(postings: DataFrame, now: Column, days: int) -> DataFrame:
 
 
 def backfill_details(
-    postings: DataFrame, details: DataFrame, order: list[Column], cap: int = DETAILS_PER_BOARD
+    postings: DataFrame, details: DataFrame, order: list[str], cap: int | None = None
 ) -> DataFrame:
-    """Fill missing descriptions and dates from fetched details, ``cap`` per board.
+    """Fill missing descriptions and dates from fetched details.
 
-    ``details`` is (provider, board_token, external_id, description, posted_at).
+    ``details`` is (provider, board_token, external_id, description, posted_at).  With ``cap`` only
+    so many rows of a board are filled, the first by the columns in ``order``.
     """
     board = ["provider", "board_token"]
     lacking = postings.where(
         ~F.coalesce(F.length("description") > 0, F.lit(False)) | F.col("posted_at").isNull()
     )
-    targets = cap_per_key(lacking.select(*board, "external_id", *_order_inputs(order)), board, order, cap)
+    targets = lacking.select(*board, "external_id", *order)
+    if cap is not None:
+        targets = cap_per_key(targets, board, [F.col(c) for c in order], cap)
     chosen = details.join(targets.select(*board, "external_id"), [*board, "external_id"], "left_semi")
     found = first_per_key(chosen, [*board, "external_id"], [F.col("description").desc_nulls_last()])
     found = found.select(
@@ -273,18 +273,14 @@ def backfill_details(
     ).select(*postings.columns)
 
 
-def _order_inputs(order: list[Column]) -> list[str]:
-    return ["pos"]
-
-
 def backfill_candidates(
-    classified: DataFrame, order: list[Column], review_cap: int = REVIEW_PER_BOARD
+    classified: DataFrame, order: list[Column], review_cap: int | None = None
 ) -> DataFrame:
-    """Rows worth a detail fetch: every classified row, and a few review rows per board."""
+    """Rows worth a detail fetch: every classified row, and review rows, at most ``review_cap`` per board."""
     chosen = classified.where(F.col("core_family").isNotNull())
-    review = cap_per_key(
-        classified.where(F.col("family") == "unsorted"), ["provider", "board_token"], order, review_cap
-    )
+    review = classified.where(F.col("family") == "unsorted")
+    if review_cap is not None:
+        review = cap_per_key(review, ["provider", "board_token"], order, review_cap)
     return chosen.unionByName(review)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from boardwalk.functions.dates import exact_age
 from boardwalk.functions.match import folded, hit
 from boardwalk.functions.steps import computed
+from boardwalk.operators.keys import join_on_nullable
 from boardwalk.rules import quiet as quiet_rules
 from boardwalk.rules import scoring as rules
 
@@ -27,9 +28,9 @@ def _lookup(table: dict, key: Column, default: float) -> Column:
 
 def with_board_size(df: DataFrame, *board: str) -> DataFrame:
     """Postings per board.  Counted apart and joined back, so a huge board is one
-    pre-aggregated row rather than one window partition."""
+    pre-aggregated row rather than one window partition.  Null boards are a board."""
     sizes = df.groupBy(*board).agg(F.count("*").alias("board_size"))
-    return df.join(sizes, list(board))
+    return join_on_nullable(df, sizes, list(board))
 
 
 def with_scores(df: DataFrame, now: Column) -> DataFrame:

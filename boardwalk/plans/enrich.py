@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from boardwalk.functions.geo import clean_location, country, us_state
 from boardwalk.functions.labels import seniority_from_text
 from boardwalk.functions.pay import annualise, salary_from_text, salary_usd
-from boardwalk.functions.steps import computed, spread
+from boardwalk.functions.steps import computed
 from boardwalk.operators.classify import classify_postings, is_quiet, with_sector
+from boardwalk.operators.keys import first_per_key
 from boardwalk.operators.lifecycle import backfill_details, retained
 from boardwalk.operators.score import with_board_size, with_scores
 from boardwalk.schemas import MAX_AGE_DAYS, POSTINGS, names
@@ -15,19 +16,24 @@ from boardwalk.session import checkpoint
 from boardwalk.sources.vendors import read_all
 
 
+NO_ID = "no posting id"
+
+
 def enrich(normalised: DataFrame, companies: DataFrame, now: Column) -> DataFrame:
     """Normalised postings with every derived column.
 
     ``companies`` is (provider, board_token, company), one row per board.  The board
-    size counts what the board listed, so it is taken before old postings go.
+    size counts what the board listed, so it is taken before old postings go; a column
+    ``board_size`` that is there already is used.
     """
     board = ["provider", "board_token"]
-    sized = with_board_size(normalised, *board)
+    sized = normalised if "board_size" in normalised.columns else with_board_size(normalised, *board)
     fresh = retained(sized, now, MAX_AGE_DAYS).join(companies, board, "left")
     fresh = fresh.withColumns(
         {
             "company": F.coalesce("company", "board_token"),
-            "key": F.concat_ws(":", "provider", "board_token", "external_id"),
+            # null if a part is: such rows have no identity and are rejected, not merged into one
+            "key": F.concat("provider", F.lit(":"), "board_token", F.lit(":"), "external_id"),
         }
     )
     judged = classify_postings(fresh)
@@ -64,28 +70,37 @@ def enrich(normalised: DataFrame, companies: DataFrame, now: Column) -> DataFram
 
 
 def stored_rows(enriched: DataFrame) -> DataFrame:
-    """The in-scope part in the postings schema."""
-    return enriched.where(F.col("family").isNotNull()).select(*names(POSTINGS))
+    """The in-scope part in the postings schema, one row per key: the first one listed."""
+    kept = enriched.where(F.col("family").isNotNull() & F.col("key").isNotNull())
+    return first_per_key(kept, ["key"], [F.col("page"), F.col("pos")]).select(*names(POSTINGS))
 
 
 def rejected_rows(enriched: DataFrame) -> DataFrame:
-    """What the crawl threw away, for the exclusion tally."""
-    return enriched.where(F.col("family").isNull()).select(
-        "family", "excluded_reason", "title", "company", "page", "pos"
+    """What the crawl threw away, for the exclusion tally; rows without an id among them."""
+    lost = F.col("key").isNull()
+    return enriched.where(F.col("family").isNull() | lost).select(
+        F.when(~lost, F.col("family")).alias("family"),
+        F.when(lost, F.lit(NO_ID)).otherwise(F.col("excluded_reason")).alias("excluded_reason"),
+        "title", "company", "page", "pos",
     )
 
 
 def crawl(
     pages: DataFrame, companies: DataFrame, details: DataFrame | None, now: Column,
-    providers: list[str] | None = None,
+    providers: list[str] | None = None, partitions: int | None = None,
 ) -> DataFrame:
     """Landed pages of one run to enriched postings.
 
+    ``details`` fill rows inside the window that lack a text or a date; the window applies
+    again to what they bring.  ``partitions`` deals the pages out anew, for few large files.
     The parsed postings are kept once in the shared checkpoint folder: board sizes and
     the rules both read them, and a lost executor re-reads them instead of parsing the
     payloads again.
     """
-    rows = read_all(spread(pages), now, providers)
+    dealt = pages if partitions is None else pages.repartition(partitions)
+    rows = checkpoint(read_all(dealt, now, providers))
+    board = ["provider", "board_token"]
     if details is not None:
-        rows = backfill_details(rows, details, [F.col("page"), F.col("pos")])
-    return enrich(checkpoint(rows), companies, now)
+        sized = retained(with_board_size(rows, *board), now, MAX_AGE_DAYS)
+        return enrich(backfill_details(sized, details, ["page", "pos"]), companies, now)
+    return enrich(rows, companies, now)

@@ -238,7 +238,6 @@ STACK_FAMILIES = ["data", "cloud", "software"]
 SKILL_THRESHOLD = 5
 DOMINANCE_RATIO = 2
 DOMINANCE_MARGIN = 8
-BODY_CHARS = 4000
 
 PYTHON_STACK = [
     "Python", "Python Web", "Python Tooling", "Python Data",

@@ -576,4 +576,3 @@ FAMILY_NOUN = {
 CLASSIFICATION_VERSION = "spec-2"
 MIN_BODY_HITS = 2
 BODY_MARGIN = 2
-BODY_CHARS = 4000

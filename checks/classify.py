@@ -39,8 +39,8 @@ def prepared() -> str:
         adjacent_pairs.append((f"{cond} and {it}" if category == "systems_engineering" else cond, quote(category)))
     veto = " or ".join(hit("title", p) for p in (A.NEVER_ADJACENT, A.HARDWARE_ENGINEERING, A.NOT_A_TECH_ROLE))
     return f"""
-t0 as (select *, title || ' ' || left(coalesce(description, ''), 4000) as hay,
-  left(coalesce(description, ''), 4000) as body,
+t0 as (select *, title || ' ' || coalesce(description, '') as hay,
+  coalesce(description, '') as body,
   replace(regexp_replace(title, '(?i)\\bengineering\\b', 'engineer', 'g'), '-', ' ') as m from postings),
 t1 as (select *, {scores}, {names}, {first_label('title', R.HARD_EXCLUSIONS)} as hard,
   {first_label('title', R.SOFT_EXCLUSIONS)} as soft, {hit('title', R.ENGINEERING_ROLE)} as eng,
@@ -231,7 +231,7 @@ def spec_sql(family: str) -> str:
     general = case((f"fam_ = '{f}'", quote(s)) for f, s in P.GENERAL.items())
     label = case((f"bt = {quote(k)}", quote(v)) for k, v in P.LABELS.items())
     return f"""
-s0 as (select *, {family} as fam_, {norm('title')} as st, {norm("left(coalesce(description, ''), 4000)")} as sb from postings),
+s0 as (select *, {family} as fam_, {norm('title')} as st, {norm("coalesce(description, '')")} as sb from postings),
 s1 as (select *, {by_title} as bt, {generic} as gen, {noun} as noun, {general} as general, {ranked} as rk from s0),
 s2 as (select *, -rk[1].n as top, rk[2].n - rk[1].n as lead_,
   array_to_string(list_transform(list_filter(rk, lambda r: -r.n >= -rk[1].n - 1), lambda r: r.l), ', ') as tied,

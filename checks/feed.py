@@ -352,7 +352,7 @@ def quiet_page(spark, sf_dir):
 @register(
     "quiet_rerank",
     fx.with_postings_cte(
-        f"pool as (select * from postings where {QUIET} and family = 'software' {NEWEST} limit 500)",
+        f"pool as (select * from postings where {QUIET} and family = 'software' )",
         f"select key, {QUIET_SCORE} as quiet_score from pool order by quiet_score desc, key limit 50",
     ),
 )

@@ -4,7 +4,6 @@ The derivation is SQL text that Spark and DuckDB both read, so both sides of a
 check start from the same rows.  It grows with ``orders``.
 """
 
-from boardwalk.functions.steps import spread
 
 NOW = "2001-08-02 00:00:00"
 WIDE_DAYS = 365
@@ -244,7 +243,7 @@ def from_sql(spark, sf_dir: str, sql: str, *names: str, spread_first: bool = Fal
     """
     frames = {n: read(spark, sf_dir, n) for n in names}
     if spread_first:
-        frames[names[0]] = spread(frames[names[0]])
+        frames[names[0]] = frames[names[0]].repartition(spark.sparkContext.defaultParallelism)
     return spark.sql(sql_with_frames(sql, names), **frames)
 
 

@@ -118,12 +118,12 @@ def merge_and_close(spark, sf_dir):
 @register(
     "purge_closed",
     fx.with_postings_cte(
-        f"going as (select key from postings where closed_at < {NOW_SQL} - interval '7' day order by closed_at, key limit 500)",
+        f"going as (select key from postings where closed_at < {NOW_SQL} - interval '7' day)",
         "select key from postings where key not in (select key from going)",
     ),
 )
 def purge_closed(spark, sf_dir):
-    return lifecycle.purge_closed(postings(spark, sf_dir), now(), budget=500).select("key")
+    return lifecycle.purge_closed(postings(spark, sf_dir), now()).select("key")
 
 
 @register(
@@ -208,10 +208,10 @@ LACKING = "d as (select *, case when ord % 2 = 0 then description end as have fr
 @register(
     "detail_backfill",
     fx.with_postings_cte(
-        f"{LACKING}, t as (select *, row_number() over (partition by provider, board_token order by ord) as rn from d "
+        f"{LACKING}, t as (select key from d "
         "where coalesce(have, '') = '' or posted_at is null)",
-        "select d.key, coalesce(nullif(d.have, ''), case when t.rn <= 80 and d.ord % 3 <> 0 then 'Detail ' || cast(d.ord as varchar) end, d.have) as description, "
-        "coalesce(d.posted_at, case when t.rn <= 80 and d.ord % 3 <> 0 then d.first_seen_at end) as posted_at from d left join t on t.key = d.key",
+        "select d.key, coalesce(nullif(d.have, ''), case when t.key is not null and d.ord % 3 <> 0 then 'Detail ' || cast(d.ord as varchar) end, d.have) as description, "
+        "coalesce(d.posted_at, case when t.key is not null and d.ord % 3 <> 0 then d.first_seen_at end) as posted_at from d left join t on t.key = d.key",
     ),
 )
 def detail_backfill(spark, sf_dir):
@@ -224,7 +224,7 @@ def detail_backfill(spark, sf_dir):
         F.concat(F.lit("Detail "), F.col("ord").cast("string")).alias("description"),
         F.col("first_seen_at").alias("posted_at"),
     )
-    return lifecycle.backfill_details(listed, details, [F.col("pos")]).select("key", "description", "posted_at")
+    return lifecycle.backfill_details(listed, details, ["pos"]).select("key", "description", "posted_at")
 
 
 _OLD = "case when ord % 3 = 0 then 'spec-2' when ord % 3 = 1 then 'spec-1' end"
@@ -315,9 +315,9 @@ def rejected(spark, sf_dir):
     return with_family(heavy_postings(spark, sf_dir).select("key", "company", "title", "description", "ord"))
 
 
-@register("exclusion_tally", fx.with_postings_cte(f"{CLASSIFIED}, {TALLY}", "select * from tally order by n desc, reason, title limit 20"))
+@register("exclusion_tally", fx.with_postings_cte(f"{CLASSIFIED}, {TALLY}", "select * from tally"))
 def exclusion_tally(spark, sf_dir):
-    return audit.exclusion_tally(rejected(spark, sf_dir), "ord", top=20)
+    return audit.exclusion_tally(rejected(spark, sf_dir), "ord")
 
 
 @register(

@@ -264,7 +264,7 @@ def seniority_title(spark, sf_dir):
     )
 
 
-_D4 = "left(description, 4000)"
+_D4 = "description"
 _YEARS = (
     "list_filter(list_transform(list_concat(regexp_extract_all({d}, {a}, 1), regexp_extract_all({d}, {b}, 1)), "
     "lambda y: cast(y as int)), lambda y: y <= 25)[1]"
@@ -519,7 +519,7 @@ def _slug_sql() -> str:
         "list_transform(list_filter(forms, lambda v: len(string_split(v, ' ')) between 2 and 4), "
         "lambda v: array_to_string(list_transform(string_split(v, ' '), lambda w: w[1]), '')))))) as every from d), "
         "f as (select id, list_filter(every, lambda c: length(c) between 2 and 60) as usable from e), "
-        "g as (select id, list_filter(usable, lambda c, i: list_position(usable, c) = i)[1:7] as slugs from f)"
+        "g as (select id, list_filter(usable, lambda c, i: list_position(usable, c) = i) as slugs from f)"
     )
 
 
