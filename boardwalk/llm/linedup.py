@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardwalk.llm.common import WORD, Scratch, broadcast_if_few, computed, join_counted, running_totals
+from boardwalk.llm.common import WORD, Scratch, computed, join_counted, running_totals
 from boardwalk.llm.registry import register, table
 
 MIN_WORDS = 50
@@ -125,7 +125,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
     replaced, all others pass.
     """
     named = df.where(F.col(key).isNotNull())
-    gone = broadcast_if_few(deletions(named, key, text, min_words)).withColumnRenamed("key", "_key")
+    # texts are always shuffled once: documents that lose lines grow with the input like all others
+    gone = deletions(named, key, text, min_words).withColumnRenamed("key", "_key").hint("merge")
     others = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     rows = df.select(F.struct(*others).alias("_row"), F.col(key).alias("_id"), F.xxhash64(text).alias("_hash"))
     joined = rows.join(gone, (F.col("_id") == F.col("_key")) & (F.col("_hash") == F.col("text_hash")), "left")
