@@ -96,12 +96,12 @@ def _entry(dim: str, value: Column) -> Column:
     return F.struct(F.lit(dim).alias("dim"), value.alias("value"))
 
 
-def _with_zero(counted: DataFrame, *keys: str) -> DataFrame:
-    """The unknown-country count is stated even when it is zero."""
-    if keys:
-        zero = counted.select(*keys).distinct()
-    else:
-        zero = counted.sparkSession.range(1)
+def _with_zero(counted: DataFrame, shape_keys: list[str] | None = None) -> DataFrame:
+    """The unknown-country count is stated even when it is zero, for every given shape."""
+    zero, keys = counted.sparkSession.range(1), []
+    if shape_keys is not None:
+        keys = ["shape_key"]
+        zero = zero.select(F.explode(F.array(*map(F.lit, shape_keys))).alias("shape_key"))
     zero = zero.select(
         *keys, F.lit(COUNTRY_UNKNOWN).alias("dim"), F.lit("").alias("value"),
         F.lit(0).cast("bigint").alias("n"),
@@ -204,7 +204,7 @@ def snapshot(postings: DataFrame, shapes: list[tuple], now: str, max_age_days: i
         .groupBy("shape_key", F.col("e.dim").alias("dim"), F.col("e.value").alias("value"))
         .agg(F.sum("c").alias("n"))
     )
-    return _with_zero(counted, "shape_key").withColumn("computed_at", ts(now))
+    return _with_zero(counted, [s[0] for s in shapes]).withColumn("computed_at", ts(now))
 
 
 def snapshot_key(f: FeedQuery, families: list[str], countries: list[str]) -> str | None:

@@ -1,8 +1,9 @@
-"""Micro-batch jobs: one crawl is one batch.
+"""Micro-batch jobs.  A micro-batch may hold any number of crawls.
 
-The batch functions are the same ones the tables are built with in batch mode; these
-wrappers only load the previous version, apply them and store the next.  A batch's
-time is read from its data (the latest ``at``), so a replay gives the same result.
+The batch functions are the same ones the tables are built with in batch mode; these wrappers
+load the previous version, apply the batch's crawls one after the other by their time, and store
+the next version.  So it makes no difference how a stream is cut into batches, as long as a crawl
+arrives in one of them, and a replayed batch gives the same result.
 """
 
 from datetime import datetime
@@ -14,11 +15,18 @@ from pyspark.sql.streaming import StreamingQuery
 from boardwalk.operators.audit import is_full_pass, merge_tally
 from boardwalk.operators.lifecycle import dedupe_batch, healthy_boards, merge_batch, purge_closed
 from boardwalk.operators.registry import apply_outcomes
+from boardwalk.session import checkpoint as cut
 from boardwalk.streaming.tables import VersionedTable
 
 
-def _batch_time(df: DataFrame, at: str):
-    return df.agg(F.max(at)).first()[0]
+def _by_crawl(batch: DataFrame, at: str):
+    """(time, rows) of each crawl in the batch, oldest first.  One time per crawl reaches the driver."""
+    rows = batch.where(F.col(at).isNotNull()).persist()
+    try:
+        for when, in rows.select(at).distinct().orderBy(at).collect():
+            yield when, rows.where(F.col(at) == F.lit(when).cast("timestamp_ntz"))
+    finally:
+        rows.unpersist()
 
 
 def _each_batch(stream: DataFrame, checkpoint: str, step, once: bool = True) -> StreamingQuery:
@@ -38,16 +46,15 @@ def merge_postings_stream(
     def step(batch: DataFrame, batch_id: int) -> None:
         if table.has(batch_id):
             return
-        when = _batch_time(batch, at)
-        if when is None:
-            return
-        now = F.lit(when).cast("timestamp_ntz")
         state = table.before(batch_id)
-        rows = dedupe_batch(batch, [F.col("page"), F.col("pos")])
-        outcomes = outcomes_of(when)
-        healthy = None if outcomes is None else healthy_boards(outcomes)
-        merged = merge_batch(state, rows, healthy, now)
-        table.write(batch_id, purge_closed(merged, now) if purge else merged)
+        for when, crawled in _by_crawl(batch, at):
+            now = F.lit(when).cast("timestamp_ntz")
+            rows = dedupe_batch(crawled, [F.col("page"), F.col("pos")])
+            outcomes = outcomes_of(when)
+            healthy = None if outcomes is None else healthy_boards(outcomes)
+            merged = merge_batch(state, rows, healthy, now)
+            state = cut(purge_closed(merged, now) if purge else merged)
+        table.write(batch_id, state)
         table.forget_before(batch_id)
 
     return _each_batch(sightings, checkpoint, step, once)
@@ -61,13 +68,11 @@ def board_health_stream(
     def step(batch: DataFrame, batch_id: int) -> None:
         if boards.has(batch_id):
             return
-        when = _batch_time(batch, at)
         state = boards.before(batch_id) if boards.versions() else seed
-        if when is None:
-            boards.write(batch_id, state)
-            return
-        now = F.lit(when).cast("timestamp_ntz")
-        boards.write(batch_id, apply_outcomes(state, batch, now, may_retire))
+        for when, crawled in _by_crawl(batch, at):
+            state = cut(apply_outcomes(state, crawled, F.lit(when).cast("timestamp_ntz"), may_retire))
+        boards.write(batch_id, state)
+        boards.forget_before(batch_id)
 
     return _each_batch(outcomes, checkpoint, step, once)
 
@@ -80,15 +85,16 @@ def tally_stream(
     def step(batch: DataFrame, batch_id: int) -> None:
         if marker.has(batch_id):
             return
-        when = _batch_time(batch, at)
-        if when is None:
-            return
         stored = marker.before(batch_id).first()
         opened: datetime | None = stored["window_started_at"] if stored else None
-        full, opened = is_full_pass(opened, when)
-        now = F.lit(when).cast("timestamp_ntz")
-        table.write(batch_id, merge_tally(table.before(batch_id), batch, now, full))
+        state = table.before(batch_id)
+        for when, tally in _by_crawl(batch, at):
+            full, opened = is_full_pass(opened, when)
+            state = cut(merge_tally(state, tally, F.lit(when).cast("timestamp_ntz"), full))
+        table.write(batch_id, state)
         row = table.spark.createDataFrame([(opened,)], "window_started_at timestamp_ntz")
         marker.write(batch_id, row)
+        for each in (table, marker):
+            each.forget_before(batch_id)
 
     return _each_batch(tallies, checkpoint, step, once)

@@ -69,11 +69,12 @@ def test_replay_equals_fold(spark):
     assert collected(lifecycle.replay(seen, runs)) == collected(fold(spark))
 
 
-def test_stream_equals_fold_and_can_be_replayed(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 1000])
+def test_stream_equals_fold_and_can_be_replayed(spark, tmp_path, files):
     for i in range(3):
         rows = spark.createDataFrame(batch_rows(i), BATCH)
         rows.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    source = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    source = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", files).json(str(tmp_path / "in"))
     table = VersionedTable(spark, str(tmp_path / "state"), STATE)
 
     def outcomes_of(when):
@@ -132,7 +133,8 @@ def test_interleave_and_shards(spark):
     assert shard == {0: 0, 1: 1, 2: 0, 3: 0}
 
 
-def test_health_stream_retires_after_five(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 3, 1000])
+def test_health_stream_retires_after_five(spark, tmp_path, files):
     seed = spark.createDataFrame(
         [("a", "x", "X", None, True, "m", None, 1, 0, None, None, None, None)],
         "provider string, token string, company string, extra map<string,string>, active boolean, source string, "
@@ -144,7 +146,7 @@ def test_health_stream_retires_after_five(spark, tmp_path):
     for i, f in enumerate(history):
         row = [("a", "x", "", 1, f and "a/x: HTTP 404", f, T0 + timedelta(days=i))]
         spark.createDataFrame(row, ddl).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", files).json(str(tmp_path / "in"))
     ddl_boards = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seed.schema)
     table = VersionedTable(spark, str(tmp_path / "b"), ddl_boards)
     jobs.board_health_stream(stream, table, seed, str(tmp_path / "cp")).awaitTermination()
@@ -162,7 +164,8 @@ def test_refusals_never_retire(spark):
     assert registry.health_history(outcomes, "at", "n").first()["active"]
 
 
-def test_tally_stream_two_speeds(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 3, 1000])
+def test_tally_stream_two_speeds(spark, tmp_path, files):
     ddl = "reason string, title string, n long, sample_company string, at timestamp_ntz"
     hours = [0, 0.4, 2, 21]
     for i, h in enumerate(hours):
@@ -170,7 +173,7 @@ def test_tally_stream_two_speeds(spark, tmp_path):
         if i == 2:
             rows.append(("r", "new", 3, "d", T0 + timedelta(hours=h)))
         spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", files).json(str(tmp_path / "in"))
     table = VersionedTable(
         spark, str(tmp_path / "t"),
         "reason string, title string, n long, sample_company string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz",
@@ -219,3 +222,15 @@ def test_purge_takes_the_oldest_first(spark):
 def test_bad_queries_are_refused(bad):
     with pytest.raises(ValueError):
         FeedQuery(now="2026-01-01 00:00:00", **bad)
+
+
+def test_null_groups_keep_their_rows(spark):
+    from boardwalk.operators.keys import interleave, shard_of_tenant
+    from boardwalk.operators.score import with_board_size
+
+    rows = [("a", "x", 1), (None, "x", 2), ("a", None, 3), (None, None, 4), ("a", "x", 5)]
+    df = spark.createDataFrame(rows, "provider string, token string, ord long")
+    assert sorted(r.board_size for r in with_board_size(df, "provider", "token").collect()) == [1, 1, 1, 2, 2]
+    assert interleave(df, "provider", "ord").count() == 5
+    shards = {r.ord: r.shard for r in shard_of_tenant(df, 2, "ord").collect()}
+    assert shards == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
