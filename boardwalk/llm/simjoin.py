@@ -11,8 +11,8 @@ sets are all connected already.  What is left is checked on the exact sets.
   of tokens gives the same links; this one keeps common passages from bringing sets together.
 * Trees with the same members are kept once.  Large ones are cut into blocks that are the nodes of
   their upper level; tasks hold two blocks at most.
-* Before the trees are traversed, each set is checked against one leader of each of its trees, twice.
-  That joins most near copies with a number of checks in proportion to the rows.
+* Before the trees are traversed, each set is checked against one leader of each of its trees, three
+  times. That joins most near copies with a number of checks in proportion to the rows.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ class Join:
 
 # Odd multipliers that mix word hashes into one number.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class Shingler:
@@ -128,8 +128,8 @@ def _rare(docs: DataFrame, weight, spec: Join) -> DataFrame:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Token bitmap of eight bits or more for each token, at least 256 bits, as 64-bit words."""
-    width = max(256, 1 << (8 * len(tokens) - 1).bit_length())
+    """Token bitmap of four bits or more for each token, at least 256 bits, as 64-bit words."""
+    width = max(256, 1 << (4 * len(tokens) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(tokens % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
@@ -140,19 +140,21 @@ def fold(words: np.ndarray, n: int) -> np.ndarray:
     return np.bitwise_or.reduce(words.reshape(-1, n), axis=0)
 
 
-def _sets(docs: DataFrame, spec: Join) -> DataFrame:
-    """(rep, tokens, bits): the exact set and the bitmap of each document."""
+def _sets(docs: DataFrame, spec: Join, exact: bool) -> DataFrame:
+    """(rep, size, bits): set size and bitmap of each document, or its exact set in place of the bitmap."""
 
     def work(batches):
         shingles = Shingler(spec.words)
         for batch in batches:
-            out = []
-            for key, text in _texts(batch):
-                s = shingles(text)
-                out.append((key, s.tobytes(), bitmap(s).tobytes()))
-            yield _rows(out, "rep long, tokens binary, bits binary")
+            sets = [(key, shingles(text)) for key, text in _texts(batch)]
+            yield _rows([(k, len(s), (s if exact else bitmap(s)).tobytes()) for k, s in sets], "rep long, size long, bits binary")
+
+    return docs.mapInArrow(work, "rep long, size long, bits binary")
 
-    return docs.mapInArrow(work, "rep long, tokens binary, bits binary")
+
+def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents whose key is in the written table ``wanted``; texts are shuffled only if that is long."""
+    return docs.join(broadcast_if_few(wanted, 200_000), "key", "left_semi")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -161,31 +163,34 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, spec: Join) -> DataFrame:
-    """The pairs (a, b) that link by their exact sets; bitmaps drop what can't first."""
-    held = sets.select("rep", F.octet_length("tokens").alias("n"), "bits")
-    with_bits = pairs
+def _with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     for side in ("a", "b"):
-        own = held.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-        with_bits = with_bits.join(own, side)
+        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("size").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    return pairs
 
-    def may(batches):
-        for batch in batches:
-            a, b, na, x, nb, y = (batch.column(c).to_pylist() for c in ("a", "b", "n_a", "bits_a", "n_b", "bits_b"))
-            keep = [_possible(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64), na[i] // 8, nb[i] // 8, spec) for i in range(len(a))]
-            yield _rows([(a[i], b[i]) for i in range(len(a)) if keep[i]], "a long, b long")
 
-    left = with_bits.mapInArrow(may, "a long, b long")
-    for side in ("a", "b"):
-        left = left.join(sets.select(F.col("rep").alias(side), F.col("tokens").alias(f"t_{side}")), side)
+def _where(pairs: DataFrame, test) -> DataFrame:
+    """Pairs (a, b) of ``_with_both`` for which test(bits, bits, size, size) is true."""
 
-    def exact(batches):
+    def work(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "t_a", "t_b"))
-            ok = [linked(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64), spec.percent) for i in range(len(a))]
-            yield _rows([(a[i], b[i]) for i in range(len(a)) if ok[i]], "a long, b long")
+            a, b, x, y, nx, ny = (batch.column(c).to_pylist() for c in ("a", "b", "bits_a", "bits_b", "n_a", "n_b"))
+            own = [test(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64), nx[i], ny[i]) for i in range(len(a))]
+            yield _rows([(a[i], b[i]) for i in range(len(a)) if own[i]], "a long, b long")
+
+    return pairs.mapInArrow(work, "a long, b long")
+
 
-    return left.mapInArrow(exact, "a long, b long")
+def _verify(scratch: Scratch, pairs: DataFrame, bitmaps: DataFrame, docs: DataFrame, spec: Join, turn: int) -> DataFrame:
+    """The pairs (a, b) that link: bitmaps drop what can't, then the exact sets of the rest decide."""
+    left = _where(_with_both(pairs, bitmaps), lambda x, y, n, m: _possible(x, y, n, m, spec))
+    left = scratch.save(left, f"left{turn}")
+    ends = left.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    exact = scratch.save(_sets(_of(docs, scratch.save(ends, f"ends{turn}")), spec, exact=True), f"exact{turn}")
+    links = _where(_with_both(left, exact), lambda x, y, n, m: linked(x, y, spec.percent))
+    links = scratch.save(links.distinct(), f"links{turn}")
+    scratch.drop(f"left{turn}", f"ends{turn}", f"exact{turn}")
+    return links
 
 
 def _possible(x: np.ndarray, y: np.ndarray, nx: int, ny: int, spec: Join) -> bool:
@@ -254,27 +259,32 @@ class Tree:
 
 
 def _traverse(members: DataFrame, spec: Join) -> DataFrame:
-    """Candidate pairs of all trees; rows (token, left, right, side, rep, part, size, bits)."""
+    """Candidate pairs of all trees, each from the first tree that both sets are in.
 
-    def flush(group: list) -> list[tuple]:
-        reps, parts, sizes, bits, sides = zip(*group, strict=True)
+    Rows are (token, left, right, side, rep, part, size, bits, trees), a tree's together.
+    """
+
+    def flush(group: list, token: int) -> list[tuple]:
+        reps, parts, sizes, bits, sides, trees = zip(*group, strict=True)
+        trees = [set(t) for t in trees]
         tree = Tree([np.frombuffer(b, np.uint64) for b in bits], np.array(sizes), np.array(parts), spec.leaf)
         return [
-            (min(reps[i], reps[j]), max(reps[i], reps[j])) for i, j in tree.pairs(spec.percent) if sides[i] == 2 or sides[i] != sides[j]
+            (min(reps[i], reps[j]), max(reps[i], reps[j])) for i, j in tree.pairs(spec.percent)
+            if (sides[i] == 2 or sides[i] != sides[j]) and min(trees[i] & trees[j]) == token
         ]
 
     def work(batches):
         at, group = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("token", "left", "right", "rep", "part", "size", "bits", "side")]
+            cols = [batch.column(c).to_pylist() for c in ("token", "left", "right", "rep", "part", "size", "bits", "side", "trees")]
             out = []
             for token, left, right, *row in zip(*cols, strict=True):
                 if (token, left, right) != at:
-                    out += flush(group) if len(group) > 1 else []
+                    out += flush(group, at[0]) if len(group) > 1 else []
                     at, group = (token, left, right), []
                 group.append(row)
             yield _rows(out, "a long, b long")
-        yield _rows(flush(group) if len(group) > 1 else [], "a long, b long")
+        yield _rows(flush(group, at[0]) if len(group) > 1 else [], "a long, b long")
 
     return members.mapInArrow(work, "a long, b long")
 
@@ -293,9 +303,9 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", spec: Join =
     scratch = Scratch(spark, "simjoin")
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     measured = scratch.save(_measure(docs, spec), "measured")
-    bins = measured.where("kind = 1").groupBy("key").agg(F.sum("size").alias("n")).collect()  # at most spec.bins rows
+    bins = measured.where("kind = 1").groupBy("key").agg(F.sum("size").alias("n")).toArrow()  # at most spec.bins rows
     weight = np.zeros(spec.bins, np.int64)
-    weight[[r.key for r in bins]] = [r.n for r in bins]
+    weight[np.asarray(bins.column("key"))] = np.asarray(bins.column("n"))
     weight = spark.sparkContext.broadcast(weight)
 
     rows = measured.where("kind = 0").select("key", "size", "h1", "h2")
@@ -315,31 +325,36 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", spec: Join =
     scratch.drop("shared")
 
     wanted = scratch.save(trees.select(F.col("rep").alias("key")).distinct(), "wanted")
-    sets = scratch.save(_sets(docs.join(broadcast_if_few(wanted, 200_000), "key", "left_semi"), spec), "sets")
+    bitmaps = scratch.save(_sets(_of(docs, wanted), spec, exact=False), "bitmaps")
 
     parts, links, turn = trees.select("rep").distinct().withColumn("part", F.col("rep")), None, 0
 
     def grown(found: DataFrame) -> None:
         nonlocal parts, links, turn
-        new = scratch.save(found, f"links{turn}")
+        new = _verify(scratch, found, bitmaps, docs, spec, turn)
         links = new if links is None else links.unionByName(new)
         comps = components(Scratch(spark, "simjoin-parts"), links, "a", "b").withColumnRenamed("node", "rep")
         parts = scratch.save(wanted.select(F.col("key").alias("rep")).join(comps, "rep", "left").select(
             "rep", F.coalesce("component", "rep").alias("part")), f"parts{turn}")
         turn += 1
 
-    for seed in (1, 2):  # leaders
-        placed = trees.join(parts, "rep")
-        lead = F.min_by(F.struct("rep", "size", "part"), F.struct(F.xxhash64("rep", F.lit(seed)), F.col("rep"))).over(by_token)
+    # a set that is in many trees is little changed from what its near copies have in common
+    central = scratch.save(trees.groupBy("rep").agg(F.count("*").alias("trees")), "central")
+    for seed in range(3):  # leaders: the most central set, then other central ones
+        placed = trees.join(parts, "rep").join(central, "rep")
+        luck = F.lit(1.0) - F.lit(0.2 if seed else 0.0) * F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1000)) / 1000
+        lead = F.max_by(F.struct("rep", "size", "part"), F.struct(F.col("trees") * luck, F.col("rep"))).over(by_token)
         star = placed.withColumn("lead", lead).where("part != lead.part").where(
             f"least(size, lead.size) * 100 >= {spec.percent} * greatest(size, lead.size)"
         )
         pairs = star.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
-        grown(_verify(pairs, sets, spec))
+        grown(pairs)
 
     mixed = trees.join(parts, "rep")
     open_ = mixed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("token")
-    ranked = running_totals(scratch, mixed.join(open_, "token"), ["token"], ["size", "rep"], {"place": F.lit(1)}, "ranked")
+    mixed = scratch.save(mixed.join(open_, "token"), "mixed")
+    of_rep = mixed.groupBy("rep").agg(F.collect_list("token").alias("trees"))  # a set's own rarest tokens at most
+    ranked = running_totals(scratch, mixed, ["token"], ["size", "rep"], {"place": F.lit(1)}, "ranked")
     ranked = scratch.save(ranked.withColumn("block", F.floor(F.col("place") / spec.block)), "blocks")
     nodes = ranked.groupBy("token", "block").agg(
         F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("part").alias("p"), F.max("part").alias("q")
@@ -353,11 +368,11 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", spec: Join =
         F.when(F.col("left") == F.col("right"), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
     )).withColumn("block", F.when(F.col("side") == 1, F.col("right")).otherwise(F.col("left")))
     members = sides.join(ranked.select("token", "block", "rep", "part"), ["token", "block"]).join(
-        sets.select("rep", "bits", (F.octet_length("tokens") / 8).cast("long").alias("size")), "rep"
-    )
+        bitmaps, "rep"
+    ).join(of_rep, "rep")
     dealt = members.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "side", "size", "rep")
     candidates = scratch.save(_traverse(dealt, spec).distinct(), "candidates")
-    grown(_verify(candidates, sets, spec))
+    grown(candidates)
 
     tops = parts.where("part != rep")
     final = owners.join(broadcast_if_few(tops), "rep", "left").groupBy("key").agg(F.min(F.coalesce("part", "rep")).alias("component_id"))
