@@ -22,7 +22,7 @@ from boardwalk.llm.common import ship
 from boardwalk.llm.registry import register, table
 
 #: Remembered pieces of a worker; a full memory is emptied, which changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 @lru_cache(maxsize=1)
@@ -55,7 +55,7 @@ def _pattern():
 
 
 class Coder:
-    """Encoder and decoder of one vocabulary."""
+    """Encoder of one vocabulary; pieces met before are remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,13 +65,6 @@ class Coder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.seen: dict[str, bytes] = {}
-        back = {c: b for b, c in enumerate(byte_letters())}
-        with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        self.bytes_of = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.bytes_of[i] = bytes(map(back.__getitem__, token)) if all(c in back for c in token) else token.encode()
-        self.n_bytes = np.array([len(x) for x in self.bytes_of], np.int32)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as packed 32-bit numbers."""
@@ -84,22 +77,31 @@ class Coder:
                 seen[piece] = np.array(got.ids, np.int32).tobytes()
         return b"".join(map(seen.__getitem__, pieces))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
 
 @lru_cache(maxsize=2)
 def coder(path: str) -> Coder:
     return Coder(path)
 
 
+@lru_cache(maxsize=2)
+def byte_table(path: str) -> list[bytes]:
+    """Bytes of each id: the letters of its token turned back, or a special token's own text."""
+    back = {c: b for b, c in enumerate(byte_letters())}
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    out = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        out[i] = bytes(map(back.__getitem__, token)) if all(c in back for c in token) else token.encode()
+    return out
+
+
 def _lists(values: np.ndarray, lengths: list[int]) -> pa.ListArray:
     ends = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=ends[1:])
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
 
 
-def _slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of the column each; a longer value stands alone."""
     sizes, start, held = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)], 0, 0
     for i, n in enumerate(sizes):
@@ -138,9 +140,10 @@ def encode(
                 values, lengths = np.frombuffer(b"".join(packed), np.int32), [len(p) // 4 for p in packed]
                 columns = [*(batch.column(c) for c in kept), _lists(values, lengths)]
                 if offsets:
+                    sizes = np.array([len(x) for x in byte_table(path)], np.int32)
                     starts, chars = [], []
                     for t, p in zip(texts, packed, strict=True):
-                        n = own.n_bytes[np.frombuffer(p, np.int32)]
+                        n = sizes[np.frombuffer(p, np.int32)]
                         at = np.cumsum(n) - n
                         raw = np.frombuffer((t or "").encode(), np.uint8)
                         starts.append(at.astype(np.int32))
@@ -151,24 +154,26 @@ def encode(
     return df.select(*dict.fromkeys([*kept, text])).mapInArrow(work, out)
 
 
-def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
-    """Replace ``ids`` by ``decoded``, the exact bytes.
+def decode(df: DataFrame, ids: str = "ids", path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """Replace ``ids`` by ``decoded``, the exact bytes; with ``keep_ids`` both stay.
 
     Ids may end within a character, so the result is binary; ``decode(decoded, 'UTF-8')`` gives
     the text of a whole sequence.  Null ids give empty bytes; an id outside the vocabulary fails.
     """
     path = path or vocabulary()
     ship(df.sparkSession)
-    kept = [c for c in df.columns if c not in (ids, "decoded")]
+    kept = [c for c in df.columns if c != "decoded" and (keep_ids or c != ids)]
     out = df.select(*kept).schema.add("decoded", T.BinaryType())
 
     def work(batches):
-        own = coder(path)
-        for batch in batches:
-            got = pa.array([own.decode(x.as_py() or []) for x in batch.column(ids)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), got], [*kept, "decoded"])
+        bytes_of = byte_table(path)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                got = [b"".join(map(bytes_of.__getitem__, x.as_py() or [])) for x in batch.column(ids)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(got, pa.binary())], [*kept, "decoded"])
 
-    return df.select(*kept, ids).mapInArrow(work, out)
+    return df.select(*dict.fromkeys([*kept, ids])).mapInArrow(work, out)
 
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:

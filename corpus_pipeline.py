@@ -47,8 +47,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.select("doc_id", "lang", "source", "n_chars", "text")
     coded = bpe.encode(named, offsets=False, carry=["doc_id", "lang", "source", "n_chars"])
     ids_text = F.array_join(F.col("ids").cast("array<string>"), " ")
-    coded = coded.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(ids_text, 256), "token_ids": F.col("ids")})
-    return bpe.decode(coded).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    coded = coded.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(ids_text, 256)})
+    return bpe.decode(coded, keep_ids=True).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [

@@ -63,7 +63,7 @@ def test_run_on_a_whole_table(spark):
     docs = {r.doc_id: (r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = pipeline.run(spark, sf).collect()
     assert Counter((r.doc_id, r.source, r.n_tokens, r.decoded_sha256) for r in got) == plain(docs)
-    assert all(len(r.token_ids) == r.n_tokens for r in got)
+    assert all(len(r.ids) == r.n_tokens for r in got)
 
 
 def test_planted_cases_and_columns(spark):
