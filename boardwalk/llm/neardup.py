@@ -2,9 +2,11 @@
 
 In every pass the vectors are put in the order of their concatenated random hashes, the signs of
 projections on random directions, so that close vectors tend to be near each other.  Each is then
-compared with the vectors that stand at most ``window`` places before it, and verified pairs of all
-passes are united.  Equal vectors are one class from the start, so copies cost nothing and are never
-paired.  Blocks of consecutive places, with the window before them, are what a task holds.
+compared with its whole block of consecutive places and with the ``window`` places before the block.
+A vector with links in the far half of that window goes on to the blocks before, twice as many each
+time, until none of them brings a link; so groups of any size are met whole.  Verified pairs of all
+passes are united.  Equal codes are ordered anew in every pass.  Equal vectors are one class from the
+start, so copies cost nothing and are never paired.  A task holds a block and what it is set against.
 """
 
 from __future__ import annotations
@@ -47,28 +49,71 @@ def _codes(classes: DataFrame, passes: int) -> DataFrame:
     return classes.select("rep", "vector").mapInArrow(work, "rep long, codes array<long>")
 
 
-def _compare(block: pa.Table, threshold: float, window: int) -> pa.Table:
-    """Pairs of a block: each vector of the block itself with those up to ``window`` places before."""
+def _arrays(block: pa.Table):
+    """Places, representatives, blocks in all passes, and vectors with their lengths, in order of place."""
     order = np.argsort(np.asarray(block.column("place")), kind="stable")
-    place, rep = np.asarray(block.column("place"))[order], np.asarray(block.column("rep"))[order]
-    own = np.asarray(block.column("own").to_numpy(zero_copy_only=False))[order]
+    homes = np.asarray(block.column("homes").combine_chunks().flatten()).reshape(len(order), -1)
     vectors = block.column("vector").combine_chunks()
     ends, flat = np.asarray(vectors.offsets), np.asarray(vectors.values, np.float64)
-    length = np.diff(ends)
-    found = []
+    take = lambda at: flat[ends[:-1][order[at]][:, None] + np.arange(np.diff(ends)[order[at[0]]])]
+    place, rep = np.asarray(block.column("place"))[order], np.asarray(block.column("rep"))[order]
+    return order, place, rep, homes[order], np.diff(ends)[order], take
+
+
+def _linked(x: np.ndarray, y: np.ndarray, threshold: float):
+    """(i, j) of linked rows of ``x`` and ``y``, for some rows of ``x`` at a time."""
+    norm_x, norm_y = (np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (x, y))
+    for start in range(0, len(x), 256):
+        some = slice(start, start + 256)
+        i, j = np.nonzero((x[some] @ y.T) / (norm_x[some][:, None] * norm_y[None, :]) >= threshold)
+        yield i + start, j
+
+
+def _result(pairs: list, going: list) -> pa.Table:
+    """Pairs (a, b), then the vectors that go on, with a null b."""
+    cat = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+    one, two, on = cat([p[0] for p in pairs]), cat([p[1] for p in pairs]), np.unique(cat(going))
+    b = pa.array(np.maximum(one, two), pa.int64())
+    return pa.table({"a": np.concatenate([np.minimum(one, two), on]), "b": pa.chunked_array([b, pa.nulls(len(on), pa.int64())])})
+
+
+def _compare(turn: int, block: pa.Table, threshold: float, window: int, size: int) -> pa.Table:
+    """Pairs of a block: each vector of the block itself with those before it in this table.
+
+    A pair whose two vectors share a block in an earlier pass has been told there.
+    """
+    order, place, rep, homes, length, take = _arrays(block)
+    own = np.asarray(block.column("own").to_numpy(zero_copy_only=False))[order]
+    pairs, going = [], []
     for dim in np.unique(length):
-        at = np.flatnonzero(length[order] == dim)
-        x = flat[ends[:-1][order[at]][:, None] + np.arange(dim)]
-        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-        for start in range(0, len(at), 256):
-            some = slice(start, start + 256)
-            cos = (x[some] @ x.T) / (norm[some][:, None] * norm[None, :])
-            gap = place[at[some]][:, None] - place[at][None, :]
-            i, j = np.nonzero((cos >= threshold) & (gap > 0) & (gap <= window) & own[at[some]][:, None])
-            found.append((rep[at[i + start]], rep[at[j]]))
-    a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-    b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        at = np.flatnonzero(length == dim)
+        mine = at[own[at]]
+        if not len(mine):
+            continue
+        begin = place[mine[0]] // size * size
+        for i, j in _linked(take(mine), take(at), threshold):
+            i, j = mine[i], at[j]
+            going.append(rep[i[place[j] < begin - window // 2]])
+            new = (place[j] < place[i]) & ~(homes[i, :turn] == homes[j, :turn]).any(axis=1)
+            pairs.append((rep[i[new]], rep[j[new]]))
+    return _result(pairs, going)
+
+
+def _extend(asking: pa.Table, asked: pa.Table, threshold: float) -> pa.Table:
+    """Pairs of the vectors that go on with those of an earlier block; pairs that share a block have been told."""
+    if not asking.num_rows or not asked.num_rows:
+        return _result([], [])
+    _, _, rep, homes, length, take = _arrays(asking)
+    _, _, rep2, homes2, length2, take2 = _arrays(asked)
+    pairs, going = [], []
+    for dim in np.intersect1d(length, length2):
+        at, at2 = np.flatnonzero(length == dim), np.flatnonzero(length2 == dim)
+        for i, j in _linked(take(at), take2(at2), threshold):
+            i, j = at[i], at2[j]
+            going.append(rep[i])
+            new = ~(homes[i] == homes2[j]).any(axis=1)
+            pairs.append((rep[i[new]], rep2[j[new]]))
+    return _result(pairs, going)
 
 
 def near_duplicates(
@@ -77,8 +122,8 @@ def near_duplicates(
 ) -> DataFrame:
     """(key, n_links, component_id, kept) of every row; ``key`` is an integer.
 
-    Every link has a cosine of at least ``threshold`` in double precision; a pair that never stands
-    within a window is not found.  Vectors that are null, empty or zero, hold null, NaN or infinite
+    Every link has a cosine of at least ``threshold`` in double precision; a pair that in no pass is in
+    one block, within a window, or in blocks that other links lead to is not found.  Vectors that are null, empty or zero, hold null, NaN or infinite
     components, or have a null key link with nothing; vectors of different lengths don't either.
     ``component_id`` is the smallest key reachable by links.  Rows with equal vectors are linked
     with each other and share their links.  Repeated keys give repeated rows.
@@ -96,20 +141,53 @@ def near_duplicates(
     classes = good.groupBy("vector").agg(F.min("key").alias("rep"), F.count("*").alias("n"))
     classes = scratch.save(classes, "classes")
 
+    if window > block:
+        raise ValueError("the window can't be longer than a block")
     codes = _codes(classes, passes).select("rep", F.posexplode("codes").alias("pass", "code"))
-    places = running_totals(scratch, codes, ["pass"], ["code", "rep"], {"place": F.lit(1)}, "codes")
-    at = F.floor(F.col("place") / block)
+    codes = codes.withColumn("tie", F.xxhash64("rep", "pass"))
+    places = running_totals(scratch, codes, ["pass"], ["code", "tie", "rep"], {"place": F.lit(1)}, "codes")
+    placed = places.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "place"))), lambda x: x["place"].cast("long")).alias("places"))
+    placed = placed.join(classes.select("rep", "vector"), "rep").select(
+        "rep", "vector", "places", F.transform("places", lambda p: F.floor(p / block).cast("int")).alias("homes")
+    )
+    placed = scratch.save(placed, "placed")
+    at = F.floor(F.col("place") / block).cast("long")
     homes = F.array(F.struct(at.alias("block"), F.lit(True).alias("own")))
     homes = F.when(
         F.col("place") % block >= block - window, F.concat(homes, F.array(F.struct((at + 1).alias("block"), F.lit(False).alias("own"))))
     ).otherwise(homes)
-    blocks = places.join(classes.select("rep", "vector"), "rep").select(
-        "pass", "rep", "vector", F.col("place").cast("long").alias("place"), F.explode(homes).alias("home")
-    ).select("pass", "home.*", "rep", "place", "vector")
-    if window > block:
-        raise ValueError("the window can't be longer than a block")
-    pairs = blocks.groupBy("pass", "block").applyInArrow(lambda t: _compare(t, threshold, window), "a long, b long")
-    links = scratch.save(pairs.distinct(), "links")
+    blocks = placed.select("rep", "vector", "homes", F.posexplode("places").alias("pass", "place")).select(
+        "pass", "rep", "vector", "homes", "place", F.explode(homes).alias("home")
+    ).select("pass", "home.*", "rep", "place", "homes", "vector")
+
+    def compare(key, t):
+        out = _compare(key[0].as_py(), t, threshold, window, block)
+        return out.append_column("pass", pa.array([key[0].as_py()] * out.num_rows, pa.int32()))
+
+    found = scratch.save(blocks.groupBy("pass", "block").applyInArrow(compare, "a long, b long, pass int"), "found0")
+    links, reach = found.where("b is not null").select("a", "b"), 1
+    going = scratch.save(found.where("b is null").select("pass", F.col("a").alias("rep")).distinct(), "going0")
+    spots = placed.select("rep", F.posexplode("places").alias("pass", "place")).withColumn("block", at)
+    while going.limit(1).count():  # the distance doubles, so the turns are few
+        asks = going.join(spots, ["rep", "pass"]).where(F.col("block") >= reach)
+        asks = asks.withColumn("target", F.explode(F.sequence(F.greatest(F.col("block") - 2 * reach + 1, F.lit(0)), F.col("block") - reach)))
+        asks = scratch.save(asks, f"asks{reach}")
+        wanted = asks.select("pass", "block", "target").distinct()
+        asked = spots.join(wanted.withColumnsRenamed({"block": "asker", "target": "block"}), ["pass", "block"])
+        asked = asked.select("rep", "pass", "place", F.col("asker").alias("block"), F.col("block").alias("target"))
+        body = placed.select("rep", "homes", "vector")
+
+        def extend(key, t, u):
+            out = _extend(t, u, threshold)
+            return out.append_column("pass", pa.array([key[0].as_py()] * out.num_rows, pa.int32()))
+
+        by = ["pass", "block", "target"]
+        more = asks.join(body, "rep").groupBy(*by).cogroup(asked.join(body, "rep").groupBy(*by))
+        more = scratch.save(more.applyInArrow(extend, "a long, b long, pass int"), f"found{reach}")
+        links = links.unionByName(more.where("b is not null").select("a", "b"))
+        going = scratch.save(more.where("b is null").select("pass", F.col("a").alias("rep")).distinct(), f"going{reach}")
+        reach *= 2
+    links = scratch.save(links.distinct(), "links")
 
     sizes = classes.select("rep", "n")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

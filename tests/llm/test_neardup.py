@@ -56,3 +56,14 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((str(r.vec_id), r.n_links, r.component_id) for r in neardup.near_duplicates(df).collect())
     assert got == [("2", 2, 2), ("3", 2, 2), ("3", 2, 2), ("None", 0, None)]
     assert neardup.near_duplicates(df.where("false")).count() == 0
+
+
+def test_tight_group_larger_than_a_window_and_a_block(spark):
+    rng = np.random.default_rng(8)
+    base, close = rng.standard_normal(24), rng.standard_normal((3000, 24))
+    rows = [(i, [float(x) for x in base + close[i] * (0.001, 0.01)[i % 2]]) for i in range(2900)]
+    rows += [(i, [float(x) for x in base * (1 + i / 7)]) for i in range(2900, 3000)]  # rescaled
+    rows += [(10_000 + i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((300, 24)))]
+    got = {r.vec_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all((got[i].n_links, got[i].component_id) == (2999, 0) for i in range(3000))
+    assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(10_000, 10_300))
