@@ -26,7 +26,10 @@ SYMBOLS = r"[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds.  Shares are of the words of the line, or of the document for ``max_lost``."""
+    """Thresholds.  Shares are of the words of the line, or of the document for ``max_lost``.
+
+    Phrases of page furniture fail a line if they hold over ``max_furniture`` of its words.
+    """
 
     max_punctuation_runs: float = 0.2
     max_separators: float = 0.25
@@ -34,20 +37,23 @@ class Rules:
     max_lost: float = 0.3
     min_words: int = 50
     max_repeat_percent: int = 50
+    max_furniture: float = 0.5
 
 
 RULES = Rules()
 
 
 def line_fails(line: Column, rules: Rules = RULES) -> Column:
-    """True for a line of punctuation noise, of menu entries, or of page furniture."""
+    """True for a line of punctuation noise, of menu entries, or mostly of page furniture."""
     words = F.regexp_count(line, F.lit(WORD))
     runs = F.regexp_count(line, F.lit(PUNCTUATION_RUN))
     separators = F.regexp_count(line, F.lit(SEPARATOR_WORD))
+    phrases = F.array_join(F.regexp_extract_all(line, F.lit(BOILERPLATE), F.lit(0)), " ")
+    furniture = F.regexp_count(phrases, F.lit(WORD))
     return (
         (runs > words * F.lit(rules.max_punctuation_runs))
         | ((separators >= rules.min_separators) & (separators > words * F.lit(rules.max_separators)))
-        | line.rlike(BOILERPLATE)
+        | F.when(line.rlike(BOILERPLATE), furniture > words * F.lit(rules.max_furniture)).otherwise(False)
     )
 
 

@@ -53,3 +53,15 @@ def test_bad_lines_go_and_documents_of_them_too(spark, line):
 
 def test_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_clean_lines_may_mention_page_furniture(spark):
+    phrases = [
+        "all rights reserved", "we use cookies", "accept all cookies", "privacy policy", "terms of service", "terms of use",
+        "enable javascript", "subscribe to our newsletter", "sign up for our newsletter", "click here to", "lorem ipsum",
+    ]
+    prose = " ".join(f"word{j}" for j in range(500))
+    rows = [(i, f"{prose} {p} {prose[::-1]}") for i, p in enumerate(phrases)]
+    rows += [(100 + i, f"{prose}\n{p} now") for i, p in enumerate(phrases)]  # alone in a line it goes
+    for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.kept and (r.lost_words, r.cleaned) == ((0, r.text) if r.doc_id < 100 else (r.n_words - 500, prose)), r.doc_id
