@@ -4,7 +4,7 @@ from importlib import import_module
 
 from boardwalk.llm.registry import ORACLE, QUERIES
 
-MODULES = ["bpe", "linedup", "lm", "mixing", "neardup", "quality", "sharding", "simjoin", "urls", "warc", "wordbpe"]
+MODULES = ["bpe", "hardneg", "linedup", "lm", "middle", "mixing", "neardup", "quality", "sharding", "simjoin", "urls", "warc", "wordbpe"]
 
 for _name in MODULES:
     import_module(f"boardwalk.llm.{_name}")
