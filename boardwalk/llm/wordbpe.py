@@ -6,7 +6,8 @@ Tasks cut texts into words, Spark counts them, and each distinct word is encoded
 * The most frequent words, ``Table.head`` of them at most and none longer than ``Table.longest``
   bytes, are sent to all tasks.  Their number does not grow with the corpus.
 * All other words are joined: each document asks for the ones that it needs, the answers are
-  gathered by document, and documents meet them by a hash of the text.
+  gathered by document, and documents, packed as numbers of frequent words and a list of the others,
+  meet them by a hash of the text.
 
 A word is what the library encodes by itself, whatever stands around it: a run between ASCII white
 space, or its letters, digits and punctuation apart where it has nothing but ASCII and plain
@@ -44,7 +45,7 @@ _PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[a-z{_LETTERS}]+|[0-9]|[^0-9a-z{_LET
 class Table:
     """Words sent to all tasks: how many at most, and of how many bytes; changes no result."""
 
-    head: int = 1 << 19
+    head: int = 1 << 19  # below 2 ** 24
     longest: int = 32
 
 
@@ -55,7 +56,6 @@ def words_of(run: str) -> list[str]:
     return _PARTS.findall(run.lower())
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -76,7 +76,7 @@ def _pieces(path: str) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def _slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of the column each; a longer value stands alone."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
     begin = np.cumsum(sizes) - sizes
@@ -111,37 +111,39 @@ def _counted(texts: pa.Array) -> pa.RecordBatch:
 
 
 class _Known:
-    """Words with their ids."""
+    """Words with their ids, the most frequent first."""
 
     def __init__(self, words: pa.Array, ids: pa.ListArray):
         self.words, self.ids = words, ids
 
-    def encode(self, texts: pa.Array) -> pa.ListArray:
-        """Ids of each text; every word must be known."""
+    def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The words of all texts: number among the known words or among the others, where texts end, and the others.
+
+        Others are numbered from ``len(self.words)`` on.
+        """
         s = _Split(texts)
-        at = pc.index_in(s.words, value_set=self.words)
-        if at.null_count:
-            raise ValueError(f"no ids for the word {s.words.filter(at.is_null())[0]}")
-        ids = self.ids.take(at)
+        number = np.asarray(pc.fill_null(pc.index_in(s.words, value_set=self.words), -1)).copy()
+        other = np.flatnonzero(number < 0)
+        number[other] = len(self.words) + np.arange(len(other))
+        of_run = _lists(s.run_ends, pa.array(number, pa.int32())).take(pa.array(s.runs))
+        ends = np.concatenate([[0], np.cumsum(np.diff(s.run_ends)[s.runs], dtype=np.int64)])[s.ends]
+        return np.asarray(of_run.flatten()), ends, s.words.take(pa.array(other))
+
+    def listed(self, number: np.ndarray, ends: np.ndarray, more: pa.ListArray | None = None) -> pa.ListArray:
+        """Ids of texts from the numbers of their words; those of other words come from ``more``."""
+        ids = (self.ids if more is None else pa.concat_arrays([self.ids, more])).take(pa.array(number))
         sizes = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(ids)), dtype=np.int64)])
-        of_run = _lists(sizes[s.run_ends], ids.flatten())
-        placed = np.concatenate([[0], np.cumsum(np.diff(np.asarray(of_run.offsets))[s.runs], dtype=np.int64)])
-        return _lists(placed[s.ends], of_run.take(pa.array(s.runs)).flatten())
+        return _lists(sizes[ends], ids.flatten())
+
+
+def _packed(number: np.ndarray, codec: pa.Codec) -> bytes:
+    """Numbers below 2 ** 24 byte by byte: all low bytes, then the higher ones, which repeat more."""
+    return codec.compress(number.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes(), asbytes=True)
 
-    def missing(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-        """(number of the text, word) of every unknown word, once for each text."""
-        s = _Split(texts)
-        unknown = np.asarray(pc.index_in(s.words, value_set=self.words).is_null().to_numpy(zero_copy_only=False))
-        some = np.concatenate([[0], np.cumsum(unknown)])
-        some = some[s.run_ends[1:]] > some[s.run_ends[:-1]]
-        spots = np.flatnonzero(some[s.runs])
-        text = np.searchsorted(s.ends, spots, side="right") - 1
-        pairs = np.unique(text.astype(np.int64) * len(some) + s.runs[spots])
-        text, run = pairs // max(1, len(some)), pairs % max(1, len(some))
-        number = np.diff(s.run_ends)[run]
-        word = np.repeat(s.run_ends[run] - np.cumsum(number) + number, number) + np.arange(number.sum())
-        keep = unknown[word]
-        return np.repeat(text, number)[keep], s.words.take(pa.array(word[keep]))
+
+def _unpacked(packed: pa.Buffer, size: int, codec: pa.Codec) -> np.ndarray:
+    low, mid, high = np.frombuffer(codec.decompress(packed, 3 * size, asbytes=True), np.uint8).reshape(3, size).astype(np.int32)
+    return low | mid << 8 | high << 16
 
 
 def word_table(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -153,10 +155,12 @@ def word_table(df: DataFrame, text: str = "text", path: str | None = None) -> Da
         for whole in batches:
             for batch in _slices(whole, text):
                 yield _counted(batch.column(text))
+        pa.default_memory_pool().release_unused()
 
     def encode_words(batches):
+        own = _tokenizer(path)  # not kept: workers also hold words and texts
         for batch in batches:
-            got = _tokenizer(path).encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)
+            got = own.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)
             ids = pa.array([g.ids for g in got], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), ids], ["word", "n", "ids"])
 
@@ -193,7 +197,7 @@ def encode(
     scratch = Scratch(spark, "wordbpe")
     words = scratch.save(word_table(df, text, path), "words")
     frequent = (F.col("n") >= _least(words, spec)) & (F.octet_length("word") <= spec.longest)
-    head = words.where(frequent).select("word", "ids").toArrow().combine_chunks()  # spec.head rows at most
+    head = words.where(frequent).orderBy(F.desc("n"), "word").select("word", "ids").toArrow().combine_chunks()  # spec.head rows at most
     known = spark.sparkContext.broadcast(
         _Known(pa.array(head.column("word").to_pylist(), pa.string()), pa.array(head.column("ids").to_pylist(), pa.list_(pa.int32())))
     )
@@ -205,41 +209,63 @@ def encode(
     def from_head(batches):
         for whole in batches:
             for batch in _slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([batch.column("row"), known.value.encode(batch.column("text"))], ["row", "ids"])
+                number, ends, other = known.value.places(batch.column("text"))
+                if len(other):
+                    raise ValueError(f"no ids for the word {other[0]}")
+                yield pa.RecordBatch.from_arrays([batch.column("row"), known.value.listed(number, ends)], ["row", "ids"])
 
     def ask(batches):
         for whole in batches:
             for batch in _slices(whole, "text"):
-                text_of, word = known.value.missing(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column("hash").take(pa.array(text_of)), word], ["hash", "word"])
+                number, ends, other = known.value.places(batch.column("text"))
+                spots = np.flatnonzero(number >= len(known.value.words))
+                text_of = np.searchsorted(ends, spots, side="right") - 1
+                pairs = np.unique(text_of.astype(np.int64) << 32 | (number[spots] - len(known.value.words)))
+                hashes, asked = batch.column("hash").take(pa.array(pairs >> 32)), other.take(pa.array(pairs & 0xFFFFFFFF))
+                yield pa.RecordBatch.from_arrays([hashes, asked], ["hash", "word"])
+        pa.default_memory_pool().release_unused()
 
     def pack(batches):
         codec = pa.Codec("zstd")
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
-            sizes = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("hash"), packed, sizes], ["row", "hash", "packed", "size"])
+        for whole in batches:
+            for batch in _slices(whole, "text"):
+                number, ends, other = known.value.places(batch.column("text"))
+                head = len(known.value.words)
+                spots = np.flatnonzero(number >= head)
+                rare = _lists(np.searchsorted(spots, ends), other.take(pa.array(number[spots] - head)))
+                number = np.minimum(number, head)
+                packed = [_packed(number[a:b], codec) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                columns = [batch.column("row"), batch.column("hash"), pa.array(packed, pa.binary()), pa.array(np.diff(ends), pa.int64()), rare]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "hash", "packed", "size", "rare"])
+        pa.default_memory_pool().release_unused()
 
     def from_both(batches):
-        codec, head = pa.Codec("zstd"), known.value
+        codec = pa.Codec("zstd")
         for batch in batches:
             sizes = np.asarray(batch.column("size"))
             begin = np.cumsum(sizes) - sizes
-            for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(begin // (8 << 20))) + 1):
-                some = batch.slice(int(part[0]), len(part)) if len(part) else batch
-                texts = [codec.decompress(p.as_buffer(), n, asbytes=True) for p, n in zip(some.column("packed"), sizes[part], strict=True)]
-                more = some.column("more").flatten()
-                own = _Known(pa.concat_arrays([head.words, more.field("word")]), pa.concat_arrays([head.ids, more.field("ids")]))
-                ids = own.encode(pa.array(texts, pa.binary()).cast(pa.string()))
+            for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(begin >> 20)) + 1):
+                if not len(part):
+                    continue
+                some = batch.slice(int(part[0]), len(part))
+                number = [_unpacked(p.as_buffer(), n, codec) for p, n in zip(some.column("packed"), sizes[part].tolist(), strict=True)]
+                number = np.concatenate(number)
+                more, head = some.column("more").flatten(), len(known.value.words)
+                at = pc.index_in(some.column("rare").flatten(), value_set=more.field("word"))
+                if at.null_count:
+                    raise ValueError("a word was not answered")
+                number[number == head] = head + np.asarray(at)
+                ids = known.value.listed(number, np.concatenate([[0], np.cumsum(sizes[part])]), more.field("ids"))
                 yield pa.RecordBatch.from_arrays([some.column("row"), ids], ["row", "ids"])
+        pa.default_memory_pool().release_unused()
 
     rare = words.where(~frequent).drop("n")
     if rare.limit(1).count():
         asked = docs.select("hash", "text").mapInArrow(ask, "hash long, word string")
         answers = asked.join(rare, "word").groupBy("hash").agg(F.collect_set(F.struct("word", "ids")).alias("more"))
-        packed = docs.mapInArrow(pack, docs.select("row", "hash").schema.add("packed", "binary").add("size", "long"))
-        both = packed.join(answers, "hash", "left").select("row", "packed", "size", "more")
+        kind = docs.select("row", "hash").schema.add("packed", "binary").add("size", "long").add("rare", T.ArrayType(T.StringType()))
+        packed = docs.mapInArrow(pack, kind)
+        both = packed.join(answers, "hash", "left").select("row", "packed", "size", "rare", "more")
         coded = both.mapInArrow(from_both, out)
     else:
         coded = docs.mapInArrow(from_head, out)
