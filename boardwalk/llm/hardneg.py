@@ -13,7 +13,6 @@ Queries go to the tiles in blocks, a tile and a block to a task.
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,49 +71,74 @@ class Tree:
         for part in np.array_split(at, slabs):
             yield from self._packed(part, axes[1:], leaf)
 
-    def bounds(self, q: np.ndarray) -> tuple[list, list]:
-        """Lowest and highest possible score in every node."""
+    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lowest and highest possible score of each row of ``q`` in every node."""
         up, down = np.maximum(q, 0), np.minimum(q, 0)
-        return (self.low @ up + self.high @ down).tolist(), (self.high @ up + self.low @ down).tolist()
-
-
-class Search:
-    """Searches of one vector in a tree; the scores of opened leaves are kept between them."""
-
-    def __init__(self, tree: Tree, q: np.ndarray, keys: np.ndarray, open_rows: dict[bool, np.ndarray]):
-        self.tree, self.q, self.keys, self.open = tree, q, keys, open_rows
-        self.lowest, self.highest = tree.bounds(q)
-        self.scores: dict[int, np.ndarray] = {}
-
-    def best(self, same: bool, k: int, least=None, most=None, known=None) -> list[tuple]:
-        """(score, key) of the k best open rows, equal scores by key, with least <= 100 * score <= most."""
-        found: list[tuple] = []  # a heap: worst first
-        queue = [(-self.highest[self.tree.root], self.tree.root)]
-        while queue:
-            bound, node = heapq.heappop(queue)
-            floor = max((x for x in (known, found[0][0] if len(found) == k else None) if x is not None), default=None)
-            if (floor is not None and -bound < floor) or (least is not None and -100 * bound < least):
-                break  # all others are bounded by less
-            if most is not None and 100 * self.lowest[node] > most:
-                continue
-            if node >= len(self.tree.leaves):
-                for n in self.tree.children[node - len(self.tree.leaves)]:
-                    heapq.heappush(queue, (-self.highest[n], n))
+        return up @ self.low.T + down @ self.high.T, up @ self.high.T + down @ self.low.T
+
+
+@dataclass
+class Asks:
+    """Searches of one tile: row of ``q``, own key, label, whether it must be the same, rows wanted, and bounds on the score.
+
+    Scores lie in ``least`` <= 100 * score <= ``most`` and are not below ``known``.
+    """
+
+    q: np.ndarray
+    at: np.ndarray
+    key: np.ndarray
+    label: np.ndarray
+    same: np.ndarray
+    k: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    known: np.ndarray
+
+
+def search(tree: Tree, keys: np.ndarray, labels: np.ndarray, asks: Asks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ask, score, key) of the best rows of every ask, best first, equal scores by key.
+
+    Every ask has its own queue.  In each turn all of them open their node with the highest bound, and
+    those that open the same leaf share one product with its rows.
+    """
+    lowest, highest = (x[asks.at] for x in tree.bounds(asks.q))
+    waiting = np.zeros(highest.shape, bool)  # nodes in the queues
+    waiting[:, tree.root] = True
+    never = -np.inf
+    floor = asks.known.copy()
+    found = [np.zeros(0, np.int64), np.zeros(0, asks.q.dtype), np.zeros(0, np.int64)]
+    live = np.arange(len(asks.at))
+    while len(live):
+        queue = np.where(waiting[live], highest[live], never)
+        node = queue.argmax(axis=1)
+        bound = queue[np.arange(len(live)), node]
+        going = (bound > never) & (bound >= floor[live]) & (100 * bound >= asks.least[live])  # all others are bounded by less
+        live, node = live[going], node[going]
+        waiting[live, node] = False
+        inside = 100 * lowest[live, node] <= asks.most[live]
+        new = []
+        for n in np.unique(node[inside]):
+            own = live[inside & (node == n)]
+            if n >= len(tree.leaves):
+                waiting[np.ix_(own, tree.children[n - len(tree.leaves)])] = True
                 continue
-            at = self.tree.leaves[node]
-            if node not in self.scores:
-                self.scores[node] = self.tree.x[at] @ self.q
-            score = self.scores[node]
-            ok = self.open[same][at].copy()
-            if least is not None:
-                ok &= (100 * score >= least) & (100 * score <= most)
-            if floor is not None:
-                ok &= score >= floor
-            if (here := np.flatnonzero(ok)).size > k:
-                here = here[np.lexsort((self.keys[at[here]], -score[here]))[:k]]
-            for s, i in zip(score[here].tolist(), self.keys[at[here]].tolist(), strict=True):
-                (heapq.heappush if len(found) < k else heapq.heappushpop)(found, (s, -i))
-        return [(int(s), -i) for s, i in sorted(found, reverse=True)]
+            at = tree.leaves[n]
+            score = asks.q[asks.at[own]] @ tree.x[at].T
+            ok = (labels[at][None, :] == asks.label[own][:, None]) == asks.same[own][:, None]
+            ok &= (keys[at][None, :] != asks.key[own][:, None]) & (score >= floor[own][:, None])
+            ok &= (100 * score >= asks.least[own][:, None]) & (100 * score <= asks.most[own][:, None])
+            i, j = np.nonzero(ok)
+            new.append((own[i], score[i, j], keys[at[j]]))
+        if new:
+            ask, score, key = (np.concatenate(x) for x in zip(found, *new, strict=True))
+            order = np.lexsort((key, -score, ask))
+            ask, score, key = ask[order], score[order], key[order]
+            rank = np.arange(len(ask)) - np.searchsorted(ask, ask)
+            keep = rank < asks.k[ask]
+            found = [ask[keep], score[keep], key[keep]]
+            full = rank == asks.k[ask] - 1
+            floor[ask[full]] = np.maximum(floor[ask[full]], score[full])
+    return tuple(found)
 
 
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
@@ -126,27 +150,24 @@ def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
 
 def _answer(rows: pa.Table, asks: pa.Table, spec: Mine) -> pa.Table:
     """(ask, score, key) that a tile has for each ask."""
-    out = []
+    out = [np.zeros(0, np.int64)] * 3
     if rows.num_rows and asks.num_rows:
         x, q = _matrix(rows.column("x")), _matrix(asks.column("x"))
         if x.dtype != q.dtype:
             x, q = (m if m.dtype == object else m.astype(np.int64).astype(object) for m in (x, q))
-        tree, keys = Tree(x, spec.leaf, spec.fan), np.asarray(rows.column("key"))
-        labels = np.array([str(v) for v in rows.column("label").to_pylist()], object)
-        names = ("ask", "anchor", "key", "label", "score", "known")
-        wanted = sorted(zip(*(asks.column(c).to_pylist() for c in names), range(asks.num_rows), strict=True), key=lambda a: a[1])
-        at, own = None, None
-        for ask, anchor, key, label, score, known, i in wanted:
-            if anchor != at:
-                other, alike = keys != key, labels == str(label)
-                at, own = anchor, Search(tree, q[i], keys, {True: other & alike, False: other & ~alike})
-            if score is None:
-                got = own.best(True, spec.positives, known=known)
-            else:
-                got = own.best(False, spec.negatives, spec.low * score, spec.high * score, known)
-            out += [(ask, s, k) for s, k in got]
-    return pa.table({c: pa.array([r[j] for r in out], t) for j, (c, t) in enumerate(
-        (("ask", pa.string()), ("score", pa.int64()), ("key", pa.int64())))})
+        code = {v: i for i, v in enumerate(set(rows.column("label").to_pylist()))}
+        label = [np.array([code.get(v, -1) for v in t.column("label").to_pylist()]) for t in (rows, asks)]
+        score = asks.column("score").to_pylist()
+        bound = lambda low, values: np.array([low if v is None else v for v in values], x.dtype)
+        out = search(Tree(x, spec.leaf, spec.fan), np.asarray(rows.column("key")), label[0], Asks(
+            q, np.arange(len(q)), np.asarray(asks.column("key")), label[1], np.array([s is None for s in score]),
+            np.where([s is None for s in score], spec.positives, spec.negatives),
+            bound(-np.inf, [spec.low * s if s is not None else None for s in score]),
+            bound(np.inf, [spec.high * s if s is not None else None for s in score]),
+            bound(-np.inf, asks.column("known").to_pylist()),
+        ))
+    ask = asks.column("ask").combine_chunks() if asks.num_rows else pa.array([], pa.string())
+    return pa.table({"ask": ask.take(pa.array(out[0])), "score": pa.array([int(s) for s in out[1]], pa.int64()), "key": pa.array(out[2], pa.int64())})
 
 
 def _search(scratch: Scratch, rows: DataFrame, tiles: DataFrame, asks: DataFrame, k: int, spec: Mine, name: str) -> DataFrame:

@@ -61,7 +61,7 @@ def test_boxes_bound_their_scores():
     tree = Tree(x, 16, 4)
     assert sorted(np.concatenate(tree.leaves).tolist()) == list(range(500))
     for q in rng.integers(-50, 50, (20, 6)).astype(float):
-        low, high = tree.bounds(q)
+        low, high = (x[0] for x in tree.bounds(q[None, :]))
         for n, at in enumerate(tree.leaves):
             assert low[n] <= (x[at] @ q).min() and (x[at] @ q).max() <= high[n]
         assert low[tree.root] <= (x @ q).min() and (x @ q).max() <= high[tree.root]
