@@ -1,19 +1,24 @@
 """Byte-level BPE: encoding to ids with offsets, and decoding back to the bytes.
 
-The vocabulary file is a parameter and must be readable on every executor.  A text is cut by
-the pattern; each piece is encoded by the ``tokenizers`` library on its own and remembered, so a
-word that comes again costs one look-up.  Pieces stay whole however long they are.
+The vocabulary file is a parameter and must be readable on every executor.  Tasks work on Arrow
+batches.  Texts are cut at single spaces into units; what the pattern matches never runs across such
+a cut (``_ODD`` tells the texts that have other spaces, they are one unit).  Each distinct unit of a
+batch is cut by the pattern and encoded by the ``tokenizers`` library, every piece on its own; ids of
+texts are then taken from those of units without a Python step for each word.  Bytes are taken from
+the table of ids the same way.  Units stay whole however long they are.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +26,13 @@ from pyspark.sql import types as T
 from boardwalk.llm.common import ship
 from boardwalk.llm.registry import register, table
 
-#: Remembered pieces of a worker; a full memory is emptied, which changes no result.
-REMEMBERED = 150_000
+#: Remembered units of a worker; a full memory is emptied, which changes no result.
+REMEMBERED = 300_000
+
+# Fixed value: white space as Unicode's White_Space has it.
+_SPACE = r"\t-\r\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: A space with white space after it, or after white space at the end: here the pattern looks beyond a unit.
+_ODD = rf" [{_SPACE}]|[{_SPACE}] \z"
 
 
 @lru_cache(maxsize=1)
@@ -48,14 +58,14 @@ def _pattern():
     import public_tokenizers
     import regex
 
-    # \s as the vocabulary's own library reads it: Unicode's White_Space, nothing else
-    space = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+    # \s as the vocabulary's own library reads it
+    space = re.sub(r"\\x\{(\w+)\}", r"\\u\1", _SPACE)
     text = public_tokenizers.PATTERN.replace(r"[^\s", f"[^{space}")
     return regex.compile(text.replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]"))
 
 
 class Coder:
-    """Encoder of one vocabulary; pieces met before are remembered."""
+    """Encoder of one vocabulary; units met before are remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,18 +74,66 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.seen: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+
+    def _learn(self, units: pa.Array) -> None:
+        """Encode units and remember them."""
+        cut = [_pattern().findall(u) for u in units.to_pylist()]
+        pieces = pa.array([p for c in cut for p in c], pa.string()).dictionary_encode()
+        got = self.tokenizer.encode_batch_fast(pieces.dictionary.to_pylist(), add_special_tokens=False)
+        ids = pa.array([g.ids for g in got], pa.list_(pa.int32())).take(pieces.indices)
+        ends = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])
+        self.units = pa.concat_arrays([self.units, units])
+        self.ids = pa.concat_arrays([self.ids, _joined(ids, ends)])
+
+    def encode_all(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of every text; a null has none."""
+        texts = texts.fill_null("")
+        odd = np.asarray(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
+        parts = pc.split_pattern(texts, " ")
+        if odd.any():
+            parts = pa.ListArray.from_arrays(*_instead(parts, texts, odd))
+        ends = np.asarray(parts.offsets)
+        coded = parts.flatten().dictionary_encode()
+        first = np.zeros(len(coded), np.int64)
+        first[ends[:-1]] = 1
+        code, at = np.unique(np.asarray(coded.indices, np.int64) * 2 + first, return_inverse=True)
+        words = coded.dictionary.take(pa.array(code // 2))
+        units = pc.if_else(pa.array(code % 2 == 1), words, pc.binary_join_element_wise("", words, " "))
+        new = units.filter(pc.is_null(pc.index_in(units, value_set=self.units)))
+        if len(new) and len(new) + len(self.units) > REMEMBERED:
+            self._forget()
+            new = units
+        if len(new):
+            self._learn(new)
+        known = self.ids.take(pc.index_in(units, value_set=self.units))
+        return _joined(known.take(pa.array(at)), ends)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as packed 32-bit numbers."""
-        pieces, seen = _pattern().findall(text), self.seen
-        if new := [p for p in {*pieces} if p not in seen]:
-            if len(seen) > REMEMBERED:
-                seen.clear()
-                new = [*{*pieces}]
-            for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                seen[piece] = np.array(got.ids, np.int32).tobytes()
-        return b"".join(map(seen.__getitem__, pieces))
+        return np.asarray(self.encode_all(pa.array([text], pa.string())).flatten()).tobytes()
+
+
+def _joined(lists: pa.ListArray, ends: np.ndarray) -> pa.ListArray:
+    """Lists joined to one list for each run of them that ``ends`` marks off."""
+    sizes = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)), dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(sizes[ends].astype(np.int32)), lists.flatten())
+
+
+def _instead(parts: pa.ListArray, texts: pa.Array, odd: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Offsets and values of ``parts`` with an odd text whole in place of its parts."""
+    sizes = np.diff(np.asarray(parts.offsets))
+    number = np.repeat(np.arange(len(odd)), sizes)
+    begin = np.asarray(parts.offsets)[:-1]
+    values = pa.concat_arrays([parts.flatten(), texts])
+    take = np.arange(len(number))
+    take[begin[odd]] = len(number) + np.flatnonzero(odd)
+    keep = ~odd[number]
+    keep[begin[odd]] = True
+    return pa.array(np.concatenate([[0], np.cumsum(np.where(odd, 1, sizes))]).astype(np.int32)), values.take(pa.array(take[keep]))
 
 
 @lru_cache(maxsize=2)
@@ -84,7 +142,7 @@ def coder(path: str) -> Coder:
 
 
 @lru_cache(maxsize=2)
-def byte_table(path: str) -> list[bytes]:
+def byte_table(path: str) -> pa.Array:
     """Bytes of each id: the letters of its token turned back, or a special token's own text."""
     back = {c: b for b, c in enumerate(byte_letters())}
     with open(path, encoding="utf-8") as f:
@@ -92,25 +150,31 @@ def byte_table(path: str) -> list[bytes]:
     out = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
         out[i] = bytes(map(back.__getitem__, token)) if all(c in back for c in token) else token.encode()
-    return out
+    return pa.array(out, pa.binary())
 
 
-def _lists(values: np.ndarray, lengths: list[int]) -> pa.ListArray:
-    ends = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
+def _slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``limit`` bytes (or list items) of the column each; a longer value stands alone."""
+    length = pc.list_value_length if pa.types.is_list(batch.column(column).type) else pc.binary_length
+    sizes = np.asarray(pc.fill_null(length(batch.column(column)), 0), np.int64)
+    begin = np.cumsum(sizes) - sizes
+    for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(begin // limit)) + 1):
+        if len(part):
+            yield batch.slice(int(part[0]), len(part))
 
 
-def _slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``limit`` bytes of the column each; a longer value stands alone."""
-    sizes, start, held = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)], 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > limit:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
+def _starts(texts: pa.Array, ids: pa.ListArray, bytes_of: pa.Array) -> list[pa.ListArray]:
+    """Where each id starts in its text, in bytes and in characters."""
+    sizes = np.asarray(pc.binary_length(bytes_of), np.int64)[np.asarray(ids.flatten())]
+    ends, at = np.asarray(ids.offsets), np.cumsum(sizes) - sizes  # in the texts one after the other
+    lengths = np.asarray(pc.binary_length(texts), np.int64)
+    begin = np.cumsum(lengths) - lengths
+    raw = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8)
+    chars = np.cumsum((raw & 0xC0) != 0x80)
+    here = np.repeat(np.arange(len(texts)), np.diff(ends))
+    before = np.concatenate([[0], chars])[begin]
+    found = [at - begin[here], chars[at] - 1 - before[here] if len(at) else at]
+    return [pa.ListArray.from_arrays(ids.offsets, pa.array(x.astype(np.int32))) for x in found]
 
 
 def encode(
@@ -135,20 +199,10 @@ def encode(
         own = coder(path)
         for whole in batches:
             for batch in _slices(whole, text):
-                texts = batch.column(text).to_pylist()
-                packed = [own.encode(t or "") for t in texts]
-                values, lengths = np.frombuffer(b"".join(packed), np.int32), [len(p) // 4 for p in packed]
-                columns = [*(batch.column(c) for c in kept), _lists(values, lengths)]
+                ids = own.encode_all(batch.column(text))
+                columns = [*(batch.column(c) for c in kept), ids]
                 if offsets:
-                    sizes = np.array([len(x) for x in byte_table(path)], np.int32)
-                    starts, chars = [], []
-                    for t, p in zip(texts, packed, strict=True):
-                        n = sizes[np.frombuffer(p, np.int32)]
-                        at = np.cumsum(n) - n
-                        raw = np.frombuffer((t or "").encode(), np.uint8)
-                        starts.append(at.astype(np.int32))
-                        chars.append((np.cumsum((raw & 0xC0) != 0x80) - 1)[at].astype(np.int32) if len(at) else at)
-                    columns += [_lists(np.concatenate([*x, np.zeros(0, np.int32)]).astype(np.int32), lengths) for x in (starts, chars)]
+                    columns += _starts(batch.column(text).fill_null(""), ids, byte_table(path))
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *added])
 
     return df.select(*dict.fromkeys([*kept, text])).mapInArrow(work, out)
@@ -158,7 +212,8 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, keep_ids: b
     """Replace ``ids`` by ``decoded``, the exact bytes; with ``keep_ids`` both stay.
 
     Ids may end within a character, so the result is binary; ``decode(decoded, 'UTF-8')`` gives
-    the text of a whole sequence.  Null ids give empty bytes; an id outside the vocabulary fails.
+    the text of a whole sequence.  A null list gives empty bytes, a null in it none; an id outside the
+    vocabulary fails.
     """
     path = path or vocabulary()
     ship(df.sparkSession)
@@ -168,10 +223,13 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, keep_ids: b
     def work(batches):
         bytes_of = byte_table(path)
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                got = [b"".join(map(bytes_of.__getitem__, x.as_py() or [])) for x in batch.column(ids)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(got, pa.binary())], [*kept, "decoded"])
+            for batch in _slices(whole, ids, 1 << 20):
+                lists = batch.column(ids)
+                ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)), dtype=np.int64)])
+                got = bytes_of.take(lists.flatten()).fill_null(b"")
+                starts = np.frombuffer(got.buffers()[1], np.int32, len(got) + 1, got.offset * 4) if len(got) else np.zeros(1, np.int32)
+                text = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(starts[ends].astype(np.int32)), got.buffers()[2]])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), text], [*kept, "decoded"])
 
     return df.select(*dict.fromkeys([*kept, ids])).mapInArrow(work, out)
 

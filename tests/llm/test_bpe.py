@@ -54,6 +54,23 @@ def test_odd_texts_and_extra_columns(spark, plain):
     assert sorted(bytes(r.decoded) for r in back) == sorted((t or "").encode() for t in TEXTS * 2)
 
 
+SPACED = [
+    "a b", "a  b", "a   b", " a", "a ", "a  ", "  ", " ", "a\n b", "a \nb", "a\n\n b", "a\n ", "\n a", "a\u00a0 b", "a \u3000b", "it 's ' s don't", "a\u2003b c",
+    "x\n\n\ny z.\n Q", "\t a\tb", " \n ", "w1 2w 'll  't", "tail\n", "tail \n", "İ ß ﬁ",
+]
+
+
+@pytest.mark.parametrize("remembered", [300_000, 3])
+def test_units_are_cut_where_the_pattern_never_looks_across(plain, monkeypatch, remembered):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+    own = bpe.Coder(bpe.vocabulary())
+    for texts in (SPACED, SPACED[::-1], [a + b for a in SPACED for b in SPACED]):
+        got = own.encode_all(pa.array(texts)).to_pylist()
+        assert got == [plain.encode_ordinary(t) for t in texts]
+
+
 def test_split_characters_and_empty_table(spark):
     ids = bpe.encode(spark.createDataFrame([(1, "漢")], "doc_id long, text string"), offsets=False).first().ids
     one = spark.createDataFrame([(k, [i]) for k, i in enumerate(ids)], "k long, ids array<int>")
@@ -61,4 +78,5 @@ def test_split_characters_and_empty_table(spark):
     assert len(ids) > 1 and b"".join(parts).decode() == "漢"
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.decode(bpe.encode(empty)).count() == 0
-    assert bpe.decode(spark.createDataFrame([(None,)], "ids array<int>")).first().decoded == b""
+    ids = spark.createDataFrame([(None,), ([64, None, 64],), ([],)], "ids array<int>")
+    assert [bytes(r.decoded) for r in bpe.decode(ids).collect()] == [b"", b"aa", b""]
