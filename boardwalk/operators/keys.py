@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 65_536
+from boardwalk.operators.ordered import running_sums
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -32,20 +32,14 @@ def join_on_nullable(rows: DataFrame, sizes: DataFrame, keys: list[str]) -> Data
 
 
 def rank_in_group(df: DataFrame, group: list[str], ord_col: str, out: str = "rank") -> DataFrame:
-    """1-based position of each row within its group, ordered by an integer column.
+    """1-based position of each row within its group, ordered by a column.
 
-    A group is numbered in slices of its order column, side by side; the slice sizes
-    (one small row each) then give every slice its starting point.  No task ever holds
-    a whole group.  Null groups are a group, null orders come first; rows with equal
-    (group, order) are numbered in no fixed order.
+    Rows are dealt by ranges of (group, order), so neither a large group nor sparse or
+    equal order values land in one task.  Null groups are a group, null orders come first;
+    rows with equal (group, order) are numbered in no fixed order.
     """
-    sliced = df.withColumn("_slice", F.coalesce(F.floor(F.col(ord_col) / CHUNK), F.lit(-(1 << 60))))
-    inner = Window.partitionBy(*group, "_slice").orderBy(ord_col)
-    sizes = sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    placed = join_on_nullable(sliced.withColumn("_pos", F.row_number().over(inner)), starts, [*group, "_slice"])
-    return placed.withColumn(out, F.col("_pos") + F.col("_start")).drop("_slice", "_pos", "_start")
+    ranked = running_sums(df, group, [F.col(ord_col)], {"_before": F.lit(1)})
+    return ranked.withColumn(out, F.col("_before") + 1).drop("_before", "_before_total")
 
 
 def interleave(df: DataFrame, group: str, ord_col: str) -> DataFrame:
@@ -54,9 +48,9 @@ def interleave(df: DataFrame, group: str, ord_col: str) -> DataFrame:
     Adds ``at``; sort by (at, order column) to read the rows interleaved.  Rows of a null
     group are interleaved as a group of their own.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
-    ranked = join_on_nullable(rank_in_group(df, [group], ord_col, "_rank"), sizes, [group])
-    return ranked.withColumn("at", (F.col("_rank") - F.lit(0.5)) / F.col("_size")).drop("_rank", "_size")
+    ranked = running_sums(df, [group], [F.col(ord_col)], {"_before": F.lit(1)})
+    at = (F.col("_before") + F.lit(0.5)) / F.col("_before_total")
+    return ranked.withColumn("at", at).drop("_before", "_before_total")
 
 
 def shard_of_tenant(
@@ -64,7 +58,7 @@ def shard_of_tenant(
 ) -> DataFrame:
     """Every row of a tenant gets one shard: tenants are dealt in order of first sight.
 
-    Tenants are numbered once (one row each), in slices of that order, then joined back to
+    Tenants are numbered once (one row each), in ranges of that order, then joined back to
     their rows; a null provider or token makes a tenant too.
     """
     rows = df.withColumn("_tenant", F.lower(token))

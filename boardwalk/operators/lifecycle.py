@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from boardwalk.functions.dates import exact_age
 from boardwalk.functions.text import content_hash, identity_hash
 from boardwalk.operators.keys import cap_per_key, first_per_key
+from boardwalk.operators.ordered import last_before
 
 PURGE_AFTER_DAYS = 7
 
@@ -135,7 +136,8 @@ def replay(sightings: DataFrame, board_runs: DataFrame) -> DataFrame:
     ``sightings`` holds (key, provider, board_token, seen_at, ...), ``board_runs``
     (provider, board_token, run_at) of healthy readings.  A posting is closed by the
     first healthy reading of its board after it was last seen.  Purging is left to the
-    caller.  The run times of one board are few (one per crawl), so they fit an array.
+    caller.  Postings and readings are put in one order by board and time, and the next
+    reading is carried back to the postings before it, so a board may have any number of both.
     """
     payload = [c for c in sightings.columns if c not in ("key", "seen_at")]
     state = sightings.groupBy("key").agg(
@@ -143,17 +145,16 @@ def replay(sightings: DataFrame, board_runs: DataFrame) -> DataFrame:
         F.min("seen_at").alias("first_seen_at"),
         F.max("seen_at").alias("last_seen_at"),
     ).select("key", "_payload.*", "first_seen_at", "last_seen_at")
-    runs = (
-        board_runs.select("provider", "board_token", "run_at").distinct()
-        .groupBy("provider", "board_token")
-        .agg(F.collect_list("run_at").alias("_runs"))
-    )
-    later = F.array_min(F.filter("_runs", lambda at: at > F.col("last_seen_at")))
-    return (
-        state.join(runs, ["provider", "board_token"], "left")
-        .withColumn("closed_at", later)
-        .drop("_runs")
+    board = ["provider", "board_token"]
+    runs = board_runs.select(*board, "run_at").dropna().distinct()
+    last = state.select(*board, "key", F.col("last_seen_at").alias("at"), F.lit(None).cast("timestamp_ntz").alias("run_at"))
+    events = last.unionByName(runs.select(*board, F.lit(None).cast("string").alias("key"), F.col("run_at").alias("at"), "run_at"))
+    # backwards in time; of equal times the postings come first, which a reading at that time does not close
+    order = [F.desc("at"), F.col("run_at").asc_nulls_first()]
+    closing = last_before(events, board, order, F.col("run_at"), "closed_at").where(
+        F.col("key").isNotNull() & F.col("closed_at").isNotNull()
     )
+    return state.join(closing.select("key", "closed_at"), "key", "left")
 
 
 def reposts(postings: DataFrame, prior: DataFrame) -> DataFrame:
@@ -190,26 +191,13 @@ def reposts(postings: DataFrame, prior: DataFrame) -> DataFrame:
 def _as_of(events: DataFrame) -> DataFrame:
     """Latest ``old`` at or before each ``new`` of an identity, without a pairwise join.
 
-    Identities are walked in month slices so a frequent one is spread out; the last
-    ``old`` of each earlier slice (one row per slice) is carried forward.
+    Events are put in order of identity and time, closings first among equal times, and the
+    last closing is carried on, so a frequent identity is spread over many tasks.
     """
-    from pyspark.sql import Window
-
-    key = ["provider", "identity"]
-    sliced = events.withColumn("_slice", F.date_trunc("MONTH", "at"))
-    inside = (
-        Window.partitionBy(*key, "_slice").orderBy("at", F.col("new").isNotNull())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    last = sliced.groupBy(*key, "_slice").agg(F.max("old").alias("_slice_last"))
-    earlier = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.withColumn("_carried", F.max("_slice_last").over(earlier)).drop("_slice_last")
-    found = sliced.withColumn("_inside", F.max("old").over(inside)).where(F.col("new").isNotNull())
-    joined = found.join(carried, [*key, "_slice"]).withColumn(
-        "hit", F.greatest(F.col("_inside"), F.col("_carried"))
-    )
+    order = [F.col("at"), F.col("old").isNull(), F.col("old.previous_key")]
+    found = last_before(events, ["provider", "identity"], order, F.col("old"), "hit").where(F.col("new").isNotNull())
     gap = exact_age(F.col("hit.closed_at"), F.col("new.first_seen_at"))
-    return joined.where(
+    return found.where(
         F.col("hit").isNotNull() & (F.col("hit.previous_key") != F.col("new.key"))
     ).select(
         F.col("new.key").alias("key"),

@@ -114,12 +114,42 @@ def test_schema_contract(spark):
     assert lifecycle.check_schema(fold(spark), STATE).columns[0] == "key"
 
 
-def test_rank_across_slices(spark, monkeypatch):
-    monkeypatch.setattr(keys, "CHUNK", 7)
-    df = spark.range(100).selectExpr("id", "if(id % 3 = 0, 'hot', 'b') as g")
-    ranked = {r["id"]: r["r"] for r in keys.rank_in_group(df, ["g"], "id", "r").collect()}
-    hot = [i for i in range(100) if i % 3 == 0]
-    assert [ranked[i] for i in hot] == list(range(1, len(hot) + 1))
+def test_ranks_of_a_hot_group_with_sparse_orders(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', if(id % 7 = 0, null, concat('g', id % 5))) as g", "if(id = 0, null, id * id * id) as o")
+    ranked = keys.rank_in_group(df, ["g"], "o", "r")
+    groups = {}
+    for r in sorted(ranked.collect(), key=lambda r: (r["g"] or "", r["o"] or -1)):
+        groups.setdefault(r["g"], []).append(r["r"])
+    assert sum(map(len, groups.values())) == 3000 and None in groups
+    assert all(v == list(range(1, len(v) + 1)) for v in groups.values())
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(g#" not in plan or "_part" in plan.split("hashpartitioning(g#", 1)[1].split(")", 1)[0]
+
+
+def test_replay_and_reposts_with_very_many_runs_of_one_board(spark):
+    at = lambda c: F.expr(f"timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, {c})")
+    runs = spark.range(100_000).select(F.lit("a").alias("provider"), F.lit("x").alias("board_token"), at("id * 10").alias("run_at"))
+    seen = spark.range(2000).select(
+        F.concat(F.lit("k"), "id").alias("key"), F.lit("a").alias("provider"), F.when(F.col("id") % 5 > 0, "x").alias("board_token"), at("id * 7").alias("seen_at")
+    )
+    got = lifecycle.replay(seen, runs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+    for r in got.collect():
+        second = int(r["key"][1:]) * 7
+        want = None if int(r["key"][1:]) % 5 == 0 else T0 + timedelta(seconds=second // 10 * 10 + 10)
+        assert r["closed_at"] == want
+    closed = spark.range(100_000).select(
+        F.concat(F.lit("o"), "id").alias("key"), F.lit("a").alias("provider"), F.lit("x").alias("board_token"), F.lit("T").alias("title"),
+        F.lit("L").alias("location"), at("id").alias("first_seen_at"), at("id * 10").alias("closed_at"),
+    )
+    new = spark.range(7, 100_000, 100).select(
+        F.concat(F.lit("n"), "id").alias("key"), F.lit("a").alias("provider"), F.lit("x").alias("board_token"), F.lit("T").alias("title"),
+        F.lit("L").alias("location"), at("id * 3").alias("first_seen_at"), F.lit(None).cast("timestamp_ntz").alias("closed_at"),
+    )
+    events = lifecycle.reposts(new, closed).collect()
+    assert len(events) == 1000
+    assert all(r["previous_key"] == f"o{int(r['key'][1:]) * 3 // 10}" for r in events)
 
 
 def test_interleave_and_shards(spark):
