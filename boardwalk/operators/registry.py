@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from boardwalk.functions.text import failure_reason, titleise
 from boardwalk.functions.urls import board_identity, board_site
 from boardwalk.operators.keys import first_per_key
+from boardwalk.operators.ordered import running_sums
 
 MAX_FAILURES = 5
 DEFAULT_MAX_JOBS = 300
@@ -152,6 +153,69 @@ def apply_outcomes(
     ).select(*boards.columns)
 
 
+def fold_outcomes(
+    boards: DataFrame, outcomes: DataFrame, at: str = "at", may_retire: bool = False, max_failures: int = MAX_FAILURES
+) -> DataFrame:
+    """The outcomes of any number of crawls onto the registry: ``apply_outcomes`` crawl by crawl, at once.
+
+    Rows with the same ``at`` are one crawl; rows without a time are left out.  What a board heard is
+    summed up as: failures before its first good answer, failures after its last, the most in a row
+    from a good answer on, whether there was one, and its last reason and times.  Such sums can be
+    joined to the board's stored state, which is how it goes on from there.  Good answers are
+    numbered by running sums, so a board may have been crawled any number of times.
+    """
+    board = ["provider", "token", "_site"]
+    ok = F.col("error").isNull()
+    gone = ~ok & (F.col("failure") == "gone") & F.lit(may_retire)
+    rows = outcomes.where(F.col(at).isNotNull()).select(
+        "provider", "token", F.coalesce("site", F.lit("")).alias("_site"), F.col(at).alias("_at"),
+        F.when(ok, "ok").when(gone, "gone").otherwise("refused").alias("_kind"),
+        failure_reason(F.col("error")).alias("_reason"),
+    )
+    by_token = rows.groupBy("provider", "token", "_at").agg(
+        F.bool_or(F.col("_kind") == "ok").alias("_ok"),
+        F.min(F.when(F.col("_kind") == "refused", F.col("_reason"))).alias("_refused"),
+    )
+    by_site = rows.where(F.col("_kind") == "gone").groupBy(*board, "_at").agg(F.min("_reason").alias("_gone"))
+    sited = boards.withColumn("_site", board_site(F.col("extra")))
+    events = (
+        sited.select(*board).distinct().join(by_token, ["provider", "token"])
+        .join(by_site, [*board, "_at"], "left")
+        .where(F.col("_ok") | F.col("_refused").isNotNull() | F.col("_gone").isNotNull())
+    )
+    numbered = running_sums(events, board, [F.col("_at")], {"_before": F.col("_ok").cast("long")})
+    runs = numbered.withColumn("_run", F.col("_before") + F.col("_ok").cast("long")).groupBy(*board, "_run").agg(
+        F.count("_gone").alias("_n"),
+        F.max(F.when(F.col("_ok"), F.col("_at"))).alias("_ok_at"),
+        F.max("_at").alias("_heard"),
+        F.max_by(F.struct(F.coalesce("_gone", "_refused").alias("said")), "_at").alias("_last"),
+    )
+    heard = runs.groupBy(*board).agg(
+        F.sum(F.when(F.col("_run") == 0, F.col("_n"))).alias("_head"),
+        F.max_by("_n", "_run").alias("_tail"),
+        F.max(F.when(F.col("_run") > 0, F.col("_n"))).alias("_most"),
+        F.max("_run").alias("_oks"),
+        F.max("_ok_at").alias("_ok_at"),
+        F.max("_heard").alias("_heard"),
+        F.max_by("_last", "_heard").alias("_last"),
+    )
+    joined = sited.join(heard, board, "left")
+    some, fine = F.col("_heard").isNotNull(), F.coalesce(F.col("_oks") > 0, F.lit(False))
+    stored = F.coalesce("consecutive_failures", F.lit(0))
+    first = stored + F.coalesce("_head", F.lit(0))
+    retired = ((F.coalesce("_head", F.lit(0)) > 0) & (first >= max_failures)) | (F.coalesce("_most", F.lit(0)) >= max_failures)
+    kinds = dict(boards.dtypes)
+    return joined.withColumns(
+        {
+            "last_crawled_at": F.coalesce("_heard", "last_crawled_at"),
+            "last_ok_at": F.coalesce("_ok_at", "last_ok_at"),
+            "consecutive_failures": F.when(fine, F.col("_tail")).otherwise(first).cast(kinds["consecutive_failures"]),
+            "last_error": F.when(some, F.col("_last.said")).otherwise(F.col("last_error")),
+            "active": F.col("active") & ~retired,
+        }
+    ).select(*boards.columns)
+
+
 def health_history(
     outcomes: DataFrame, at: str, tie: str, max_failures: int = MAX_FAILURES, chunk: str = "DAY"
 ) -> DataFrame:

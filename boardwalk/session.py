@@ -1,6 +1,7 @@
 """Session settings and reliable checkpoints."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,16 @@ def local_session(name: str = "boardwalk", cpus: str = "*", shuffle_partitions:
     return spark
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the cluster's shared checkpoint folder; a local session without one gets a temporary one."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    root = root or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the cluster's shared checkpoint folder.
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from boardwalk.operators.audit import is_full_pass, merge_tally
 from boardwalk.operators.lifecycle import dedupe_batch, healthy_boards, merge_batch, purge_closed
-from boardwalk.operators.registry import apply_outcomes
+from boardwalk.operators.registry import fold_outcomes
 from boardwalk.session import checkpoint as cut
 from boardwalk.streaming.tables import VersionedTable
 
@@ -64,14 +64,12 @@ def board_health_stream(
     outcomes: DataFrame, boards: VersionedTable, seed: DataFrame, checkpoint: str,
     at: str = "at", may_retire: bool = True, once: bool = True,
 ) -> StreamingQuery:
-    """Keep the registry's health columns from a stream of crawl outcomes."""
+    """Keep the registry's health columns from a stream of crawl outcomes, one new version for each batch."""
     def step(batch: DataFrame, batch_id: int) -> None:
         if boards.has(batch_id):
             return
         state = boards.before(batch_id) if boards.versions() else seed
-        for when, crawled in _by_crawl(batch, at):
-            state = cut(apply_outcomes(state, crawled, F.lit(when).cast("timestamp_ntz"), may_retire))
-        boards.write(batch_id, state)
+        boards.write(batch_id, fold_outcomes(state, batch, at, may_retire))
         boards.forget_before(batch_id)
 
     return _each_batch(outcomes, checkpoint, step, once)

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each next to the plain SQL that checks it."""
 
-MODULES = ["feed", "text", "classify", "lifecycle", "vendors", "boards", "crawl"]
+MODULES = ["feed", "text", "classify", "lifecycle", "vendors", "boards", "crawl", "streams"]
 
 
 def load_all() -> None:

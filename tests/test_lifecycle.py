@@ -264,3 +264,36 @@ def test_null_groups_keep_their_rows(spark):
     assert interleave(df, "provider", "ord").count() == 5
     shards = {r.ord: r.shard for r in shard_of_tenant(df, 2, "ord").collect()}
     assert shards == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
+
+
+@pytest.mark.parametrize("may_retire", [True, False])
+def test_health_at_once_equals_crawl_by_crawl(spark, may_retire):
+    import random
+
+    rng = random.Random(5)
+    ddl = (
+        "provider string, token string, company string, extra map<string,string>, active boolean, consecutive_failures int, "
+        "last_error string, last_ok_at timestamp_ntz, last_crawled_at timestamp_ntz"
+    )
+    seed = [("workday", f"t{i // 2}", "c", {"site": f"s{i % 2}"}, i % 5 > 0, i % 4 or None, "old", None, None) for i in range(24)]
+    seed = spark.createDataFrame([*seed, ("lever", "plain", "c", None, True, 4, None, T0, T0)], ddl)
+    rows = []
+    for at in range(12):
+        for i in range(25):
+            for _ in range(rng.randrange(3)):
+                kind = rng.choice(["gone", "gone", "gone", "refused", None])
+                board = ("workday", f"t{i // 2}", f"s{i % 2}") if i < 24 else ("lever", "plain", None)
+                rows.append((*board, kind and f"HTTP {rng.randrange(400, 404)}", kind, T0 + timedelta(days=at)))
+    rows += [("workday", "t1", "s1", None, None, None), ("workday", "unknown", "", None, None, T0)]
+    out = spark.createDataFrame(rows, "provider string, token string, site string, error string, failure string, at timestamp_ntz")
+    state = seed
+    for at in range(12):
+        now = F.lit(T0 + timedelta(days=at)).cast("timestamp_ntz")
+        after = registry.apply_outcomes(state, out.where(F.col("at") == now), now, may_retire)
+        state = spark.createDataFrame(after.collect(), ddl)
+    key = lambda r: (r["provider"], r["token"], str(r["extra"]))
+    want = sorted(state.collect(), key=key)
+    assert sorted(registry.fold_outcomes(seed, out, "at", may_retire).collect(), key=key) == want
+    half = F.col("at") < F.lit(T0 + timedelta(days=5)).cast("timestamp_ntz")
+    twice = registry.fold_outcomes(registry.fold_outcomes(seed, out.where(half), "at", may_retire), out.where(~half), "at", may_retire)
+    assert sorted(twice.collect(), key=key) == want
