@@ -16,6 +16,7 @@ from boardwalk.operators.audit import is_full_pass, merge_tally
 from boardwalk.operators.lifecycle import dedupe_batch, healthy_boards, merge_batch, purge_closed
 from boardwalk.operators.registry import fold_outcomes
 from boardwalk.session import checkpoint as cut
+from boardwalk.streaming.buckets import BucketedPostings
 from boardwalk.streaming.tables import VersionedTable
 
 
@@ -60,6 +61,30 @@ def merge_postings_stream(
     return _each_batch(sightings, checkpoint, step, once)
 
 
+CRAWLS_IN_BATCH = 1_000_000
+
+
+def write_path_stream(
+    sightings: DataFrame, store: BucketedPostings, outcomes_of, checkpoint: str,
+    at: str = "seen_at", purge: bool = False, once: bool = True,
+) -> StreamingQuery:
+    """Keep a bucketed postings table: every crawl is a version that rewrites only the buckets it concerns.
+
+    ``outcomes_of(crawl_time)`` gives the outcomes of that run, or None.  A batch that is replayed
+    finds the versions of the crawls that it had finished.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        for turn, (when, crawled) in enumerate(_by_crawl(batch, at)):
+            rows = dedupe_batch(crawled, [F.col("page"), F.col("pos")])
+            outcomes = outcomes_of(when)
+            healthy = None if outcomes is None else healthy_boards(outcomes)
+            version = batch_id * CRAWLS_IN_BATCH + turn
+            store.apply(version, rows, healthy, when, purge)
+            store.forget_before(version)
+
+    return _each_batch(sightings, checkpoint, step, once)
+
+
 def board_health_stream(
     outcomes: DataFrame, boards: VersionedTable, seed: DataFrame, checkpoint: str,
     at: str = "at", may_retire: bool = True, once: bool = True,

@@ -1,9 +1,12 @@
 """State kept by micro-batches and by the write path, next to SQL that folds the same events one by one."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from boardwalk.session import shared_folder
 from boardwalk.streaming import jobs
+from boardwalk.streaming.buckets import BucketedPostings, Layout, run_log
 from boardwalk.streaming.tables import VersionedTable
 from checks import fixtures as fx
 from checks.boards import B, boards
@@ -58,3 +61,64 @@ def stream_board_health(spark, sf_dir):
     return table.latest().select(
         "provider", "token", board_site(F.col("extra")).alias("site"), "consecutive_failures", "active", "last_error", "last_ok_at", "last_crawled_at"
     )
+
+
+# Five crawls of a day each; a crawl covers two thirds of the boards, and of those most answer healthily.
+NUMBER = "cast(substr(p.board_token, 2) as int)"
+SEEN = f"""select key, provider, board_token, title || ' #' || cast(b.i as string) as title,
+  timestamp '2001-01-01 00:00:00' + b.i * interval '4' day as seen_at, b.i as i
+from {{p}} p join (values (0), (1), (2), (3), (4)) as b(i) on ((p.ord + b.i) % 3 <> 0 or p.ord % 4 = 0) and ({NUMBER} + b.i) % 3 <> 1"""
+RUNS = f"""select distinct provider, board_token, timestamp '2001-01-01 00:00:00' + b.i * interval '4' day as run_at, b.i as i
+from {{p}} p join (values (0), (1), (2), (3), (4)) as b(i) on ({NUMBER} + b.i) % 3 <> 1 and ({NUMBER} + b.i) % 7 <> 2"""
+STATE = "key string, provider string, board_token string, title string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, closed_at timestamp_ntz"
+FOLD = (
+    f"s as ({SEEN.replace('{p}', 'postings')}), r as ({RUNS.replace('{p}', 'postings')}), "
+    "k as (select key, provider, board_token, arg_max(title, seen_at) as title, min(seen_at) as first_seen_at, max(seen_at) as last_seen_at from s group by 1, 2, 3), "
+    "c as (select *, (select min(run_at) from r where r.provider = k.provider and r.board_token = k.board_token and run_at > k.last_seen_at) as closed_at from k)"
+)
+
+
+def written_path(spark, sf_dir, purge: bool):
+    """The store after all five crawls."""
+    from checks.feed import postings
+
+    p = postings(spark, sf_dir)
+    seen, runs = spark.sql(SEEN, p=p), spark.sql(RUNS, p=p)
+    store = BucketedPostings(spark, shared_folder(spark, "postings"), STATE, Layout(buckets=16))
+    for i in range(5):
+        batch = seen.where(F.col("i") == i).drop("seen_at", "i")
+        healthy = runs.where(F.col("i") == i).select("provider", "board_token")
+        store.apply(i, batch, healthy, datetime(2001, 1, 1) + timedelta(days=4 * i), purge=purge)
+        store.forget_before(i)
+    return store
+
+
+@register(
+    "write_path_state",
+    fx.with_postings_cte(FOLD, "select key, title, first_seen_at, last_seen_at, closed_at from c"),
+)
+def write_path_state(spark, sf_dir):
+    return written_path(spark, sf_dir, False).read().select("key", "title", "first_seen_at", "last_seen_at", "closed_at")
+
+
+@register("write_path_open", fx.with_postings_cte(FOLD, "select key, title, last_seen_at from c where closed_at is null"))
+def write_path_open(spark, sf_dir):
+    return written_path(spark, sf_dir, True).read(open_only=True).select("key", "title", "last_seen_at")
+
+
+LAST = "timestamp '2001-01-17 00:00:00'"
+
+
+@register(
+    "write_path_run_log",
+    fx.with_postings_cte(
+        FOLD + f", oc as ({fx.OUTCOMES_SQL})",
+        "select timestamp '2001-01-17 00:00:00' as started_at, timestamp '2001-01-17 01:00:00' as finished_at, "
+        "(select count(*) from oc) as boards_total, (select count(*) from oc where error is null) as boards_ok, (select count(*) from oc where error is not null) as boards_failed, "
+        f"(select count(*) from s where seen_at = {LAST}) as jobs_scanned, (select count(*) from s where seen_at = {LAST}) as jobs_upserted, "
+        f"(select count(*) from c where closed_at = {LAST}) as jobs_closed",
+    ),
+)
+def write_path_run_log(spark, sf_dir):
+    store = written_path(spark, sf_dir, False)
+    return run_log(fx.outcomes(spark, sf_dir), store.facts(4), "2001-01-17 00:00:00", "2001-01-17 01:00:00")
