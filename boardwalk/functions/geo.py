@@ -7,13 +7,13 @@ from boardwalk.functions.match import first_hit_sql, hit_sql, let, non_empty, tr
 from boardwalk.rules import geo as rules
 
 
-def clean_location(c: Column) -> Column:
-    """Display form: two places at most, no street number, codes or postcode."""
+def clean_location(c: Column, chars: int | None = None) -> Column:
+    """Display form: two places at most, no street number, codes or postcode; with ``chars`` cut to so many."""
     parts = F.filter(F.split(trim_all(c), r"\s*;\s*", -1), lambda p: F.length(p) > 0)
-    return let(parts, _shown_parts)
+    return let(parts, lambda p: _shown_parts(p, chars))
 
 
-def _shown_parts(parts: Column) -> Column:
+def _shown_parts(parts: Column, chars: int | None) -> Column:
     many = F.concat(
         F.get(parts, F.lit(0)), F.lit(", "), F.get(parts, F.lit(1)),
         F.lit(" +"), (F.size(parts) - 2).cast("string"), F.lit(" more"),
@@ -26,7 +26,7 @@ def _shown_parts(parts: Column) -> Column:
     s = F.regexp_replace(s, r"\s*\d{5}(-\d{4})?\z", "")
     s = F.trim(F.regexp_replace(s, r",\s*\z", ""))
     s = F.regexp_replace(s, r",(?=\S)", ", ")
-    return F.when(F.size(parts) > 2, many).otherwise(let(F.substring(s, 1, 80), non_empty))
+    return F.when(F.size(parts) > 2, many).otherwise(let(s if chars is None else F.substring(s, 1, chars), non_empty))
 
 
 # Country and state read some 300 patterns, so they are built as SQL text over column

@@ -89,13 +89,13 @@ def title_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 
-def audit_title(c: Column) -> Column:
-    """Title as counted by the exclusion tally; at most 120 characters."""
+def audit_title(c: Column, chars: int | None = None) -> Column:
+    """Title as counted by the exclusion tally, or with ``chars`` its first so many characters."""
     t = F.regexp_replace(F.lower(c), r"[(\[{][^)\]}]*[)\]}]", " ")
     t = F.regexp_replace(t, "\\s+[-\u2013\u2014]\\s+[^-\u2013\u2014]{1,40}\\z", "")
     t = F.regexp_replace(t, r"[^a-z0-9+#/&. ]+", " ")
     t = F.trim(F.regexp_replace(t, r"\s+", " "))
-    return F.substring(t, 1, 120)
+    return t if chars is None else F.substring(t, 1, chars)
 
 
 def titleise(token: Column) -> Column:
@@ -149,11 +149,11 @@ def plain_number(c: Column) -> Column:
     return F.when(c == F.floor(c), c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
 
 
-def failure_reason(error: Column) -> Column:
-    """The message without its 'provider/token:' prefix, 300 characters at most."""
+def failure_reason(error: Column, chars: int | None = None) -> Column:
+    """The message without its 'provider/token:' prefix, or with ``chars`` its first so many characters."""
     text = trim_all(F.coalesce(error, F.lit("")))
     text = F.regexp_replace(text, r"^[a-z]+/[A-Za-z0-9_.:@+-]+:\s*", "")
-    return F.coalesce(non_empty(F.substring(text, 1, 300)), F.lit("failed"))
+    return F.coalesce(non_empty(text if chars is None else F.substring(text, 1, chars)), F.lit("failed"))
 
 
 def failure_kind(status: Column) -> Column:

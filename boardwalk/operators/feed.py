@@ -128,6 +128,34 @@ def page(postings: DataFrame, f: FeedQuery) -> DataFrame:
     return rows.offset(f.offset).limit(f.limit)
 
 
+def sort_value(f: FeedQuery) -> Column:
+    """What a page's rows are sorted by before their key; null comes last."""
+    values = {
+        "newest": F.col("posted_at"),
+        "salary": F.coalesce("salary_usd", F.lit(-1.0)),
+        "score": F.col("competition_score"),
+    }
+    return F.when(F.col("fit_known"), F.col("fit_confidence")).otherwise(-1.0) if f.sort == "fit" else values[f.sort]
+
+
+def page_after(postings: DataFrame, f: FeedQuery, after: tuple | None) -> DataFrame:
+    """The page behind the row with sort value and key ``after``; the first page for None.
+
+    Adds ``sort_value``, so that the last row of a page tells where the next begins.  Rows before the
+    place are filtered out, not sorted and skipped, so a deep page costs what the first one does.
+    """
+    rows = filtered(postings, f).withColumn("sort_value", sort_value(f))
+    if after is not None:
+        value, key = after
+        here, later = F.col("sort_value"), F.col("key") > F.lit(key)
+        if value is None:
+            rows = rows.where(here.isNull() & later)
+        else:
+            at = F.lit(value).cast(rows.schema["sort_value"].dataType)
+            rows = rows.where((here < at) | here.isNull() | ((here == at) & later))
+    return rows.orderBy(F.col("sort_value").desc_nulls_last(), "key").limit(f.limit)
+
+
 def page_with_more(postings: DataFrame, f: FeedQuery) -> DataFrame:
     """The page plus ``has_more``, from one extra row instead of a count."""
     rows = filtered(postings, f).orderBy(*ordering(f)).offset(f.offset).limit(f.limit + 1)

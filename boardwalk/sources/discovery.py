@@ -10,6 +10,7 @@ from boardwalk.functions.text import decode_entities, titleise
 from boardwalk.functions.urls import WORKDAY_URL, archive_board, board_identity, resolve_url, workday_board
 from boardwalk.operators.keys import first_per_key
 from boardwalk.rules import urls as rules
+from boardwalk.session import checkpoint
 
 # Dataset tokens, and vendors whose boards need nothing but a token.
 TOKEN = r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,80}\z"
@@ -195,21 +196,61 @@ def thread_boards(comments: DataFrame, thread: str, text: str, order: str) -> Da
     return first_per_key(rows, [thread, "provider", "token"], [F.col(order)]).drop(order)
 
 
-def hiring_threads(stories: DataFrame, limit: int = 24) -> DataFrame:
-    """Newest hiring threads with a real discussion."""
+def hiring_threads(stories: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hiring threads with a real discussion, all of them or with ``limit`` the newest so many."""
     chosen = stories.where(
         F.col("title").rlike(r"(?i)ask hn:\s*who is hiring\?") & (F.col("num_comments") > MIN_COMMENTS)
     )
-    return chosen.orderBy(F.col("created_at").desc(), "story_id").limit(limit)
+    return chosen if limit is None else chosen.orderBy(F.col("created_at").desc(), "story_id").limit(limit)
 
 
-def flatten_comments(items: DataFrame, levels: int, text: str = "text") -> DataFrame:
-    """Nested replies to one row per comment, ``levels`` deep."""
-    frames, current = [], items
-    for _ in range(levels):
-        frames.append(current.select("thread", text))
-        current = current.select("thread", F.explode("children").alias("_c")).select("thread", "_c.*")
-    return reduce(lambda a, b: a.unionByName(b), frames)
+def flatten_comments(items: DataFrame, thread: str = "thread", body: str = "body") -> DataFrame:
+    """(thread, level, text) of every comment nested in JSON items, each with ``text`` and a list ``children``.
+
+    Levels are opened one after the other until none has children; the item itself is level 0.
+    Items that are no JSON objects have no text and no children, but stay.
+    """
+    level, found = 0, []
+    rows = items.select(F.col(thread).alias("thread"), F.col(body).alias("_item"))
+    while True:
+        rows = checkpoint(rows)
+        found.append(rows.select("thread", F.lit(level).alias("level"), F.get_json_object("_item", "$.text").alias("text")))
+        listed = F.from_json(F.get_json_object("_item", "$.children"), "array<string>")
+        rows, level = rows.select("thread", F.explode(listed).alias("_item")), level + 1
+        if rows.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def thread_tree(items: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
+    """Add ``root`` and ``depth``: the item that each chain of replies starts from, and the steps to it.
+
+    An item whose parent is null or not in the table is its own root, at depth 0.  Every round doubles
+    the steps that an item looks up, so a chain of n replies takes log2(n) rounds; only items that have
+    not reached their root go on.  Items that answer each other in a circle have no root: both columns
+    are null, as for a null key.  Of rows that share a key the smallest parent counts.
+    """
+    links = items.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min(parent).alias("_up"))
+    links = checkpoint(links)
+    there = links.select(F.col("_id").alias("_up"), F.lit(True).alias("_there"))
+    up = links.join(there, "_up", "left")
+    root = F.col("_there").isNull()
+    start = up.select(
+        "_id", F.when(root, F.col("_id")).otherwise(F.col("_up")).alias("_up"), F.when(root, 0).otherwise(1).alias("_steps"), root.alias("_top")
+    )
+    state, rounds = checkpoint(start), 0
+    n, open_ = state.agg(F.count("*"), F.count_if(~F.col("_top"))).first()
+    while open_ and rounds <= n.bit_length():
+        ahead = state.select(
+            F.col("_id").alias("_up"), F.col("_up").alias("_up2"), F.col("_steps").alias("_steps2"), F.col("_top").alias("_top2")
+        )
+        moved = state.where(~F.col("_top")).join(ahead, "_up").select(
+            "_id", F.col("_up2").alias("_up"), (F.col("_steps") + F.col("_steps2")).alias("_steps"), F.col("_top2").alias("_top")
+        )
+        state, rounds = checkpoint(state.where("_top").unionByName(moved)), rounds + 1
+        open_ = state.where(~F.col("_top")).count()
+    reached = state.where("_top").select(F.col("_id").alias(key), F.col("_up").alias("root"), F.col("_steps").alias("depth"))
+    kept = [c for c in items.columns if c not in ("root", "depth")]
+    return items.select(*kept).join(reached, key, "left").select(*kept, "root", "depth")
 
 
 # ------------------------------------------------------------------------ company names

@@ -692,12 +692,12 @@ def icims(pages: DataFrame, location_as_text: bool = False) -> DataFrame:
 
     def header(label: str) -> Column:
         return _plain_text(
-            grab(rf'field-label"[^>]*>\s*(?:{label})\s*</span>\s*<span[^>]*>([\s\S]{{0,160}}?)</span>')
+            grab(rf'field-label"[^>]*>\s*(?:{label})\s*</span>\s*<span[^>]*>([\s\S]*?)</span>')
         )
 
     def field(label: str) -> Column:
         return _plain_text(
-            grab(rf'iCIMS_JobHeaderField"[^>]*>\s*{label}\s*</dt>\s*<dd[^>]*>([\s\S]{{0,300}}?)</dd>')
+            grab(rf'iCIMS_JobHeaderField"[^>]*>\s*{label}\s*</dt>\s*<dd[^>]*>([\s\S]*?)</dd>')
         )
 
     link = r'href="([^"]*/jobs/(\d+)/[^"]*)"'
@@ -705,10 +705,10 @@ def icims(pages: DataFrame, location_as_text: bool = False) -> DataFrame:
         {
             "_url": decode_entities(grab(link)),
             "_number": grab(link, 2),
-            "_title": _plain_text(grab(r"<h3[^>]*>([\s\S]{0,200}?)</h3>")),
+            "_title": _plain_text(grab(r"<h3[^>]*>([\s\S]*?)</h3>")),
             "_place": header("Job Locations?|Locations?"),
             "_text": _plain_text(
-                grab(r'class="[^"]*\bdescription\b[^"]*"[^>]*>([\s\S]{0,4000}?)</div>')
+                grab(r'class="[^"]*\bdescription\b[^"]*"[^>]*>([\s\S]*?)</div>')
             ),
             "_id": F.coalesce(field("ID"), header("ID"), grab(link, 2)),
             "_category": field("Category"),
@@ -787,10 +787,10 @@ def _if_name(name: Column) -> Column:
 
 
 def icims_company(html: Column) -> Column:
-    title = non_empty(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]{2,200})</title>", 1))
+    title = non_empty(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]{2,})</title>", 1))
     clean = F.trim(F.regexp_replace(decode_entities(title), r"\s+", " "))
     name = F.trim(F.regexp_extract(clean, r"(?i)^.*job listings at (.*)\z", 1))
-    return F.when(F.length(name).between(2, 120), name)
+    return F.when(F.length(name) >= 2, name)
 
 
 def eightfold_company(body: Column) -> Column:

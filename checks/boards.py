@@ -496,7 +496,23 @@ STORIES = (
 )
 
 
-@register("hiring_threads", f"with s as ({STORIES}) select story_id, created_at from s where title like 'Ask HN: Who is hiring?%' and num_comments > 50 order by created_at desc, story_id limit 24")
+# Replies: within a conversation to an earlier turn, and conversations one below the other, 250 to a thread.
+REPLIES = (
+    "select conv_id * 100 + turn as id, case when turn > 0 then conv_id * 100 + case when turn % 2 = 1 then turn - 1 else cast(floor(turn / 2) as int) end "
+    "when conv_id % 250 > 0 then conv_id * 100 - 100 end as parent, conv_id, turn from conversations"
+)
+
+
+@register(
+    "thread_tree",
+    f"with recursive r as ({REPLIES}), w as (select r.id, case when p.id is not null then r.parent end as parent from r left join r p on p.id = r.parent), "
+    "t as (select id, id as root, 0 as depth from w where parent is null union all select w.id, t.root, t.depth + 1 from w join t on w.parent = t.id) select * from t",
+)
+def thread_tree(spark, sf_dir):
+    return discovery.thread_tree(fx.from_sql(spark, sf_dir, REPLIES, "conversations")).select("id", "root", "depth")
+
+
+@register("hiring_threads", f"with s as ({STORIES}) select story_id, created_at from s where title like 'Ask HN: Who is hiring?%' and num_comments > 50")
 def hiring_threads(spark, sf_dir):
     return discovery.hiring_threads(fx.from_sql(spark, sf_dir, STORIES, "conversations")).select("story_id", "created_at")
 

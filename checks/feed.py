@@ -69,6 +69,24 @@ def page_check(name: str, where: str, order: str = NEWEST, limit: int = 50, offs
 
 page_check("feed_page_newest", DEFAULT)
 page_check("feed_page_offset", DEFAULT, offset=100, limit=25)
+
+
+@register("feed_page_after", fx.with_postings(f"select {SHOWN} from postings where {DEFAULT} {NEWEST} limit 200"))
+def feed_page_after(spark, sf_dir):
+    """Four pages, each behind the last row of the one before."""
+    p, f, after, pages = postings(spark, sf_dir), query(limit=50), None, []
+    for _ in range(4):
+        pages.append(feed.page_after(p, f, after))
+        last = pages[-1].select("sort_value", "key").tail(1)
+        if not last:
+            break
+        after = tuple(last[0])
+    both = pages[0]
+    for page in pages[1:]:
+        both = both.unionByName(page)
+    return both.select(*SHOWN.split(", "))
+
+
 page_check("feed_page_salary", DEFAULT, order=f"order by coalesce({USD}, -1) desc, key", sort="salary")
 page_check("feed_filter_family", f"{DEFAULT} and family = 'cloud'", family="cloud")
 page_check("feed_filter_unsorted", f"{BASE} and {CORE} and family = 'unsorted'", family="unsorted")

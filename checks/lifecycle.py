@@ -303,8 +303,8 @@ def per_board_cap(spark, sf_dir):
 
 TALLY = (
     "tally as (select reason, title, count(*) as n, arg_min(company, ord) as sample_company from (select coalesce(reason, 'no family matched') as reason, "
-    "left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '[(\\[{][^)\\]}]*[)\\]}]', ' ', 'g'), "
-    "'\\s+[-–—]\\s+[^-–—]{1,40}$', ''), '[^a-z0-9+#/&. ]+', ' ', 'g'), '\\s+', ' ', 'g')), 120) as title, company, ord from t8 where fam is null) "
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '[(\\[{][^)\\]}]*[)\\]}]', ' ', 'g'), "
+    "'\\s+[-–—]\\s+[^-–—]{1,40}$', ''), '[^a-z0-9+#/&. ]+', ' ', 'g'), '\\s+', ' ', 'g')) as title, company, ord from t8 where fam is null) "
     "where title <> '' group by 1, 2)"
 )
 

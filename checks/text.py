@@ -57,8 +57,8 @@ scalar(
     "failure_reason",
     ["lever/acme: HTTP 404", "  ", None, "workday/a.b:c: timeout", "plain message", "x" * 350, "icims/q: "],
     text.failure_reason,
-    "coalesce(nullif(left(" + replace(trim_all("coalesce(raw, '')"), r"^[a-z]+/[A-Za-z0-9_.:@+-]+:\s*")
-    + ", 300), ''), 'failed')",
+    "coalesce(nullif(" + replace(trim_all("coalesce(raw, '')"), r"^[a-z]+/[A-Za-z0-9_.:@+-]+:\s*")
+    + ", ''), 'failed')",
 )
 TOKENS = ["acme-corp_uk", "bigCo", "the.north.face", "a", "--", "ibm", "Open_AI-labs", "x.y.z", "greatPlacesToWork"]
 scalar(
@@ -110,10 +110,10 @@ def failure_kind(spark, sf_dir):
         + quote(r"\((remote|hybrid|on[- ]?site|m/f/d|f/m/d|w/m/d)\)")
         + ", ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) as title_key, "
         "coalesce(trim(regexp_replace(lower(location), '[^a-z0-9]+', ' ', 'g')), '') as location_key, "
-        "left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), "
+        "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), "
         + quote(r"[(\[{][^)\]}]*[)\]}]")
         + ", ' ', 'g'), " + quote("\\s+[-–—]\\s+[^-–—]{1,40}$") + ", ''), "
-        + quote("[^a-z0-9+#/&. ]+") + ", ' ', 'g'), '\\s+', ' ', 'g')), 120) as audit_title from postings"
+        + quote("[^a-z0-9+#/&. ]+") + ", ' ', 'g'), '\\s+', ' ', 'g')) as audit_title from postings"
     ),
 )
 def title_normalise(spark, sf_dir):
@@ -133,7 +133,7 @@ for _pattern, _by, _flags in (
 _S = f"trim({_S})"
 for _pattern in (r"\s*\d{6}$", r"\s*\d{5}(-\d{4})?$", r",\s*$"):
     _S = f"regexp_replace({_S}, {quote(_pattern)}, '')"
-_S = f"nullif(left(trim(regexp_replace(regexp_replace(trim({_S}), ',(\\S)', ', \\1', 'g'), ',(\\S)', ', \\1', 'g')), 80), '')"
+_S = f"nullif(trim(regexp_replace(regexp_replace(trim({_S}), ',(\\S)', ', \\1', 'g'), ',(\\S)', ', \\1', 'g')), '')"
 
 
 @register(
