@@ -259,18 +259,19 @@ class Tree:
 
 
 def _traverse(members: DataFrame, spec: Join) -> DataFrame:
-    """Candidate pairs of all trees, each from the first tree that both sets are in.
+    """Candidate pairs of all trees, each from the tree with the smallest mark that both sets are in.
 
-    Rows are (token, left, right, side, rep, part, size, bits, trees), a tree's together.
+    Rows are (token, left, right, side, rep, part, size, bits, trees), a tree's together; ``trees`` are
+    the marks, smaller than this tree's, of the set's other trees.  Trees with equal marks tell a pair twice.
     """
 
-    def flush(group: list, token: int) -> list[tuple]:
+    def flush(group: list) -> list[tuple]:
         reps, parts, sizes, bits, sides, trees = zip(*group, strict=True)
         trees = [set(t) for t in trees]
         tree = Tree([np.frombuffer(b, np.uint64) for b in bits], np.array(sizes), np.array(parts), spec.leaf)
         return [
             (min(reps[i], reps[j]), max(reps[i], reps[j])) for i, j in tree.pairs(spec.percent)
-            if (sides[i] == 2 or sides[i] != sides[j]) and min(trees[i] & trees[j]) == token
+            if (sides[i] == 2 or sides[i] != sides[j]) and trees[i].isdisjoint(trees[j])
         ]
 
     def work(batches):
@@ -280,11 +281,11 @@ def _traverse(members: DataFrame, spec: Join) -> DataFrame:
             out = []
             for token, left, right, *row in zip(*cols, strict=True):
                 if (token, left, right) != at:
-                    out += flush(group, at[0]) if len(group) > 1 else []
+                    out += flush(group) if len(group) > 1 else []
                     at, group = (token, left, right), []
                 group.append(row)
             yield _rows(out, "a long, b long")
-        yield _rows(flush(group, at[0]) if len(group) > 1 else [], "a long, b long")
+        yield _rows(flush(group) if len(group) > 1 else [], "a long, b long")
 
     return members.mapInArrow(work, "a long, b long")
 
@@ -353,7 +354,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", spec: Join =
     mixed = trees.join(parts, "rep")
     open_ = mixed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("token")
     mixed = scratch.save(mixed.join(open_, "token"), "mixed")
-    of_rep = mixed.groupBy("rep").agg(F.collect_list("token").alias("trees"))  # a set's own rarest tokens at most
+    of_rep = mixed.groupBy("rep").agg(F.collect_list(F.hash("token")).alias("marks"))  # a set's own rarest tokens at most
     ranked = running_totals(scratch, mixed, ["token"], ["size", "rep"], {"place": F.lit(1)}, "ranked")
     ranked = scratch.save(ranked.withColumn("block", F.floor(F.col("place") / spec.block)), "blocks")
     nodes = ranked.groupBy("token", "block").agg(
@@ -369,7 +370,8 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", spec: Join =
     )).withColumn("block", F.when(F.col("side") == 1, F.col("right")).otherwise(F.col("left")))
     members = sides.join(ranked.select("token", "block", "rep", "part"), ["token", "block"]).join(
         bitmaps, "rep"
-    ).join(of_rep, "rep")
+    ).join(of_rep, "rep").withColumn("mark", F.hash("token"))
+    members = members.withColumn("trees", F.filter("marks", lambda m: m < F.col("mark"))).drop("marks", "mark")
     dealt = members.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "side", "size", "rep")
     candidates = scratch.save(_traverse(dealt, spec).distinct(), "candidates")
     grown(candidates)
