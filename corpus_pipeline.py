@@ -6,7 +6,7 @@ and rereads every stage's result in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boardwalk.llm import bpe, linedup, mixing, quality, simjoin
@@ -31,10 +31,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest doc_id."""
-    groups = simjoin.similar(docs.select("doc_id", "text"), spec=NEAR).where("component_id < doc_id").select("doc_id")
-    gone = broadcast_if_few(Scratch(spark, "near").save(groups.distinct(), "gone"))
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """One row of each group of near duplicates stays, that with the smallest doc_id.
+
+    Rows are told apart by doc_id and text, so a doc_id with several texts loses only those that have a
+    near copy with a smaller doc_id (null comes last).  Rows equal in both are copies of each other; of
+    them the one that comes first by the other columns stays.  Texts without words are nobody's copies.
+    """
+    rows = docs.select(*COLUMNS).withColumn("_key", F.xxhash64("doc_id", "text"))
+    scratch = Scratch(spark, "near")
+    groups = scratch.save(simjoin.similar(rows.select("_key", "text"), key="_key", spec=NEAR), "groups").where("n_shingles > 0")
+    named = groups.groupBy("_key", "component_id").agg(F.count("*").alias("n"))
+    large = named.groupBy("component_id").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where("n > 1")
+    members = scratch.save(named.drop("n").join(large, "component_id"), "members")
+    ids = rows.join(broadcast_if_few(members.select("_key")), "_key", "left_semi").select("_key", "doc_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
+    first = members.join(ids.distinct(), "_key").groupBy("component_id").agg(F.min_by("_key", order).alias("_key"))
+    first = scratch.save(first.select("_key"), "first")
+    single = rows.join(broadcast_if_few(members.select("_key")), "_key", "left_anti")
+    chosen = rows.join(broadcast_if_few(first), "_key", "left_semi")
+    copies = Window.partitionBy("_key").orderBy("lang", "source", "n_chars")  # cut to one row before the shuffle
+    chosen = chosen.withColumn("_n", F.row_number().over(copies)).where("_n = 1")
+    return single.select(*COLUMNS).unionByName(chosen.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
