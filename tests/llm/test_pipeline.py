@@ -88,3 +88,19 @@ def test_planted_cases_and_columns(spark):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, spark.createDataFrame([], df.schema), "")
         assert empty.count() == 0
+
+
+def test_near_duplicates_are_decided_by_row(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(120))
+    a, b, c = text(), text(), text()
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [
+        (1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (7, c, "en", "z", 1), (7, c, "en", "t", 1), (7, c, "en", "t", 1),
+        (None, near, "en", "s", 1), (None, b, "en", "s", 1), (8, None, "en", "s", 1), (8, None, "en", "s", 1), (9, "", "en", "s", 0), (3, near, None, None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in pipeline.near_duplicates(spark, docs, "").collect()]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(got, key=key) == sorted([rows[0], rows[2], rows[4], rows[8], rows[9], rows[10]], key=key)
+    assert pipeline.near_duplicates(spark, docs.limit(0), "").collect() == []
