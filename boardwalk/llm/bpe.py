@@ -27,7 +27,7 @@ from boardwalk.llm.common import ship
 from boardwalk.llm.registry import register, table
 
 #: Remembered units of a worker; a full memory is emptied, which changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 
 # Fixed value: white space as Unicode's White_Space has it.
 _SPACE = r"\t-\r\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -83,8 +83,11 @@ class Coder:
         """Encode units and remember them."""
         cut = [_pattern().findall(u) for u in units.to_pylist()]
         pieces = pa.array([p for c in cut for p in c], pa.string()).dictionary_encode()
-        got = self.tokenizer.encode_batch_fast(pieces.dictionary.to_pylist(), add_special_tokens=False)
-        ids = pa.array([g.ids for g in got], pa.list_(pa.int32())).take(pieces.indices)
+        got = []
+        for start in range(0, len(pieces.dictionary), 4096):  # the library's results are large, so few at a time
+            some = self.tokenizer.encode_batch_fast(pieces.dictionary[start : start + 4096].to_pylist(), add_special_tokens=False)
+            got.append(pa.array([g.ids for g in some], pa.list_(pa.int32())))
+        ids = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *got]).take(pieces.indices)
         ends = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])
         self.units = pa.concat_arrays([self.units, units])
         self.ids = pa.concat_arrays([self.ids, _joined(ids, ends)])
@@ -153,7 +156,7 @@ def byte_table(path: str) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def _slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes (or list items) of the column each; a longer value stands alone."""
     length = pc.list_value_length if pa.types.is_list(batch.column(column).type) else pc.binary_length
     sizes = np.asarray(pc.fill_null(length(batch.column(column)), 0), np.int64)
@@ -204,6 +207,7 @@ def encode(
                 if offsets:
                     columns += _starts(batch.column(text).fill_null(""), ids, byte_table(path))
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *added])
+        pa.default_memory_pool().release_unused()
 
     return df.select(*dict.fromkeys([*kept, text])).mapInArrow(work, out)
 

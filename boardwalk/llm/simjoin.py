@@ -309,7 +309,8 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", spec: Join =
     weight[np.asarray(bins.column("key"))] = np.asarray(bins.column("n"))
     weight = spark.sparkContext.broadcast(weight)
 
-    rows = measured.where("kind = 0").select("key", "size", "h1", "h2")
+    rows = scratch.save(measured.where("kind = 0").select("key", "size", "h1", "h2"), "rows")
+    scratch.drop("measured")
     filled = rows.where("size > 0 and key is not null")
     classes = filled.groupBy("h1", "h2", "size").agg(F.min("key").alias("rep"), F.count("*").alias("n"))
     copies = scratch.save(classes.where("n > 1"), "copies")  # only these have members besides themselves
@@ -354,9 +355,11 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", spec: Join =
     mixed = trees.join(parts, "rep")
     open_ = mixed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("token")
     mixed = scratch.save(mixed.join(open_, "token"), "mixed")
+    scratch.drop("trees", "central")
     of_rep = mixed.groupBy("rep").agg(F.collect_list(F.hash("token")).alias("marks"))  # a set's own rarest tokens at most
     ranked = running_totals(scratch, mixed, ["token"], ["size", "rep"], {"place": F.lit(1)}, "ranked")
     ranked = scratch.save(ranked.withColumn("block", F.floor(F.col("place") / spec.block)), "blocks")
+    scratch.drop("ranked")
     nodes = ranked.groupBy("token", "block").agg(
         F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("part").alias("p"), F.max("part").alias("q")
     )
@@ -374,6 +377,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", spec: Join =
     members = members.withColumn("trees", F.filter("marks", lambda m: m < F.col("mark"))).drop("marks", "mark")
     dealt = members.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "side", "size", "rep")
     candidates = scratch.save(_traverse(dealt, spec).distinct(), "candidates")
+    scratch.drop("mixed", "blocks")
     grown(candidates)
 
     tops = parts.where("part != rep")
