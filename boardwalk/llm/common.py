@@ -101,6 +101,18 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
+def set_aside(df: DataFrame, results: list[str]) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """(rows with columns named by place, the new name of each column, columns that undo it).
+
+    No name of the caller can then meet one of an operator's own.  Columns named as one of
+    ``results``, in any case, are left out of what is given back.
+    """
+    names = {c: f"_caller{i}" for i, c in enumerate(df.columns)}
+    taken = {r.lower() for r in results}
+    back = [F.col(new).alias(c) for c, new in names.items() if c.lower() not in taken]
+    return df.toDF(*names.values()), names, back
+
+
 def running_totals(
     scratch: Scratch, df: DataFrame, by: list[str], order: list[str], totals: dict[str, Column], name: str
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.llm.common import GAP, WORD, computed
+from boardwalk.llm.common import GAP, WORD, computed, set_aside
 from boardwalk.llm.registry import register, table
 
 # Punctuation, separators of menus, and phrases of page furniture.  Both engines read them.
@@ -104,10 +104,11 @@ def judge(df: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFrame:
     of the results are replaced; any other column passes, whatever its name.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", "cleaned", "kept"]
-    others = [c for c in df.columns if c not in added and not (c.startswith("_") and c in _INNER)]
-    body = F.coalesce(F.col(text), F.lit(""))
+    df, names, others = set_aside(df, added)
+    given = F.col(names[text])
+    body = F.coalesce(given, F.lit(""))
     df = computed(
-        df.select(*others),
+        df,
         {"_lines": F.split(body, "\n", -1), "_words": F.array_remove(F.split(body, GAP, -1), "")},
     )
     df = computed(
@@ -126,7 +127,7 @@ def judge(df: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFrame:
             "n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
             "lost_words": F.col("n_words")
             - F.aggregate("_good", F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(WORD))).cast("long"),
-            "cleaned": F.when(F.col(text).isNotNull(), F.array_join("_good", "\n")),
+            "cleaned": F.when(given.isNotNull(), F.array_join("_good", "\n")),
         },
     ).drop("_full", "_good", "_lines")
     df = _repeated(df)
@@ -138,10 +139,17 @@ def judge(df: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFrame:
     return df.withColumn("kept", kept).select(*others, *added)
 
 
-_INNER = {"_lines", "_words", "_full", "_good", "_windows", "_codes", "_maybe", "_again", "_bits", "_mask"}
+def lost_sql(rules: Rules = RULES) -> str:
+    """DuckDB condition that line ``x`` of ``n`` words fails."""
+    count = lambda text, pattern: f"len(regexp_extract_all({text}, '{pattern}'))"
+    phrases = f"array_to_string(regexp_extract_all(x, '{BOILERPLATE}'), ' ')"
+    return f"""({count("x", PUNCTUATION_RUN)} > n * {rules.max_punctuation_runs}
+        or ({count("x", SEPARATOR_WORD)} >= {rules.min_separators} and {count("x", SEPARATOR_WORD)} > n * {rules.max_separators})
+        or {count(phrases, WORD)} > n * {rules.max_furniture})"""
 
 
-def _sql(rules: Rules = RULES) -> str:
+def sql(rules: Rules = RULES) -> str:
+    """DuckDB SQL for the columns of the query over a table ``documents``."""
     count = lambda text, pattern: f"len(regexp_extract_all({text}, '{pattern}'))"
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
@@ -150,10 +158,7 @@ p as (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws)
 g as (select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i + 1], ws[i + 2]) as n from p),
 r as (select doc_id, count(distinct j) as n_repeat_words
       from (select doc_id, unnest([i, i + 1, i + 2]) as j from g where n > 1) group by doc_id),
-l as (select doc_id, count(*) - count(distinct x) as n_dup_lines, sum(case when
-        {count("x", PUNCTUATION_RUN)} > n * {rules.max_punctuation_runs}
-        or ({count("x", SEPARATOR_WORD)} >= {rules.min_separators} and {count("x", SEPARATOR_WORD)} > n * {rules.max_separators})
-        or regexp_matches(x, '{BOILERPLATE}') then n else 0 end) as lost
+l as (select doc_id, count(*) - count(distinct x) as n_dup_lines, sum(case when {lost_sql(rules)} then n else 0 end) as lost
       from (select doc_id, x, {count("x", WORD)} as n from (select doc_id, unnest(ls) as x from w)) where n > 0 group by doc_id),
 m as (select w.doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
         {count("t", SYMBOLS)}::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
@@ -164,7 +169,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and lost <= n_words * {rules.max_lost} as kept from b"""
 
 
-@register("op5_quality_rules", _sql())
+@register("op5_quality_rules", sql())
 def op5_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs).select(

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.llm.common import ascii_lower, computed
+from boardwalk.llm.common import ascii_lower, computed, set_aside
 from boardwalk.llm.registry import register, table
 
 # The rules of the contract, as (verdict, host and path).
@@ -140,14 +140,15 @@ def judge(
     The longest fitting rule decides; without one the model does, and blocks from 0.5 on.  The model
     learns from ``labelled`` (url, block); left out, from the rows of ``df`` that a rule decides.
     Null URLs and URLs without ``://`` have an empty host and path and are judged like others.
-    Existing columns with the names of the results are replaced.
+    Existing columns with the names of the results are replaced; any other passes, whatever its name.
     """
     added = ["host", "path", "rule", "block_probability", "verdict"]
-    kept = [c for c in df.columns if c not in added]
-    ruled = computed(df.select(*kept), {"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    df, names, kept = set_aside(df, added)
+    given = F.col(names[url])
+    ruled = computed(df, {"host": host_of(given), "path": path_of(given)})
     ruled = computed(ruled, {"_rule": rule_of(F.col("host"), F.col("path"), rules)})
     if labelled is None:
-        labelled = ruled.select(F.col(url).alias("url"), (F.col("_rule.verdict") == "block").alias("block"))
+        labelled = ruled.select(given.alias("url"), (F.col("_rule.verdict") == "block").alias("block"))
     model = train(labelled, **options)
     scored = model.score(with_grams(ruled, options.get("spec", Features())))
     by_model = F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")

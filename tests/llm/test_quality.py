@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
 from boardwalk.llm import quality
@@ -65,3 +66,30 @@ def test_long_clean_lines_may_mention_page_furniture(spark):
     rows += [(100 + i, f"{prose}\n{p} now") for i, p in enumerate(phrases)]  # alone in a line it goes
     for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         assert r.kept and (r.lost_words, r.cleaned) == ((0, r.text) if r.doc_id < 100 else (r.n_words - 500, prose)), r.doc_id
+
+
+def test_sql_states_the_rules_of_the_code(spark):
+    long = " ".join(f"word{j}" for j in range(151))
+    lines = [
+        "privacy policy", "see our privacy policy", "read the privacy policy now", f"{long} privacy policy", "click here to click here to go",
+        "Home | News | Sport | Shop", "HOME!! NOW!! GO!!", "a | b", "we use cookies; all rights reserved", "no words of that kind here",
+    ]
+    good = " ".join(f"plain{j}" for j in range(60))
+    rows = [(i, "\n".join([good] + [f"{line} " for line in lines[i % 10 :]] * (1 + i // 10))) for i in range(40)]
+    rows += [(100 + i, line) for i, line in enumerate(lines)] + [(200, None), (201, "")]
+    rows += [(300 + i, f"{good}\n" + "\n".join(f"{line} {k}" for k in range(9))) for i, line in enumerate(lines)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = con.execute(f"select {', '.join(columns)} from ({quality.sql()}) order by doc_id").fetchall()
+    assert sorted(tuple(r[c] for c in columns) for r in got) == want
+    assert {r.doc_id for r in got if r.kept} >= {103} and any(not r.kept for r in got if r.doc_id >= 300)
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["_words", "_lines", "_again", "_caller0", "n words.x", "KEPT"]
+    df = spark.createDataFrame([(1, "a b", *names)], ["doc_id", "text", *names])
+    row = quality.judge(df).first().asDict()
+    assert [row[c] for c in names[:-1]] == names[:-1] and row["kept"] is False and "KEPT" not in row

@@ -67,3 +67,10 @@ def test_one_label_no_label_and_no_rows(spark):
     assert {r["verdict"] for r in urls.judge(df, labelled=one).collect()} == {"block"}
     assert {r["block_probability"] for r in urls.judge(df, labelled=one.limit(0)).collect()} == {0.5}
     assert urls.judge(df.limit(0)).collect() == []
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["_grams", "_hashed", "_probability", "_raw", "_prediction", "_rule", "_host", "label", "Verdict"]
+    rows = [(u, *names) for u in ("http://a.net/es/x", "http://b.com/x", "http://c.org/y", None)]
+    got = urls.judge(spark.createDataFrame(rows, "link string, " + ", ".join(f"{n} string" for n in names)), url="link").collect()
+    assert len(got) == 4 and all([r[n] for n in names[:-1]] == names[:-1] and r["verdict"] in ("allow", "block") for r in got)
