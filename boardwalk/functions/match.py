@@ -17,7 +17,7 @@ from boardwalk.rules import Rule
 
 _SPACES = "[\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 _OTHER_SIGNS = "[^\\x00-\\x7f\u2013\u2014]"
-_BOUNDARY = (
+BOUNDARY = (
     r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 )
 
@@ -39,7 +39,7 @@ def java_pattern(pattern: str, ignore_case: bool = True) -> str:
     out = out.replace("$|", r"\z|")
     if all(ord(ch) < 128 or ch in "\u2013\u2014" for ch in out):
         return ("(?i)" if ignore_case else "") + out
-    return ("(?iu)" if ignore_case else "") + out.replace(r"\b", _BOUNDARY)
+    return ("(?iu)" if ignore_case else "") + out.replace(r"\b", BOUNDARY)
 
 
 def _lower_pattern(pattern: str) -> str:

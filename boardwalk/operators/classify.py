@@ -21,6 +21,7 @@ from boardwalk.functions.match import (
     text_literal,
 )
 from boardwalk.functions.steps import computed
+from boardwalk.operators import dictionary
 from boardwalk.rules import adjacent as adjacent_rules
 from boardwalk.rules import families as rules
 from boardwalk.rules import quiet as quiet_rules
@@ -92,41 +93,9 @@ def extract_skills(df: DataFrame, text: str = "text") -> DataFrame:
     return texts.withColumn("skills", F.array_distinct(found)).drop("_text")
 
 
-def match_dictionary(
-    df: DataFrame, rules_df: DataFrame, key: str, text: str, max_rules: int = 2000
-) -> DataFrame:
-    """Score texts against a user-supplied dictionary (family, pattern, canonical, weight).
-
-    The dictionary is compiled into the plan: its rows are read once (at most
-    ``max_rules``, checked) and become literal patterns, so each text is read once
-    and never multiplied by the number of rules.
-    """
-    rows = rules_df.select("family", "pattern", "canonical", "weight").limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"dictionary holds more than {max_rules} rules")
-    texts = df.select(key, folded(F.col(text)).alias("_text"))
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    hit("_text", r["pattern"]),
-                    F.struct(
-                        F.lit(r["family"]).alias("family"),
-                        F.lit(r["canonical"]).alias("canonical"),
-                        F.lit(int(r["weight"])).alias("weight"),
-                    ),
-                )
-                for r in rows
-            ]
-        )
-    )
-    return (
-        texts.select(key, F.explode(hits).alias("h"))
-        .groupBy(key, F.col("h.family").alias("family"), F.col("h.canonical").alias("canonical"))
-        .agg(F.max("h.weight").alias("weight"))
-        .groupBy(key, "family")
-        .agg(F.sum("weight").alias("score"), F.count("*").alias("skills"))
-    )
+def match_dictionary(df: DataFrame, rules_df: DataFrame, key: str, text: str) -> DataFrame:
+    """Score texts against a user-supplied dictionary (family, pattern, canonical, weight) of any size."""
+    return dictionary.scores(df, rules_df, key, text)
 
 
 # --------------------------------------------------------------------------- family

@@ -203,6 +203,34 @@ def dictionary_match(spark, sf_dir):
     return ops.match_dictionary(docs, table, "doc_id", "text")
 
 
+# One rule for each word of the texts, and one for each beginning of a longer word: tens of thousands.
+_DICT_TOKENS = "select distinct doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) as w from documents"
+_DICT_HITS = (
+    f"with t as ({_DICT_TOKENS}), h as (select doc_id, left(w, 1) as family, w as canonical, length(w) as weight from t where length(w) >= 3 "
+    "union select doc_id, 'plural' as family, left(w, 5) as canonical, 2 as weight from t where length(w) >= 6 and w like '%s')"
+)
+
+
+@register(
+    "dictionary_wide",
+    f"{_DICT_HITS} select doc_id, family, cast(sum(weight) as bigint) as score, count(*) as skills from h group by 1, 2",
+)
+def dictionary_wide(spark, sf_dir):
+    docs = fx.read(spark, sf_dir, "documents")
+    word = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    words = docs.select(word.alias("w")).select(F.lower("w").alias("w")).distinct()
+    each = words.where(F.length("w") >= 3).select(
+        F.left("w", F.lit(1)).alias("family"), F.concat(F.lit(r"\b"), "w", F.lit(r"\b")).alias("pattern"),
+        F.col("w").alias("canonical"), F.length("w").alias("weight"),
+    )
+    stem = F.left("w", F.lit(5))
+    plural = words.where(F.length("w") >= 6).select(
+        F.lit("plural").alias("family"), F.concat(F.lit(r"\b"), stem, F.lit(r"\w*s\b")).alias("pattern"),
+        stem.alias("canonical"), F.lit(2).alias("weight"),
+    )
+    return ops.match_dictionary(docs, each.unionByName(plural), "doc_id", "text")
+
+
 # ---------------------------------------------------------------------- specialization
 
 
