@@ -505,37 +505,95 @@ def unblock(blocked: DataFrame, targets: DataFrame) -> DataFrame:
     return blocked.join(targets, ["provider", "token"], "left_anti")
 
 
-def site_aliases(site_ids: DataFrame) -> DataFrame:
-    """(tenant, site, kept_site): sites of a tenant that list exactly the same ids.
+def site_prints(site_ids: DataFrame) -> DataFrame:
+    """(tenant, site, n, h1, h2): size, sum and xor of two independent 64-bit hashes of a site's distinct ids.
 
-    Equal sets have equal size, sum and xor of two independent 64-bit hashes, all of
-    which add up map-side; ids are never collected.  Sites with equal sums are then
-    compared id by id, so a hash coincidence cannot pass.
+    All of them add up map-side, so ids are never collected.  Sites without an id have no row.
     """
-    ids = site_ids.select("tenant", "site", "id").distinct()
-    prints = ids.groupBy("tenant", "site").agg(
+    return site_ids.where(F.col("id").isNotNull()).select("tenant", "site", "id").distinct().groupBy("tenant", "site").agg(
         F.count("*").alias("n"),
         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h1"),
         F.bit_xor(F.xxhash64(F.lit("b"), "id")).alias("h2"),
     )
-    grouping = ["tenant", "n", "h1", "h2"]
+
+
+_PRINT = ["tenant", "n", "h1", "h2"]
+
+
+def _keepers(prints: DataFrame) -> DataFrame:
+    """The site to keep of each set of ids: a named one before the default address, then the first by name."""
     named = F.when(F.upper("site") == "CX", 1).otherwise(0)
-    kept = prints.groupBy(*grouping).agg(
+    return prints.groupBy(*_PRINT).agg(
         F.min_by("site", F.struct(named, F.col("site"))).alias("kept_site"), F.count("*").alias("_k")
     )
-    pairs = (
-        prints.join(kept.where(F.col("_k") > 1), grouping)
-        .where(F.col("site") != F.col("kept_site"))
-        .select("tenant", "site", "kept_site", "n")
-    )
+
+
+def _proven(pairs: DataFrame, ids: DataFrame, kept_ids: DataFrame) -> DataFrame:
+    """Pairs (tenant, site, kept_site, n) whose ids are equal one by one, so a hash coincidence cannot pass."""
     mine = ids.join(pairs, ["tenant", "site"])
-    theirs = ids.select("tenant", F.col("site").alias("kept_site"), "id").withColumn("_same", F.lit(1))
-    proven = (
+    theirs = kept_ids.select("tenant", F.col("site").alias("kept_site"), "id").withColumn("_same", F.lit(1))
+    both = (
         mine.join(theirs, ["tenant", "kept_site", "id"])
         .groupBy("tenant", "site", "kept_site", "n")
         .agg(F.count("*").alias("_same"))
     )
-    return proven.where(F.col("_same") == F.col("n")).select("tenant", "site", "kept_site")
+    return both.where(F.col("_same") == F.col("n")).select("tenant", "site", "kept_site")
+
+
+def site_aliases(site_ids: DataFrame) -> DataFrame:
+    """(tenant, site, kept_site): sites of a tenant that list exactly the same ids."""
+    ids = site_ids.select("tenant", "site", "id").distinct()
+    prints = site_prints(ids)
+    pairs = (
+        prints.join(_keepers(prints).where(F.col("_k") > 1), _PRINT)
+        .where(F.col("site") != F.col("kept_site"))
+        .select("tenant", "site", "kept_site", "n")
+    )
+    return _proven(pairs, ids, ids)
+
+
+def alias_guard(candidate_ids: DataFrame, registered_ids: DataFrame, registered_prints: DataFrame | None = None) -> DataFrame:
+    """(tenant, site, copy_of): candidate sites that must not be stored, as they list what another site lists.
+
+    Both sides hold (tenant, site, id).  A copy of a registered site goes whatever its name; of
+    copies among the newcomers one stays, by the rule of ``site_aliases``.  Registered sites never
+    go.  A site without ids is a copy of nothing.  ``registered_prints`` are stored ``site_prints``;
+    with them only the ids of sites whose prints agree are read.  Tenants are compared in lower case.
+    """
+    lower = F.lower("tenant").alias("tenant")
+    new = candidate_ids.select(lower, "site", "id").distinct()
+    old = registered_ids.select(lower, "site", "id").distinct()
+    stored = site_prints(old) if registered_prints is None else registered_prints.withColumn("tenant", F.lower("tenant"))
+    twins = site_prints(new).join(_keepers(stored), _PRINT).select("tenant", "site", "kept_site", "n")
+    copies = _proven(twins, new, old)
+    rest = new.join(copies, ["tenant", "site"], "left_anti")
+    return copies.unionByName(site_aliases(rest)).withColumnRenamed("kept_site", "copy_of")
+
+
+def store_discovered(
+    boards: DataFrame, candidates: DataFrame, site_ids: DataFrame, blocked: DataFrame, order: Column, now: Column
+) -> DataFrame:
+    """The registry after discovery: live candidates it did not know, without copies of its sites, stored.
+
+    ``candidates`` carry a ``verdict``; only 'live' ones are stored.  ``site_ids`` (tenant, site, id)
+    tells what the sites of the 'oracle' boards list, registered and new.  Boards switched off as
+    duplicates count as known, so they never come back.
+    """
+    known = known_boards(boards.where("active"), boards.where("not active"))
+    live = candidates.where(F.col("verdict") == "live").drop("verdict")
+    fresh = fresh_boards(live, known, [order])
+
+    def places(df: DataFrame) -> DataFrame:
+        oracle = df.where(F.col("provider") == "oracle")
+        return oracle.select(F.lower("token").alias("tenant"), board_site(F.col("extra")).alias("site")).distinct()
+
+    ids = site_ids.withColumn("tenant", F.lower("tenant"))
+    of = lambda df: ids.join(places(df), ["tenant", "site"], "left_semi")
+    copies = alias_guard(of(fresh), of(boards.where("active"))).select("tenant", F.col("site").alias("_site"))
+    kept = fresh.withColumns(
+        {"tenant": F.when(F.col("provider") == "oracle", F.lower("token")), "_site": board_site(F.col("extra"))}
+    ).join(copies, ["tenant", "_site"], "left_anti")
+    return upsert_boards(boards, kept.select(*fresh.columns), blocked, order, now)
 
 
 def per_provider_gap(candidates: DataFrame, fresh: DataFrame) -> DataFrame:

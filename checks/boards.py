@@ -346,6 +346,59 @@ def board_aliases(spark, sf_dir):
     return registry.site_aliases(fx.from_sql(spark, sf_dir, SITES, "lineitem"))
 
 
+# Registered are sites 0 and 2, and of every third tenant the default address; the others arrive.
+_HELD = "site in ('S0', 'S2') or (site = 'CX' and cast(substr(tenant, 2) as int) % 3 = 0)"
+_GUARD = (
+    f"x as (select distinct * from ({SITES})), s as (select tenant, site, {_HELD} as held, string_agg(id, ',' order by id) as ids from x group by 1, 2, 3), "
+    "k as (select tenant, site, held, first_value(site) over (partition by tenant, ids "
+    "order by case when held then 0 else 1 end, case when upper(site) = 'CX' then 1 else 0 end, site) as copy_of from s), "
+    "g as (select tenant, site, copy_of from k where not held and site <> copy_of)"
+)
+
+
+@register("alias_guard", f"with {_GUARD} select * from g")
+def alias_guard(spark, sf_dir):
+    ids = fx.from_sql(spark, sf_dir, SITES, "lineitem")
+    old = ids.where(_HELD)
+    return registry.alias_guard(ids.where(f"not ({_HELD})"), old, registry.site_prints(old))
+
+
+@register(
+    "discovery_upsert",
+    f"with {_GUARD}, b as (select distinct tenant, site, {_HELD} as held, site = 'S2' and tenant like '%5' as off from x) "
+    "select tenant as token, site, case when off then 'duplicate site of S0' end as last_error, not off as active, 'registry' as company from b where held "
+    "union all select tenant, site, null, true, 'found' from b where not held and tenant <> 't4' "
+    "and not exists (select 1 from g where g.tenant = b.tenant and g.site = b.site) "
+    "union all select distinct 'lv' || tenant, '', null, true, 'found' from b where tenant not in ('t4', 't6')",
+)
+def discovery_upsert(spark, sf_dir):
+    ids = fx.from_sql(spark, sf_dir, SITES, "lineitem")
+    sites = ids.select("tenant", "site").distinct()
+    off = F.expr("site = 'S2' and tenant like '%5'")
+    at = F.create_map(F.lit("site"), F.col("site"))
+    held = sites.where(_HELD).select(
+        F.lit("oracle").alias("provider"), F.col("tenant").alias("token"), F.lit("registry").alias("company"), at.alias("extra"),
+        (~off).alias("active"), F.lit("manual").alias("source"), F.lit(None).cast("string").alias("domain"), F.lit(1).alias("job_count"),
+        F.lit(2).alias("consecutive_failures"), F.when(off, "duplicate site of S0").alias("last_error"), now().alias("last_ok_at"),
+        now().alias("last_crawled_at"), now().alias("verified_at"),
+    )
+    verdict = F.when(F.col("tenant") == "t4", "dead").otherwise("live").alias("verdict")
+    found = sites.select(
+        F.lit("oracle").alias("provider"), F.upper("tenant").alias("token"), F.lit("found").alias("company"), at.alias("extra"), verdict
+    ).unionByName(
+        sites.select("tenant").distinct().select(
+            F.lit("lever").alias("provider"), F.concat(F.lit("lv"), "tenant").alias("token"), F.lit("found").alias("company"),
+            F.lit(None).cast("map<string,string>").alias("extra"), verdict,
+        )
+    )
+    refused = spark.sql("select 'lever' as provider, 'LVt6' as token, 'spam' as reason")
+    out = registry.store_discovered(held, found, ids, refused, F.col("token"), now())
+    return out.select(
+        F.when(F.col("provider") == "oracle", F.lower("token")).otherwise(F.col("token")).alias("token"),
+        url_fn.board_site(F.col("extra")).alias("site"), "last_error", "active", "company",
+    )
+
+
 @register(
     "board_gap",
     f"with {B}, f as (select provider, count(*) as net_new from (select distinct provider, identity from bi where identity not in (select identity from bi where ord % 3 = 0)) group by 1) "
