@@ -264,12 +264,23 @@ def backfill_details(
 def backfill_candidates(
     classified: DataFrame, order: list[Column], review_cap: int | None = None
 ) -> DataFrame:
-    """Rows worth a detail fetch: every classified row, and review rows, at most ``review_cap`` per board."""
-    chosen = classified.where(F.col("core_family").isNotNull())
-    review = classified.where(F.col("family") == "unsorted")
+    """Rows worth a detail fetch: every row with a core family, and of the others those left
+    'unsorted' for review, at most ``review_cap`` per board if given.
+    """
+    core = F.col("core_family").isNotNull()
+    review = classified.where(~core & (F.col("family") == "unsorted"))
     if review_cap is not None:
         review = cap_per_key(review, ["provider", "board_token"], order, review_cap)
-    return chosen.unionByName(review)
+    return classified.where(core).unionByName(review)
+
+
+def fill_candidates(
+    classified: DataFrame, details: DataFrame, order: list[str], review_cap: int | None = None
+) -> DataFrame:
+    """All rows; descriptions and dates filled from ``details`` for those worth a detail fetch."""
+    place = ["provider", "board_token", "external_id"]
+    worth = backfill_candidates(classified, [F.col(c) for c in order], review_cap).select(*place)
+    return backfill_details(classified, details.join(worth, place, "left_semi"), order)
 
 
 def reclassify_outdated(postings: DataFrame, version: str, classify) -> DataFrame:

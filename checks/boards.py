@@ -363,6 +363,33 @@ def alias_guard(spark, sf_dir):
     return registry.alias_guard(ids.where(f"not ({_HELD})"), old, registry.site_prints(old))
 
 
+# A page of each customer's board: an organisation or its code, a brand, a listing title, a careers title.
+_PAGES = (
+    "select c_custkey as id, case c_custkey % 4 when 0 then 'oracle' when 1 then 'eightfold' when 2 then 'icims' else 'lever' end as provider, "
+    "'acme-corp' || cast(c_custkey as string) as token, case when c_custkey % 3 = 0 then c_name when c_custkey % 3 = 1 then 'Acme Corp' || cast(c_custkey as string) end as company, "
+    "case c_custkey % 4 when 0 then case when c_custkey % 5 = 0 then '{\"items\":[{\"organizationsFacet\":[{\"Name\":\"300 - Unit\"}]}]}' "
+    "else '{\"items\":[{\"organizationsFacet\":[{\"Name\":\" Org ' || c_name || '\"}]}]}' end "
+    "when 1 then '{\"branding\":{\"companyName\":\" Brand ' || c_name || ' \"}}' "
+    "when 2 then '<html><title>Careers | Job Listings at Tom &amp; ' || c_name || '</title></html>' "
+    "else case when c_custkey % 5 = 0 then '<title>Page not found</title>' else '<title>Careers at Firm ' || c_name || ' | Jobs</title>' end end as body from customer"
+)
+
+
+@register(
+    "board_names",
+    f"with p as ({_PAGES}) select id, case when company like 'Customer%' then company else coalesce(case id % 4 "
+    "when 0 then case when id % 5 <> 0 then 'Org ' || c_name end when 1 then 'Brand ' || c_name when 2 then 'Tom & ' || c_name "
+    "else case when id % 5 <> 0 then 'Firm ' || c_name end end, company) end as company from p join customer on c_custkey = id",
+)
+def board_names(spark, sf_dir):
+    from boardwalk.plans.names import name_boards
+
+    rows = fx.from_sql(spark, sf_dir, _PAGES, "customer")
+    pages = rows.select("provider", F.upper("token").alias("board_token"), F.explode(F.array(F.lit(2), F.lit(1))).alias("page"), "body")
+    pages = pages.withColumn("body", F.when(F.col("page") == 1, F.col("body")).otherwise("<title>error</title>"))
+    return name_boards(rows.select("id", "provider", "token", "company"), pages).select("id", "company")
+
+
 @register(
     "discovery_upsert",
     f"with {_GUARD}, b as (select distinct tenant, site, {_HELD} as held, site = 'S2' and tenant like '%5' as off from x) "

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from boardwalk.operators import audit, keys, lifecycle, registry, users
 from boardwalk.rules.specializations import CLASSIFICATION_VERSION
+from boardwalk.session import shared_folder
+from boardwalk.sources import landed
 from checks import fixtures as fx
 from checks.classify import CLASSIFIED, spec_sql
 from checks.feed import heavy_postings, postings
@@ -227,6 +229,40 @@ def detail_backfill(spark, sf_dir):
     return lifecycle.backfill_details(listed, details, ["pos"]).select("key", "description", "posted_at")
 
 
+_SORTED = "case when ord % 4 = 0 then family end as core_family, case when ord % 3 = 1 then 'unsorted' else family end as sorted_as"
+
+
+@register(
+    "review_details",
+    fx.with_postings_cte(
+        f"c as (select *, {_SORTED} from postings), r as (select key, row_number() over (partition by provider, board_token order by ord) as rn "
+        "from c where core_family is null and sorted_as = 'unsorted'), "
+        "t as (select key from c where core_family is not null union all select key from r where rn <= 3)",
+        "select c.key, case when t.key is not null and ord % 5 <> 0 then 'Detail ' || cast(ord as varchar) end as description from c left join t on t.key = c.key",
+    ),
+)
+def review_details(spark, sf_dir):
+    p = postings(spark, sf_dir).selectExpr("*", _SORTED.split(", case")[0], "case" + _SORTED.split(", case")[1])
+    listed = p.select(
+        "key", "provider", "board_token", F.col("ord").cast("string").alias("external_id"), F.lit(None).cast("string").alias("description"),
+        "posted_at", "ord", "core_family", F.col("sorted_as").alias("family"),
+    )
+    details = p.where(F.col("ord") % 5 != 0).select(
+        "provider", "board_token", F.col("ord").cast("string").alias("external_id"),
+        F.concat(F.lit("Detail "), F.col("ord").cast("string")).alias("description"), F.col("first_seen_at").alias("posted_at"),
+    )
+    return lifecycle.fill_candidates(listed, details, ["ord"], review_cap=3).select("key", "description")
+
+
+@register("feed_snapshot", fx.with_postings_cte("s as (select * from postings)", "select key, title, company, salary_max, posted_at, closed_at from s"))
+def feed_snapshot(spark, sf_dir):
+    """The whole feed written as one snapshot and read back by its schema."""
+    rows = postings(spark, sf_dir).select("key", "title", "company", "salary_max", "posted_at", "closed_at")
+    path = shared_folder(spark, "snapshot")
+    landed.write_snapshot(rows, path)
+    return landed.read_snapshot(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+
+
 _OLD = "case when ord % 3 = 0 then 'spec-2' when ord % 3 = 1 then 'spec-1' end"
 
 

@@ -561,6 +561,33 @@ def html_to_text(spark, sf_dir):
     return pages.select("page_id", text.strip_html(F.col("html")).alias("text"))
 
 
+# Entities of every kind, some of them escaped twice, planted in whole pages.
+_ENTITY = r"&(?:#x?[0-9a-fA-F]+|[a-zA-Z]+);"
+_PLANTED = (
+    "select page_id, replace(replace(replace(html, '&middot;', '&#183;&eacute;&nosuch;'), '<p>', '&amp;lt;p&amp;gt;&#x41;&#X;'), '</p>', '&amp;amp;amp;copy; & &') as raw from pages"
+)
+
+
+def _decoded_sql(column: str) -> str:
+    """DuckDB: one pass over the entities, from left to right; numbers up to six digits."""
+    named = " ".join(f"when {quote('&' + k + ';')} then {quote(v)}" for k, v in label_rules.ENTITIES.items())
+    return (
+        f"array_to_string(list_transform(regexp_extract_all({column}, '{_ENTITY}|&|[^&]+'), lambda e: case e {named} else "
+        "case when regexp_matches(e, '^&#[0-9]{1,6};$') then chr(cast(e[3:-2] as int)) "
+        "when regexp_matches(e, '^&#x[0-9a-fA-F]{1,4};$') then chr(cast('0x' || e[4:-2] as int)) else e end end), '')"
+    )
+
+
+@register(
+    "entity_decode",
+    f"with s as ({_PLANTED}), a as (select page_id, {_decoded_sql('raw')} as x from s), b as (select page_id, {_decoded_sql('x')} as x from a) "
+    f"select page_id, {_decoded_sql('x')} as text from b",
+)
+def entity_decode(spark, sf_dir):
+    df = fx.from_sql(spark, sf_dir, _PLANTED, "pages")
+    return df.select("page_id", text.decode_entities(F.col("raw")).alias("text"))
+
+
 URL_HOSTS = [
     "https://boards.greenhouse.io/{t}/jobs/1", "https://boards-api.greenhouse.io/v1/boards/{t}/jobs",
     "https://jobs.lever.co/{t}/abc", "https://api.lever.co/v0/postings/{t}?mode=json",
