@@ -145,68 +145,129 @@ def default_shapes(families: list[str], countries: list[str]) -> list[tuple]:
     ]
 
 
-def snapshot(postings: DataFrame, shapes: list[tuple], now: str, max_age_days: int) -> DataFrame:
-    """Facets of every default shape: (shape_key, dim, value, n, computed_at).
+CELL = [f"_v_{d}" for d in OWN_FILTER]
 
-    Postings are first reduced to distinct combinations of the counted values.  Only
-    those combinations, not the postings, are then set against the fixed shape list.
-    """
-    scoped = postings.where(
-        F.col("closed_at").isNull()
-        & F.col("family").isNotNull()
-        & dated_since(before(now, max_age_days))
-    )
+
+def in_scope(now: str, max_age_days: int) -> Column:
+    """Rows that stored views count."""
+    return F.col("closed_at").isNull() & F.col("family").isNotNull() & dated_since(before(now, max_age_days))
+
+
+def cells(postings: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Postings reduced to distinct combinations of the counted values; ``c`` sums their weights (1 each)."""
     values = {f"_v_{d}": v for d, v in facet_values().items()}
     solid = F.coalesce("ghost_risk", F.lit(0.0)) < GHOST_LIMIT
-    cells = (
-        scoped.select(*[v.alias(n) for n, v in values.items()], solid.alias("_solid"))
-        .groupBy(*values, "_solid")
-        .agg(F.count("*").alias("c"))
-    )
-    shape = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(key).alias("shape_key"),
-                    F.lit(family).cast("string").alias("family"),
-                    F.lit(country).cast("string").alias("country"),
-                    F.lit(ghosts).alias("ghosts"),
-                )
-                for key, family, country, ghosts in shapes
-            ]
-        )
+    one = F.lit(1) if weight is None else weight
+    return (
+        postings.select(*[v.alias(n) for n, v in values.items()], solid.alias("_solid"), one.cast("bigint").alias("_w"))
+        .groupBy(*CELL, "_solid")
+        .agg(F.sum("_w").alias("c"))
     )
-    wide = cells.withColumn("s", shape).where(~F.col("s.ghosts") | F.col("_solid"))
-    core = F.col("_v_adjacent") == "core"
-    family_ok = F.col("s.family").isNull() | (F.col("_v_family") == F.col("s.family"))
-    sorted_ok = F.col("_v_family") != "unsorted"
-    country_ok = F.col("s.country").isNull() | (F.col("_v_country") == F.col("s.country"))
-    ok = {
-        "family": core & country_ok,
-        "country": core & family_ok & sorted_ok,
-        "adjacent": family_ok & sorted_ok & country_ok,
-    }
-    rest = core & family_ok & sorted_ok & country_ok
-    entries = [
-        F.when(
-            _flag(ok.get(d, rest)) & F.col(f"_v_{d}").isNotNull(), _entry(d, F.col(f"_v_{d}"))
-        )
-        for d in OWN_FILTER
-    ]
-    entries.append(
-        F.when(_flag(ok["country"]) & F.col("_v_country").isNull(), _entry(COUNTRY_UNKNOWN, F.lit("")))
+
+
+def _reached(cell_counts: DataFrame) -> DataFrame:
+    """(kind, family, country, ghosts, dim, value, n): each cell in the views it can be in, at most 16.
+
+    A view's family facet ignores its family and its country facet its country, so these are counted
+    once for all views that differ in nothing else (kinds 'family' and 'country'; 'rest' are the others).
+    """
+    core, sorted_in = F.col("_v_adjacent") == "core", F.col("_v_family") != "unsorted"
+    in_country, none = F.col("_v_country").isNotNull(), F.lit(None).cast("string")
+    spots = []
+    for ghosts in (False, True):
+        for family in (none, F.col("_v_family")):
+            for country, there in ((none, F.lit(True)), (F.col("_v_country"), in_country)):
+                spots.append(F.when(sorted_in & there, F.struct(*_spot("rest", family, country, ghosts))))
+            spots.append(F.when(sorted_in & core, F.struct(*_spot("country", family, none, ghosts))))
+        for country, there in ((none, F.lit(True)), (F.col("_v_country"), in_country)):
+            spots.append(F.when(core & there, F.struct(*_spot("family", none, country, ghosts))))
+    placed = cell_counts.withColumn("s", F.explode(F.array_compact(F.array(*spots)))).where(
+        ~F.col("s.ghosts") | F.col("_solid")
     )
-    counted = (
-        wide.select(
-            F.col("s.shape_key").alias("shape_key"), "c",
-            F.explode(F.array_compact(F.array(*entries))).alias("e"),
-        )
-        .groupBy("shape_key", F.col("e.dim").alias("dim"), F.col("e.value").alias("value"))
+    entries = []
+    for d in OWN_FILTER:
+        kind = d if d in ("family", "country") else "rest"
+        own = (F.col("s.kind") == kind) & F.col(f"_v_{d}").isNotNull()
+        entries.append(F.when(own if d == "adjacent" else own & core, _entry(d, F.col(f"_v_{d}"))))
+    unknown = (F.col("s.kind") == "country") & F.col("_v_country").isNull()
+    entries.append(F.when(unknown, _entry(COUNTRY_UNKNOWN, F.lit(""))))
+    return (
+        placed.select("s.*", "c", F.explode(F.array_compact(F.array(*entries))).alias("e"))
+        .groupBy(*SPOT, F.col("e.dim").alias("dim"), F.col("e.value").alias("value"))
         .agg(F.sum("c").alias("n"))
     )
+
+
+SPOT = ["kind", "family", "country", "ghosts"]
+
+
+def _spot(kind: str, family: Column, country: Column, ghosts: bool) -> list[Column]:
+    return [F.lit(kind).alias("kind"), family.alias("family"), country.alias("country"), F.lit(ghosts).alias("ghosts")]
+
+
+def view_counts(cell_counts: DataFrame, shapes: list[tuple]) -> DataFrame:
+    """(shape_key, dim, value, n) of every shape from cells, whose counts may be negative.
+
+    Cells never meet the shapes: their sums, one for each view and value, do.
+    """
+    text = lambda x: F.lit(x).cast("string")
+    views = [
+        F.struct(F.lit(key).alias("shape_key"), *_spot(kind, text(f), text(c), ghosts))
+        for key, family, country, ghosts in shapes
+        for kind, f, c in (("rest", family, country), ("family", None, country), ("country", family, None))
+    ]
+    one = cell_counts.sparkSession.range(1)
+    listed = F.broadcast(one.select(F.inline(F.array(*views))))  # three rows for each given shape
+    found = _reached(cell_counts)
+    same = [found[name].eqNullSafe(listed[name]) for name in SPOT]
+    joined = found.join(listed, reduce(lambda a, b: a & b, same))
+    return joined.groupBy("shape_key", "dim", "value").agg(F.sum("n").alias("n"))
+
+
+def snapshot(postings: DataFrame, shapes: list[tuple], now: str, max_age_days: int) -> DataFrame:
+    """Facets of every default shape: (shape_key, dim, value, n, computed_at).
+
+    Postings are first reduced to distinct combinations of the counted values, and each of
+    those goes only to the views it is in.
+    """
+    counted = view_counts(cells(postings.where(in_scope(now, max_age_days))), shapes)
     return _with_zero(counted, [s[0] for s in shapes]).withColumn("computed_at", ts(now))
 
 
+def snapshot_change(
+    stored: DataFrame, old: DataFrame, new: DataFrame, rest: DataFrame, shapes: list[tuple],
+    then: str, now: str, max_age_days: int,
+) -> DataFrame:
+    """The snapshot at ``now`` from the one at ``then``, without counting the table again.
+
+    ``old`` and ``new`` are the changed part of the table as it was and as it is, ``rest`` is what did not
+    change; of that only rows between the two age limits are read, as time alone moves them in or out.
+    Equal to ``snapshot`` of ``new`` and ``rest`` at ``now``.  Values that no row has any more go, but for
+    the count of unknown countries.  ``stored`` must hold the same shapes.
+    """
+    was, is_in = _flag(in_scope(then, max_age_days)), _flag(in_scope(now, max_age_days))
+    first = F.least(before(then, max_age_days), before(now, max_age_days))
+    last = F.greatest(before(then, max_age_days), before(now, max_age_days))
+    dated = F.col("posted_at")
+    seen = F.col("first_seen_at")
+    between = ((dated >= first) & (dated < last)) | (dated.isNull() & (seen >= first) & (seen < last))
+    sign = is_in.cast("int") - was.cast("int")
+    needed = ["family", "country", "remote_type", "provider", "seniority", "matched_skills", "specialization", "adjacent", "ghost_risk"]
+    parts = [
+        old.where(was).select(*needed, F.lit(-1).alias("_sign")),
+        new.where(is_in).select(*needed, F.lit(1).alias("_sign")),
+        rest.where(F.col("closed_at").isNull() & between).select(*needed, sign.alias("_sign")).where("_sign <> 0"),
+    ]
+    moved = cells(parts[0].unionByName(parts[1]).unionByName(parts[2]), F.col("_sign")).where("c <> 0")
+    delta = view_counts(moved, shapes)
+    merged = (
+        stored.select("shape_key", "dim", "value", "n").unionByName(delta)
+        .groupBy("shape_key", "dim", "value").agg(F.sum("n").alias("n"))
+    )
+    kept = merged.where((F.col("n") != 0) | (F.col("dim") == COUNTRY_UNKNOWN))
+    return kept.withColumn("computed_at", ts(now))
+
+
 def snapshot_key(f: FeedQuery, families: list[str], countries: list[str]) -> str | None:
     """Key of the stored view that answers the query, or None."""
     if not f.is_default_except("family", "country", "hide_ghosts"):

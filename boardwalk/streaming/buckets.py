@@ -60,6 +60,14 @@ class BucketedPostings:
         """The table, or its open rows, whose readers never touch the files of closed ones."""
         return self._rows([p for p in self.manifest(version) if not (open_only and p["closed"])])
 
+    def open_changes(self, since: int, version: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Open rows of the buckets rewritten after ``since``: as they were and as they are; and all other open rows."""
+        was = [p for p in self.manifest(since) if not p["closed"]]
+        now = [p for p in self.manifest(version) if not p["closed"]]
+        same = {(p["bucket"], p["wrote"]) for p in was} & {(p["bucket"], p["wrote"]) for p in now}
+        left = lambda parts: [p for p in parts if (p["bucket"], p["wrote"]) not in same]
+        return self._rows(left(was)), self._rows(left(now)), self._rows([p for p in now if (p["bucket"], p["wrote"]) in same])
+
     def concerned(self, batch: DataFrame, healthy: DataFrame | None) -> set[int]:
         """Buckets of the batch's boards and of boards read healthily; none for an empty batch."""
         own = batch.select(self.layout.bucket().alias("bucket")).distinct()

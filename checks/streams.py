@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from boardwalk.session import shared_folder
 from boardwalk.streaming import jobs
 from boardwalk.streaming.buckets import BucketedPostings, Layout, run_log
+from boardwalk.streaming.snapshots import StoredFacets
 from boardwalk.streaming.tables import VersionedTable
 from checks import fixtures as fx
 from checks.boards import B, boards
+from checks.feed import SHAPES, WINDOW, postings, snapshot_sql
 from checks.registry import register
 
 # An outcome for each order: a crawl is a month, and a board may answer, refuse or be gone.
@@ -80,8 +82,6 @@ FOLD = (
 
 def written_path(spark, sf_dir, purge: bool):
     """The store after all five crawls."""
-    from checks.feed import postings
-
     p = postings(spark, sf_dir)
     seen, runs = spark.sql(SEEN, p=p), spark.sql(RUNS, p=p)
     store = BucketedPostings(spark, shared_folder(spark, "postings"), STATE, Layout(buckets=16))
@@ -122,3 +122,79 @@ LAST = "timestamp '2001-01-17 00:00:00'"
 def write_path_run_log(spark, sf_dir):
     store = written_path(spark, sf_dir, False)
     return run_log(fx.outcomes(spark, sf_dir), store.facts(4), "2001-01-17 00:00:00", "2001-01-17 01:00:00")
+
+
+# What the views count: the place of work changes from crawl to crawl, the rest stays.
+COUNTED = "posted_at, country, family, provider, seniority, matched_skills, specialization, adjacent, ghost_risk"
+WORKPLACE = "case when (ord + i) % 4 = 0 then 'hybrid' else coalesce(remote_type, 'onsite') end"
+COUNTED_STATE = STATE + (
+    ", posted_at timestamp_ntz, country string, family string, seniority string, matched_skills array<string>, "
+    "specialization string, adjacent boolean, ghost_risk double, remote_type string"
+)
+VIEWED = (
+    f", w as (select key, {COUNTED}, arg_max({WORKPLACE}, i) as remote_type from s join "
+    f"(select key, ord, remote_type, {COUNTED} from postings) using (key, provider) group by all), "
+    "live as (select w.*, c.first_seen_at, c.closed_at from w join c using (key))"
+)
+
+
+def views_sql() -> str:
+    window = WINDOW.replace(fx.NOW, "2001-01-17 00:00:00")
+    assert window != WINDOW
+    return snapshot_sql().replace(WINDOW, window).replace("from postings", "from live")
+
+
+@register("facets_by_change", fx.with_postings_cte(FOLD + VIEWED, views_sql()))
+def facets_by_change(spark, sf_dir):
+    """Views kept over five crawls, of which the last four count only what changed."""
+    p = postings(spark, sf_dir)
+    wide = p.select("key", "ord", "remote_type", *[c for c in COUNTED.split(", ") if c != "provider"])
+    seen = spark.sql(SEEN, p=p).join(wide, "key").withColumn("remote_type", F.expr(WORKPLACE)).drop("ord")
+    runs = spark.sql(RUNS, p=p)
+    store = BucketedPostings(spark, shared_folder(spark, "postings"), COUNTED_STATE, Layout(buckets=16))
+    views = StoredFacets(spark, shared_folder(spark, "views"), SHAPES, fx.WIDE_DAYS)
+    for i in range(5):
+        now = datetime(2001, 1, 1) + timedelta(days=4 * i)
+        healthy = runs.where(F.col("i") == i).select("provider", "board_token")
+        store.apply(i, seen.where(F.col("i") == i).drop("seen_at", "i"), healthy, now)
+        views.refresh(store, i, str(now))
+        store.forget_before(i)
+    return views.latest().drop("computed_at")
+
+
+# A crawl each hour; every fourth finds the window of the last full pass closed and opens the next one.
+HOURLY = (
+    "select timestamp '2001-01-01 00:00:00' + (event_id % 12) * interval '1' hour as tm, event_type as reason, "
+    "'t' || cast(user_id % 40 + 7 * (event_id % 12) as string) as title, count(*) as n, "
+    "min('c' || cast(user_id as string)) as sample_company from events group by 1, 2, 3"
+)
+
+
+def full_hours() -> list[int]:
+    """The hours whose crawls are full passes, by the rule itself told one by one."""
+    found, opened = [], None
+    for hour in range(12):
+        at = datetime(2001, 1, 1) + timedelta(hours=hour)
+        full, opened = is_full_pass(opened, at)
+        found += [hour] if full else []
+    return found
+
+
+@register(
+    "stream_tally",
+    f"with b as ({HOURLY}), f as (select reason, title, min(tm) as first_seen_at from b group by 1, 2), "
+    "p as (select tm, min(tm) over () as opened from (select distinct tm from b)), "
+    "u as (select b.*, f.first_seen_at from b join f using (reason, title) join p using (tm) "
+    f"where tm <= opened + interval '{WINDOW_MINUTES}' minute or tm = f.first_seen_at) "
+    "select reason, title, cast(sum(n) as bigint) as n, arg_min(sample_company, tm) as sample_company, "
+    "min(tm) as first_seen_at, max(tm) as last_seen_at from u group by 1, 2",
+)
+def stream_tally(spark, sf_dir):
+    heard = fx.from_sql(spark, sf_dir, HOURLY, "events").withColumn("tm", F.col("tm").cast("timestamp_ntz"))
+    state = shared_folder(spark, "tally")
+    folder = in_files(spark, heard, "tm")
+    stream = spark.readStream.schema(heard.schema).parquet(folder)
+    table = VersionedTable(spark, f"{state}/tally", EXCLUSIONS)
+    marker = VersionedTable(spark, f"{state}/opened", "window_started_at timestamp_ntz")
+    jobs.tally_stream(stream, table, marker, f"{state}/checkpoint", at="tm").awaitTermination()
+    return table.latest()
