@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from boardwalk.schemas import EXCLUSIONS
 from boardwalk.session import shared_folder
 from boardwalk.streaming import jobs
 from boardwalk.streaming.buckets import BucketedPostings, Layout, run_log
@@ -162,38 +163,28 @@ def facets_by_change(spark, sf_dir):
     return views.latest().drop("computed_at")
 
 
-# A crawl each hour; every fourth finds the window of the last full pass closed and opens the next one.
-HOURLY = (
-    "select timestamp '2001-01-01 00:00:00' + (event_id % 12) * interval '1' hour as tm, event_type as reason, "
+# Four full passes, a year apart, of three crawls each: the third comes after the pass's window and is a quick one.
+TALLIED = (
+    "select timestamp '2001-01-01 00:00:00' + cast(floor((event_id % 12) / 3) as int) * interval '366' day "
+    "+ cast(event_id % 3 as int) * interval '20' minute as tm, event_type as reason, "
     "'t' || cast(user_id % 40 + 7 * (event_id % 12) as string) as title, count(*) as n, "
     "min('c' || cast(user_id as string)) as sample_company from events group by 1, 2, 3"
 )
 
 
-def full_hours() -> list[int]:
-    """The hours whose crawls are full passes, by the rule itself told one by one."""
-    found, opened = [], None
-    for hour in range(12):
-        at = datetime(2001, 1, 1) + timedelta(hours=hour)
-        full, opened = is_full_pass(opened, at)
-        found += [hour] if full else []
-    return found
-
-
 @register(
     "stream_tally",
-    f"with b as ({HOURLY}), f as (select reason, title, min(tm) as first_seen_at from b group by 1, 2), "
-    "p as (select tm, min(tm) over () as opened from (select distinct tm from b)), "
-    "u as (select b.*, f.first_seen_at from b join f using (reason, title) join p using (tm) "
-    f"where tm <= opened + interval '{WINDOW_MINUTES}' minute or tm = f.first_seen_at) "
+    f"with b as ({TALLIED}), f as (select reason, title, min(tm) as first_seen_at from b group by 1, 2), "
+    "u as (select b.*, f.first_seen_at from b join f using (reason, title) "
+    "where tm - date_trunc('day', tm) <= interval '30' minute or tm = f.first_seen_at) "
     "select reason, title, cast(sum(n) as bigint) as n, arg_min(sample_company, tm) as sample_company, "
     "min(tm) as first_seen_at, max(tm) as last_seen_at from u group by 1, 2",
 )
 def stream_tally(spark, sf_dir):
-    heard = fx.from_sql(spark, sf_dir, HOURLY, "events").withColumn("tm", F.col("tm").cast("timestamp_ntz"))
+    heard = fx.from_sql(spark, sf_dir, TALLIED, "events").withColumn("tm", F.col("tm").cast("timestamp_ntz"))
     state = shared_folder(spark, "tally")
     folder = in_files(spark, heard, "tm")
-    stream = spark.readStream.schema(heard.schema).parquet(folder)
+    stream = spark.readStream.schema(heard.schema).option("maxFilesPerTrigger", 2).parquet(folder)
     table = VersionedTable(spark, f"{state}/tally", EXCLUSIONS)
     marker = VersionedTable(spark, f"{state}/opened", "window_started_at timestamp_ntz")
     jobs.tally_stream(stream, table, marker, f"{state}/checkpoint", at="tm").awaitTermination()
