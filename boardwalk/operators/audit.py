@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from boardwalk.functions.match import folded, hit
 from boardwalk.functions.text import audit_title
 from boardwalk.operators.classify import UNMATCHED
+from boardwalk.schemas import EXCLUSIONS
 
 FULL_PASS_HOURS = 20
 WINDOW_MINUTES = 30
@@ -71,33 +72,48 @@ def is_full_pass(window_started, now) -> tuple[bool, object]:
     return now - window_started <= timedelta(minutes=WINDOW_MINUTES), window_started
 
 
-def replay_tally(tallies: DataFrame, passes: DataFrame) -> DataFrame:
-    """Exclusions table after many tallies at once: the fold of ``merge_tally``.
-
-    ``tallies`` is (at, reason, title, n, sample_company), ``passes`` (at, full).
-    The first tally of a title inserts it whatever the pass; later ones count only on
-    full passes.  Passes are one row per crawl.
-    """
-    per_batch = (
+def _per_crawl(tallies: DataFrame) -> DataFrame:
+    """(reason, title, at, n, sample): a crawl's rows of one title added up; rows without either are dropped."""
+    return (
         tallies.where(F.coalesce(F.length("title") > 0, F.lit(False)) & F.col("reason").isNotNull())
         .groupBy("reason", "title", "at")
         .agg(F.sum("n").alias("n"), F.min("sample_company").alias("sample"))
     )
-    first = per_batch.groupBy("reason", "title").agg(F.min("at").alias("first_seen_at"))
-    joined = per_batch.join(first, ["reason", "title"]).join(passes, "at")
-    counts = F.col("full") | (F.col("at") == F.col("first_seen_at"))
-    return (
-        joined.where(counts)
-        .groupBy("reason", "title")
-        .agg(
-            F.sum("n").alias("n"),
-            F.min_by("sample", F.when(F.col("sample").isNotNull(), F.col("at"))).alias("sample_company"),
-            F.min("at").alias("first_seen_at"),
-            F.max("at").alias("last_seen_at"),
-        )
+
+
+def fold_tallies(table: DataFrame, tallies: DataFrame, passes: DataFrame) -> DataFrame:
+    """The exclusions table after any number of crawls: the fold of ``merge_tally`` in one join.
+
+    ``tallies`` is (at, reason, title, n, sample_company), ``passes`` (at, full), one row per crawl,
+    all later than what ``table`` holds.  Full passes count; of the others only the one that brings a
+    title for the first time does.  Crawls of a title add up before the shuffle, so a title that
+    every crawl names costs no more than any other.
+    """
+    full = F.col("full")
+    named = F.when(full & F.col("sample").isNotNull(), F.col("at"))
+    heard = _per_crawl(tallies).join(passes, "at").groupBy("reason", "title").agg(
+        F.sum(F.when(full, F.col("n"))).alias("_full_n"),
+        F.max(F.when(full, F.col("at"))).alias("_full_at"),
+        F.min_by("sample", named).alias("_full_sample"),
+        F.min("at").alias("_first_at"),
+        F.min_by(F.struct("n", "full", "sample"), "at").alias("_first"),
+    )
+    new = F.col("n").isNull()
+    brought = F.when(new & ~F.col("_first.full"), F.col("_first.n"))
+    total = F.coalesce("n", F.lit(0)) + F.coalesce("_full_n", F.lit(0)) + F.coalesce(brought, F.lit(0))
+    return table.join(heard, ["reason", "title"], "full_outer").select(
+        "reason", "title", total.cast("bigint").alias("n"),
+        F.coalesce(F.col("sample_company"), F.when(new, F.col("_first.sample")), F.col("_full_sample")).alias("sample_company"),
+        F.when(new, F.col("_first_at")).otherwise(F.col("first_seen_at")).alias("first_seen_at"),
+        F.greatest(F.col("last_seen_at"), F.when(new, F.col("_first_at")), F.col("_full_at")).alias("last_seen_at"),
     )
 
 
+def replay_tally(tallies: DataFrame, passes: DataFrame) -> DataFrame:
+    """Exclusions table after many tallies at once, from nothing."""
+    return fold_tallies(tallies.sparkSession.createDataFrame([], EXCLUSIONS), tallies, passes)
+
+
 def exclusion_report(exclusions: DataFrame) -> DataFrame:
     """(reason, n, share, titles): share of all discards in percent."""
     by_reason = exclusions.groupBy("reason").agg(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from boardwalk.operators.audit import is_full_pass, merge_tally
+from boardwalk.operators.audit import fold_tallies, is_full_pass
 from boardwalk.operators.lifecycle import dedupe_batch, healthy_boards, merge_batch, purge_closed
 from boardwalk.operators.registry import fold_outcomes
 from boardwalk.session import checkpoint as cut
@@ -110,11 +110,17 @@ def tally_stream(
             return
         stored = marker.before(batch_id).first()
         opened: datetime | None = stored["window_started_at"] if stored else None
-        state = table.before(batch_id)
-        for when, tally in _by_crawl(batch, at):
-            full, opened = is_full_pass(opened, when)
-            state = cut(merge_tally(state, tally, F.lit(when).cast("timestamp_ntz"), full))
-        table.write(batch_id, state)
+        rows = batch.where(F.col(at).isNotNull()).persist()
+        try:
+            passes = []
+            for when, in rows.select(at).distinct().orderBy(at).collect():  # one time for each crawl
+                full, opened = is_full_pass(opened, when)
+                passes.append((when, full))
+            told = table.spark.createDataFrame(passes, "at timestamp_ntz, full boolean")
+            tallies = rows.select("reason", "title", "n", "sample_company", F.col(at).cast("timestamp_ntz").alias("at"))
+            table.write(batch_id, fold_tallies(table.before(batch_id), tallies, told))
+        finally:
+            rows.unpersist()
         row = table.spark.createDataFrame([(opened,)], "window_started_at timestamp_ntz")
         marker.write(batch_id, row)
         for each in (table, marker):

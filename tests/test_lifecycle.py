@@ -1,12 +1,13 @@
 """State over time: folds, replays and streams agree."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from boardwalk.operators import audit, keys, lifecycle, registry, users
-from boardwalk.schemas import FeedQuery
+from boardwalk.schemas import EXCLUSIONS, FeedQuery
 from boardwalk.streaming import jobs
 from boardwalk.streaming.tables import VersionedTable
 
@@ -215,6 +216,30 @@ def test_tally_stream_two_speeds(spark, tmp_path, files):
     assert got == {"t": (30, "c"), "new": (3, "d")}
 
 
+@pytest.mark.parametrize("cuts", [[], [3], [2, 5]])
+def test_tallies_of_many_crawls_equal_the_fold(spark, cuts):
+    rng = random.Random(11)
+    ddl = "at timestamp_ntz, reason string, title string, n long, sample_company string"
+    rows = [
+        (T0 + timedelta(days=d), "r", f"t{rng.randint(0, 5)}" if rng.random() < 0.9 else rng.choice(["", None]),
+         rng.randint(1, 9), rng.choice(["a", "b", None]))
+        for d in range(8) for _ in range(4)
+    ]
+    passes = [(T0 + timedelta(days=d), rng.random() < 0.5) for d in range(8)]
+    one_by_one = spark.createDataFrame([], EXCLUSIONS)
+    for at, full in passes:
+        crawl = spark.createDataFrame([r for r in rows if r[0] == at], ddl)
+        step = audit.merge_tally(one_by_one, crawl, F.lit(at).cast("timestamp_ntz"), full)
+        one_by_one = spark.createDataFrame(step.collect(), EXCLUSIONS)
+    table, edges = spark.createDataFrame([], EXCLUSIONS), [0, *cuts, 8]
+    for a, b in zip(edges, edges[1:]):
+        part = [p for p in passes[a:b]]
+        told = spark.createDataFrame(part, "at timestamp_ntz, full boolean")
+        heard = spark.createDataFrame([r for r in rows if part[0][0] <= r[0] <= part[-1][0]], ddl)
+        table = spark.createDataFrame(audit.fold_tallies(table, heard, told).collect(), EXCLUSIONS)
+    assert sorted(map(tuple, table.collect()), key=str) == sorted(map(tuple, one_by_one.collect()), key=str)
+
+
 def test_full_pass_window():
     assert audit.is_full_pass(None, T0) == (True, T0)
     assert audit.is_full_pass(T0, T0 + timedelta(minutes=30)) == (True, T0)
