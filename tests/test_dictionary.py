@@ -80,3 +80,36 @@ def test_no_rule_passes_through_the_driver(spark):
     df = spark.range(200).selectExpr("id", "concat('w', id * 7, ' and w', id, ' x w', id + 49900) as body")
     got = {r.id: r.skills for r in classify.match_dictionary(df, rules, "id", "body").collect()}
     assert got == {i: len({x for x in (i * 7, i, i + 49900) if x < 50_000}) for i in range(200)}
+
+
+def test_patterns_inside_one_word_are_settled_on_words(spark):
+    """Texts are not read again for them, however many words hold the piece."""
+    patterns = [r"\bkube\w*\b", r"\bkube\w*s\b", "kube", r"\bkube(s|ctl)?\b", r"kube\w* x", r"\bkub(?=e)"]
+    table = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    words = spark.createDataFrame([(w, 1) for w in ("kube", "kubes", "kubectl", "minikube", "x")], "token string, n long")
+    found, _ = dictionary.anchors(table, words)
+    got = {(r.pattern, r.token) for r in found.where("sure").collect()}
+    assert got == {
+        *((patterns[0], w) for w in ("kube", "kubes", "kubectl")), (patterns[1], "kubes"),
+        *(("kube", w) for w in ("kube", "kubes", "kubectl", "minikube")), *((patterns[3], w) for w in ("kube", "kubes", "kubectl")),
+    }
+    assert {r.pattern for r in found.where("not sure").collect()} == {r"kube\w* x", r"\bkub(?=e)"}
+
+
+def test_long_pieces_share_their_beginning(spark):
+    table = spark.createDataFrame([(r"\binfrastructures?\b",), (r"\binfrastructural\w+\b",)], "pattern string")
+    words = spark.createDataFrame([("infrastructure", 1), ("infrastructurally", 1), ("infrastr", 1)], "token string, n long")
+    found, _ = dictionary.anchors(table, words)
+    assert {(r.pattern, r.token, r.sure) for r in found.collect()} == {
+        (r"\binfrastructures?\b", "infrastructure", True), (r"\binfrastructural\w+\b", "infrastructurally", True)
+    }
+
+
+def test_words_are_those_of_folded_texts(spark):
+    from pyspark.sql import functions as F
+
+    from boardwalk.functions.match import folded
+
+    df = spark.createDataFrame([(t,) for t in [*TEXTS, "Kelvin İstanbul A–B a c A_1 a_1", "É1é"]], "body string")
+    rows = df.select(F.sort_array(dictionary.tokens(folded(F.col("body")))), F.sort_array(dictionary._plain_tokens(F.col("body")))).collect()
+    assert all(a == b for a, b in rows)
