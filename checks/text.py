@@ -315,9 +315,8 @@ def annualise_structured(spark, sf_dir):
 
 @register("salary_parse")
 def salary_parse(spark, sf_dir):
-    found = pay.salary_from_text(F.col("description"))
-    df = postings(spark, sf_dir).select("key", found.alias("s"))
-    return df.select("key", "s.min", "s.max", "s.currency")
+    df = pay.with_salary(postings(spark, sf_dir).select("key", "description"), "description")
+    return df.select("key", "parsed_pay.min", "parsed_pay.max", "parsed_pay.currency")
 
 
 PAY_SUMMARIES = ["$120K – $150K", "€90,000", "£1.2M • Offers Equity", "Competitive", "$5K", "$95.5K - 110000", "", None]

@@ -28,3 +28,13 @@ def test_verdicts_of_repeated_rows_are_those_of_single_rows(spark):
     single = classify.verdicts(df).drop("title", "description")
     names = sorted(single.columns)
     assert sorted(classify.classify_postings(df).select(*names).collect(), key=str) == sorted(single.select(*names).collect(), key=str)
+
+
+def test_pay_of_repeated_texts(spark):
+    from boardwalk.functions import pay
+
+    texts = ["The salary range is $150,000 - $190,000 per year.", None, "", "We bake bread."]
+    df = spark.createDataFrame([(i, texts[i % 4]) for i in range(40)], "id long, body string")
+    got = {r.id: r.parsed_pay for r in pay.with_salary(df, "body").collect()}
+    want = {r.id: r.p for r in df.select("id", pay.salary_from_text(F.col("body")).alias("p")).collect()}
+    assert got == want and got[0].min == 150000
