@@ -6,6 +6,7 @@ rows and its oldest closing.  A crawl rewrites the buckets of the boards that it
 rows to be purged; all others are only named again.  The manifest is written last, in one piece, and
 is the commit: a crawl that died halfway left nothing that counts, one that is replayed finds its
 version there.  The manifest has two rows for each bucket at most, so it is read on the driver.
+A crawl's rows are written down once before the merge, as the steps that follow read them more than once.
 
 Buckets share out boards; rows of a large board are dealt over many files by their key.
 """
@@ -88,50 +89,68 @@ class BucketedPostings:
             return
         at = F.lit(now).cast("timestamp_ntz")
         before = self.manifests.before(version).collect()
+        batch, healthy = self._landed(version, batch, healthy)
         touched = self.concerned(batch, healthy)
         if purge:
             limit = self.spark.range(1).select(at - F.make_dt_interval(days=F.lit(days))).first()[0]
             touched |= {p["bucket"] for p in before if p["oldest"] is not None and p["oldest"] < limit}
         read = [p for p in before if p["bucket"] in touched]
         kept = [p for p in before if p["bucket"] not in touched]
-        state = self._rows(read)
-        merged = merge_batch(state, batch, healthy, at)
-        left = purge_closed(merged, at, days) if purge else merged
-        written = self._write(version, left)
+        merged = merge_batch(self._rows(read), batch, healthy, at)
+        written = self._write(version, purge_closed(merged, at, days) if purge else merged, at)
         rows = [tuple(p) for p in kept] + [(w["bucket"], w["closed"], version, w["n"], w["oldest"]) for w in written]
-        self._note(version, at, batch, state, left, read, written)
+        self._note(version, at, batch, read, written)
         self.manifests.write(version, self.spark.createDataFrame(rows, MANIFEST).coalesce(1))
+        self._clear(self._landing(version))
 
-    def _write(self, version: int, rows: DataFrame) -> list:
-        """Write a version's buckets; what their manifest rows say."""
+    def _landing(self, version: int) -> str:
+        return f"{self.root}/landed/v={version:012d}"
+
+    def _clear(self, folder: str) -> None:
+        self.manifests._fs.delete(self.manifests._path(folder), True)
+
+    def _landed(self, version: int, batch: DataFrame, healthy: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """The crawl's rows and its healthy boards as written tables, so that what made them runs once."""
+        folder = self._landing(version)
+
+        def land(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+        state = ("first_seen_at", "last_seen_at", "closed_at")
+        wanted = [c for c in self.spark.createDataFrame([], self.schema).columns if c not in state]
+        return land(batch.select(*wanted), "batch"), None if healthy is None else land(healthy.select(*BOARD).distinct(), "healthy")
+
+    def _write(self, version: int, rows: DataFrame, at: Column) -> list:
+        """Write a version's buckets; what their manifest rows say, and what the crawl at ``at`` did in them."""
         root = f"{self.root}/data/v={version:012d}"
         placed = rows.withColumns({"closed": F.col("closed_at").isNotNull(), "bucket": self.layout.bucket()})
         part = F.pmod(F.xxhash64("key"), F.lit(self.layout.files))
         placed.repartition("closed", "bucket", part).write.mode("overwrite").partitionBy("closed", "bucket").parquet(root)
         known = f"{self.schema}, closed boolean, bucket int"
         said = self.spark.read.schema(known).parquet(root).groupBy("bucket", "closed").agg(
-            F.count("*").alias("n"), F.min("closed_at").alias("oldest")
+            F.count("*").alias("n"), F.min("closed_at").alias("oldest"), F.count_if(F.col("last_seen_at") == at).alias("upserted"),
+            F.count_if(F.col("first_seen_at") == at).alias("inserted"), F.count_if(F.col("closed_at") == at).alias("shut"),
         )
         return said.collect()  # two rows for each bucket at most
 
-    def _note(self, version: int, at: Column, batch: DataFrame, state: DataFrame, left: DataFrame, read: list, written: list) -> None:
+    def _note(self, version: int, at: Column, batch: DataFrame, read: list, written: list) -> None:
         """What the crawl did, counted in the tables that it read and wrote, as one row."""
-        after = self._rows([{"wrote": version, **w.asDict()} for w in written])
-        seen = F.col("last_seen_at") == at
-        counted = after.agg(
-            F.count_if(seen).alias("upserted"), F.count_if(F.col("first_seen_at") == at).alias("inserted"),
-            F.count_if(F.col("closed_at") == at).alias("closed"), F.count("*").alias("_after"),
-        )
-        again = state.where(F.col("closed_at").isNotNull()).join(batch.select("key"), "key", "left_semi").agg(F.count("*").alias("reopened"))
+        total = lambda name: sum(w[name] for w in written)
+        shut = self._rows([p for p in read if p["closed"]]).select("key")
+        again = shut.join(batch.select("key"), "key", "left_semi").agg(F.count("*").alias("reopened"))
         scanned = batch.agg(F.count("*").alias("scanned"))
         size = sum(p["n"] for p in read)
-        facts = one_row(counted, again, scanned).select(
-            F.lit(version).cast("long").alias("version"), at.alias("at"), "scanned", "upserted", "inserted", "reopened", "closed",
-            (F.lit(size) + F.col("inserted") - F.col("_after")).cast("long").alias("purged"),
-            F.lit(len({p["bucket"] for p in read})).cast("long").alias("buckets_read"),
-            F.lit(len({w["bucket"] for w in written})).cast("long").alias("buckets_written"),
+        counts = {
+            "upserted": total("upserted"), "inserted": total("inserted"), "closed": total("shut"),
+            "purged": size + total("inserted") - total("n"),
+            "buckets_read": len({p["bucket"] for p in read}), "buckets_written": len({w["bucket"] for w in written}),
+        }
+        facts = one_row(again, scanned).select(
+            F.lit(version).cast("long").alias("version"), at.alias("at"), "scanned", "reopened",
+            *[F.lit(n).cast("long").alias(name) for name, n in counts.items()],
         )
-        self.log.write(version, facts)
+        self.log.write(version, facts.select(*[c.split()[0] for c in FACTS.split(", ")]))
 
     def facts(self, version: int) -> DataFrame:
         """The row of what a version's crawl did."""

@@ -81,10 +81,17 @@ FOLD = (
 )
 
 
+def kept(spark, df):
+    """The rows as a written table: five crawls are taken from it, and it is made once."""
+    folder = shared_folder(spark, "crawled")
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def written_path(spark, sf_dir, purge: bool):
     """The store after all five crawls."""
-    p = postings(spark, sf_dir)
-    seen, runs = spark.sql(SEEN, p=p), spark.sql(RUNS, p=p)
+    p = kept(spark, postings(spark, sf_dir).select("key", "provider", "board_token", "title", "ord"))
+    seen, runs = spark.sql(SEEN, p=p), kept(spark, spark.sql(RUNS, p=p))
     store = BucketedPostings(spark, shared_folder(spark, "postings"), STATE, Layout(buckets=16))
     for i in range(5):
         batch = seen.where(F.col("i") == i).drop("seen_at", "i")

@@ -146,3 +146,20 @@ def test_run_log_refuses_a_run_without_postings(spark, filled):
     store.apply(5, spark.createDataFrame([], ROW), None, at(5))
     with pytest.raises(Exception, match="refusing to mark"):
         run_log(outcomes, store.facts(5), "2026-01-02", "2026-01-03").collect()
+
+
+def test_a_crawls_rows_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    store = BucketedPostings(spark, str(tmp_path / "s"), STATE, Layout(buckets=4))
+    rows = [(f"b{b}:{i}", "a", f"b{b}", "t") for b in range(5) for i in range(4)]
+    batch = spark.createDataFrame(rows, ROW).mapInArrow(tell, ROW)
+    store.apply(0, batch, spark.createDataFrame([("a", "b1")], BOARDS), at(0))
+    assert made.value == len(rows) == store.read().count()
+    assert store.facts(0).first().scanned == len(rows)
+    assert not any((tmp_path / "s").glob("landed/v=*"))  # gone after the commit
