@@ -32,6 +32,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in a new shared folder: what made them runs once, however often they are read."""
+    folder = shared_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the cluster's shared checkpoint folder.
 

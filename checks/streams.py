@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from boardwalk.schemas import EXCLUSIONS
-from boardwalk.session import shared_folder
+from boardwalk.session import shared_folder, written
 from boardwalk.streaming import jobs
 from boardwalk.streaming.buckets import BucketedPostings, Layout, run_log
 from boardwalk.streaming.snapshots import StoredFacets
@@ -81,17 +81,10 @@ FOLD = (
 )
 
 
-def kept(spark, df):
-    """The rows as a written table: five crawls are taken from it, and it is made once."""
-    folder = shared_folder(spark, "crawled")
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def written_path(spark, sf_dir, purge: bool):
     """The store after all five crawls."""
-    p = kept(spark, postings(spark, sf_dir).select("key", "provider", "board_token", "title", "ord"))
-    seen, runs = spark.sql(SEEN, p=p), kept(spark, spark.sql(RUNS, p=p))
+    p = written(postings(spark, sf_dir).select("key", "provider", "board_token", "title", "ord"), "crawled")
+    seen, runs = spark.sql(SEEN, p=p), written(spark.sql(RUNS, p=p), "runs")
     store = BucketedPostings(spark, shared_folder(spark, "postings"), STATE, Layout(buckets=16))
     for i in range(5):
         batch = seen.where(F.col("i") == i).drop("seen_at", "i")
@@ -155,10 +148,10 @@ def views_sql() -> str:
 @register("facets_by_change", fx.with_postings_cte(FOLD + VIEWED, views_sql()))
 def facets_by_change(spark, sf_dir):
     """Views kept over five crawls, of which the last four count only what changed."""
-    p = postings(spark, sf_dir)
-    wide = p.select("key", "ord", "remote_type", *[c for c in COUNTED.split(", ") if c != "provider"])
-    seen = spark.sql(SEEN, p=p).join(wide, "key").withColumn("remote_type", F.expr(WORKPLACE)).drop("ord")
-    runs = spark.sql(RUNS, p=p)
+    counted = COUNTED.replace("provider, ", "")
+    p = written(postings(spark, sf_dir).selectExpr("key", "provider", "board_token", "title", "ord", "remote_type", *counted.split(", ")), "crawled")
+    seen = spark.sql(SEEN.replace("select key", f"select key, {counted}, {WORKPLACE} as remote_type", 1), p=p)
+    runs = written(spark.sql(RUNS, p=p), "runs")
     store = BucketedPostings(spark, shared_folder(spark, "postings"), COUNTED_STATE, Layout(buckets=16))
     views = StoredFacets(spark, shared_folder(spark, "views"), SHAPES, fx.WIDE_DAYS)
     for i in range(5):

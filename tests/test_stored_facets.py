@@ -114,3 +114,12 @@ def test_empty_table(spark, stores):
     store.apply(0, spark.createDataFrame([], ROW), None, T0)
     views.refresh(store, 0, str(T0))
     assert counts(views.latest()) == sorted(((s[0], facets.COUNTRY_UNKNOWN, "", 0) for s in SHAPES), key=str)
+
+
+def test_cells_are_summed_by_value_before_they_meet_views(spark):
+    rows = [(f"k{i}", "a", "b", T0, "US", "cloud", f"s{i}", [], "x", False, 0.1, f"r{i % 7}", T0, T0, None) for i in range(60)]
+    found = facets._entries(facets.cells(spark.createDataFrame(rows, STATE)))
+    sums = {(r.dim, r.value): r.c for r in found.collect()}
+    assert sums["country", "US"] == 60 and sums["remote", "r0"] == 9 and sums["seniority", "s3"] == 1
+    others = found.where("dim not in ('seniority', 'remote')")
+    assert others.count() == others.select("dim").distinct().count()  # 60 cells, one sum for each value
