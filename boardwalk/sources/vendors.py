@@ -4,7 +4,7 @@ Each reader takes landed pages and returns ``schemas.NORMALISED``.  A reader is
 schema and a select; vendors that repeat postings across pages keep the first.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardwalk.functions import dates
@@ -20,6 +20,7 @@ from boardwalk.functions.match import (
     trim_all,
 )
 from boardwalk.functions.pay import by_interval, pay_in_summary
+from boardwalk.functions.steps import computed
 from boardwalk.functions.text import decode_entities, strip_html
 from boardwalk.operators.keys import first_per_key
 from boardwalk.sources.landed import normalised, postings_of, union_all
@@ -701,22 +702,24 @@ def icims(pages: DataFrame, location_as_text: bool = False) -> DataFrame:
         )
 
     link = r'href="([^"]*/jobs/(\d+)/[^"]*)"'
-    df = cards.withColumns(
+    found = cards.where(c("board_token").isNotNull()).withColumn("_number", grab(link, 2)).where(c("_number").isNotNull())
+    # each field is read off its card once: neither the filter nor the choice of the page reads it again
+    df = computed(
+        found,
         {
             "_url": decode_entities(grab(link)),
-            "_number": grab(link, 2),
             "_title": _plain_text(grab(r"<h3[^>]*>([\s\S]*?)</h3>")),
             "_place": header("Job Locations?|Locations?"),
             "_text": _plain_text(
                 grab(r'class="[^"]*\bdescription\b[^"]*"[^>]*>([\s\S]*?)</div>')
             ),
-            "_id": F.coalesce(field("ID"), header("ID"), grab(link, 2)),
+            "_id": F.coalesce(field("ID"), header("ID"), c("_number")),
             "_category": field("Category"),
             "_kind": F.coalesce(field("Job Type"), field("Type")),
-        }
-    ).where(c("_number").isNotNull() & c("_title").isNotNull())
-    first = df.groupBy("board_token", "_url").agg(F.min("page").alias("page"))
-    df = df.join(first, ["board_token", "_url", "page"])
+        },
+    ).where(c("_title").isNotNull()).drop("_card")
+    first = F.min("page").over(Window.partitionBy("board_token", "_url"))
+    df = df.withColumn("_first", first).where(c("page") == c("_first"))
     near = _text(c("_title"), " ", F.coalesce("_text", F.lit("")))
     return normalised(
         df, "icims",
