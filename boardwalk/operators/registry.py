@@ -7,6 +7,7 @@ from boardwalk.functions.text import failure_reason, titleise
 from boardwalk.functions.urls import board_identity, board_site
 from boardwalk.operators.keys import first_per_key
 from boardwalk.operators.ordered import running_sums
+from boardwalk.session import written
 
 MAX_FAILURES = 5
 DEFAULT_MAX_JOBS = 300
@@ -581,13 +582,14 @@ def store_discovered(
     """
     known = known_boards(boards.where("active"), boards.where("not active"))
     live = candidates.where(F.col("verdict") == "live").drop("verdict")
-    fresh = fresh_boards(live, known, [order])
+    fresh = written(fresh_boards(live, known, [order]), "fresh")
 
     def places(df: DataFrame) -> DataFrame:
         oracle = df.where(F.col("provider") == "oracle")
         return oracle.select(F.lower("token").alias("tenant"), board_site(F.col("extra")).alias("site")).distinct()
 
-    ids = site_ids.withColumn("tenant", F.lower("tenant"))
+    # the guard reads ids several times; what they come from is read once
+    ids = written(site_ids.select(F.lower("tenant").alias("tenant"), "site", "id").distinct(), "site_ids")
     of = lambda df: ids.join(places(df), ["tenant", "site"], "left_semi")
     copies = alias_guard(of(fresh), of(boards.where("active"))).select("tenant", F.col("site").alias("_site"))
     kept = fresh.withColumns(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from boardwalk.functions import urls as url_fn
 from boardwalk.operators import feed, registry
+from boardwalk.session import written
 from boardwalk.sources import discovery
 from checks import fixtures as fx
 from checks.feed import postings
@@ -400,7 +401,7 @@ def board_names(spark, sf_dir):
 )
 def discovery_upsert(spark, sf_dir):
     ids = fx.from_sql(spark, sf_dir, SITES, "lineitem")
-    sites = ids.select("tenant", "site").distinct()
+    sites = written(ids.select("tenant", "site").distinct(), "sites")
     off = F.expr("site = 'S2' and tenant like '%5'")
     at = F.create_map(F.lit("site"), F.col("site"))
     held = sites.where(_HELD).select(
